@@ -65,14 +65,18 @@ def fold_quotas(counts: Mapping[int, int], folds: int) -> dict[int, list[int]]:
 
 
 def find_borders(
-    df: DataFrame, label: str, id_col: str, seed: int, ranks: Mapping[int, Sequence[int]]
+    df: DataFrame,
+    label: str,
+    id_col: str,
+    seed: int,
+    counts: Mapping[int, int],
+    ranks: Mapping[int, Sequence[int]],
 ) -> dict[int, list[Border]]:
     """(hash, id) of the row at each rank (from 1) of each class; None for rank 0."""
     keyed = df.select(
         F.col(label).alias("label"), F.col(id_col).cast("string").alias("id"), hash_order(id_col, seed).alias("h")
     )
     spark = df.sparkSession
-    counts = class_counts(df, label)
     # Searched positions: number, class, rank within the bucket, the bucket's prefix.
     wanted = [(c, i, r) for c, rs in ranks.items() for i, r in enumerate(rs) if r > 0]
     open_ = [(n, c, r, "") for n, (c, _, r) in enumerate(wanted)]
@@ -146,8 +150,9 @@ def stratified_split(
     df: DataFrame, label: str = LABEL, id_col: str = "transaction_id", test_size: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add ``split``, 'test' or 'train', with the class shares kept in both."""
-    quotas = split_quotas(class_counts(df, label), test_size)
-    borders = find_borders(df, label, id_col, seed, {c: [n] for c, n in quotas.items()})
+    counts = class_counts(df, label)
+    quotas = split_quotas(counts, test_size)
+    borders = find_borders(df, label, id_col, seed, counts, {c: [n] for c, n in quotas.items()})
     part = _part_number(label, id_col, seed, borders)
     return df.withColumn("split", F.when(part == 0, "test").otherwise("train"))
 
@@ -156,9 +161,10 @@ def stratified_folds(
     df: DataFrame, k: int = 3, label: str = LABEL, id_col: str = "transaction_id", seed: int = 42
 ) -> DataFrame:
     """Add ``fold``, 0 … k-1, with the class shares kept in each."""
-    quotas = fold_quotas(class_counts(df, label), k)
+    counts = class_counts(df, label)
+    quotas = fold_quotas(counts, k)
     ranks = {c: list(accumulate(per_fold))[:-1] for c, per_fold in quotas.items()}
-    borders = find_borders(df, label, id_col, seed, ranks)
+    borders = find_borders(df, label, id_col, seed, counts, ranks)
     return df.withColumn("fold", _part_number(label, id_col, seed, borders))
 
 
