@@ -162,7 +162,7 @@ def _flawed_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def message_violations(spark: SparkSession, folder: str) -> DataFrame:
     checked = validate_messages(_flawed_messages(spark, folder), MESSAGE_LIMITS)
-    return checked.select("key", "user_id", "amount", F.array_join(F.array_sort("violations"), ",").alias("violations"))
+    return checked.select("key", "user_id", "amount", F.array_join(F.sort_array("violations"), ",").alias("violations"))
 
 
 def message_violation_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,7 +171,7 @@ def message_violation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def validated_rows(spark: SparkSession, folder: str) -> DataFrame:
     checked = validate(_labelled(spark, folder), EVENT_LIMITS)
-    return checked.select("transaction_id", F.array_join(F.array_sort("violations"), ",").alias("violations"))
+    return checked.select("transaction_id", F.array_join(F.sort_array("violations"), ",").alias("violations"))
 
 
 def valid_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -474,7 +474,7 @@ def trained_model_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def alerts_from_messages(spark: SparkSession, folder: str) -> DataFrame:
     """The alert rows of a table of messages, written as messages and read back."""
-    found = alert_rows(encode(_events(spark, folder)), _foreign_scorer)
+    found = alert_rows(encode(_events(spark, folder)), _foreign_scorer, EVENT_RISKY)
     return _alert_columns(decode(encode(found), found.schema))
 
 
@@ -531,7 +531,7 @@ def stream_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     def start(messages: DataFrame, place: str):
-        found = alert_rows(messages, _foreign_scorer)
+        found = alert_rows(messages, _foreign_scorer, EVENT_RISKY)
         return files.alert_writer(found, f"{place}/out", f"{place}/checkpoint")
 
     place = _deliver(spark, _arrivals(spark, folder, 2), start)
