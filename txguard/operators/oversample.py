@@ -4,12 +4,12 @@ A synthetic row draws a (minority row, neighbour) pair and a step in [0, 1) by
 hashing its number, so any task can make any of them and a lost task makes the
 same ones again. Distances are Euclidean on the given columns, as they are.
 
-Neighbours are exact while the minority fits a broadcast matrix of checked
-size. Above that, each row is compared with the rows around it on several
-shifted Z-order curves (Yao, Li and Kumar 2010; Zhang, Li and Jestes 2012):
-every row gets k neighbours in near-linear work and without meeting its whole
-group, at the price of sometimes missing a true neighbour for a slightly
-farther one.
+Distances to the k nearest are exact for any size. A minority that fits a
+broadcast matrix of checked size is compared as a whole. A larger one is put in
+the order of shifted Z-order curves (as in Zhang, Li and Jestes 2012), where the
+rows around a row give a first upper bound of its k-th distance. One curve is
+then cut into boxes of equally many rows, and a row is compared with the boxes
+that its bound reaches. Boxes that many rows reach are handled by many tasks.
 """
 
 from __future__ import annotations
@@ -24,11 +24,17 @@ from pyspark.sql import functions as F
 from txguard.operators.skew import with_position
 from txguard.operators.split import class_counts, hash_order
 from txguard.schemas import LABEL
+from txguard.session import reliable
 
 EXACT_ROWS = 10_000  # largest minority matrix to broadcast
 BLOCK_ROWS = 50_000  # rows of a curve handled by one task
-WINDOW_ROWS = 24  # neighbours compared on each side of a curve
-CURVES = 4
+WINDOW_ROWS = 16  # rows compared on each side of a curve
+CURVES = 3
+MAX_BOXES = 100_000  # boxes whose borders are broadcast
+BOX_ROWS = 2_048  # rows per box, more if there were too many boxes
+VISIT_ROWS = 20_000  # rows one task compares with a box
+_GROUPED_BOXES = 256
+_NEAR = "id string, neighbour string, gap double, w array<double>"
 _BITS = 16
 _FRACTION_BITS = 48
 
@@ -42,6 +48,10 @@ def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
     return total
 
 
+def _vectors(rows: np.ndarray) -> pd.Series:
+    return pd.Series(list(rows), dtype=object)
+
+
 def _exact_neighbours(minority: DataFrame, k: int) -> DataFrame:
     """Compare each row with the whole minority, broadcast as a matrix; ties go to the lower id."""
     rows = minority.orderBy("id").limit(EXACT_ROWS + 1).toPandas()
@@ -64,7 +74,7 @@ def _exact_neighbours(minority: DataFrame, k: int) -> DataFrame:
                         "id": np.repeat(part["id"].to_numpy(), k),
                         "nth": np.tile(np.arange(k), len(own)),
                         "neighbour": ids[best.ravel()],
-                        "w": list(matrix[best.ravel()]),
+                        "w": _vectors(matrix[best.ravel()]),
                     }
                 )
 
@@ -101,21 +111,20 @@ def _curve_keys(minority: DataFrame, dimensions: int, seed: int) -> DataFrame:
     return minority.mapInPandas(keys, "curve int, z string, id string, v array<double>")
 
 
-def _curve_neighbours(minority: DataFrame, k: int, dimensions: int, seed: int) -> DataFrame:
-    """The k nearest among the rows around each row on the curves.
+def _curve_candidates(placed: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, gap, w): the k nearest among the rows around each row on each curve.
 
     Each curve is cut into blocks of a fixed number of positions; rows near a
     border also go to the block next to it, so a block is all a task needs.
     """
-    order = ["curve", "z", "id"]
-    placed = with_position(_curve_keys(minority, dimensions, seed), order, "at")
+    width = max(WINDOW_ROWS, k)
     block = F.floor(F.col("at") / BLOCK_ROWS)
     within = F.col("at") % BLOCK_ROWS
     home = F.array_compact(
         F.array(
             block,
-            F.when((within < WINDOW_ROWS) & (block > 0), block - 1),
-            F.when(within >= BLOCK_ROWS - WINDOW_ROWS, block + 1),
+            F.when((within < width) & (block > 0), block - 1),
+            F.when(within >= BLOCK_ROWS - width, block + 1),
         )
     )
     spread = placed.withColumns({"home": block, "block": F.explode(home)})
@@ -124,36 +133,140 @@ def _curve_neighbours(minority: DataFrame, k: int, dimensions: int, seed: int) -
         rows = rows.sort_values("at", ignore_index=True)
         matrix, ids = np.stack(rows["v"].to_numpy()), rows["id"].to_numpy()
         curve, size = rows["curve"].to_numpy(), len(rows)
-        offsets = [o for o in range(-WINDOW_ROWS, WINDOW_ROWS + 1) if o]
+        offsets = np.array([o for o in range(-width, width + 1) if o])
         gaps = np.full((size, len(offsets)), np.inf)
-        partner = np.zeros((size, len(offsets)), dtype=np.int64)
         for j, o in enumerate(offsets):
             own = np.arange(max(0, -o), min(size, size - o))
-            other = own + o
-            same = curve[own] == curve[other]
-            own, other = own[same], other[same]
-            gaps[own, j] = _distances(matrix[own], matrix[other])
-            partner[own, j] = other
-        best = np.argsort(gaps, axis=1, kind="stable")[:, :k]
+            own = own[curve[own] == curve[own + o]]
+            gaps[own, j] = _distances(matrix[own], matrix[own + o])
+        best = np.argpartition(gaps, k - 1, axis=1)[:, :k]
+        gap = np.take_along_axis(gaps, best, 1).ravel()
+        own = np.repeat(np.arange(size), k)
+        other = own + offsets[best.ravel()]
         mine = (rows["home"] == rows["block"]).to_numpy()
-        own = np.repeat(np.arange(size), best.shape[1])
-        gap, other = np.take_along_axis(gaps, best, 1).ravel(), np.take_along_axis(partner, best, 1).ravel()
         kept = mine[own] & np.isfinite(gap)
-        own, gap, other = own[kept], gap[kept], other[kept]
-        return pd.DataFrame({"id": ids[own], "neighbour": ids[other], "gap": gap, "w": list(matrix[other])})
+        own, other = own[kept], other[kept]
+        return pd.DataFrame({"id": ids[own], "neighbour": ids[other], "gap": gap[kept], "w": _vectors(matrix[other])})
 
-    found = (
-        spread.groupBy("block")
-        .applyInPandas(around, "id string, neighbour string, gap double, w array<double>")
-        .dropDuplicates(["id", "neighbour"])
+    return spread.groupBy("block").applyInPandas(around, _NEAR)
+
+
+def _gaps_to_boxes(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point to the nearest place of each box."""
+    total = np.zeros((len(points), len(low)))
+    for c in range(points.shape[1]):
+        own = points[:, c, None]
+        outside = np.maximum(np.maximum(low[None, :, c] - own, own - high[None, :, c]), 0.0)
+        total += outside * outside
+    return total
+
+
+def _visits(home: DataFrame, bounds: DataFrame, dimensions: int) -> DataFrame:
+    """(box, id, v): the boxes that may hold something nearer than a row's bound."""
+    borders = (
+        home.groupBy("box")
+        .agg(
+            *[F.min(F.col("v")[i]).alias(f"l{i}") for i in range(dimensions)],
+            *[F.max(F.col("v")[i]).alias(f"h{i}") for i in range(dimensions)],
+        )
+        .orderBy("box")
+        .limit(MAX_BOXES + 1)
+        .toPandas()
+    )
+    low = borders[[f"l{i}" for i in range(dimensions)]].to_numpy(dtype=float)
+    high = borders[[f"h{i}" for i in range(dimensions)]].to_numpy(dtype=float)
+    starts = np.arange(0, len(low), _GROUPED_BOXES)
+    shared = home.sparkSession.sparkContext.broadcast(
+        (low, high, np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts))
+    )
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high, group_low, group_high = shared.value
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part = batch.iloc[start : start + 512]
+                points, reach = np.stack(part["v"].to_numpy()), part["reach"].to_numpy()
+                rows, boxes = [], []
+                near = _gaps_to_boxes(points, group_low, group_high) < reach[:, None]
+                for group in np.flatnonzero(near.any(axis=0)):
+                    inside = np.flatnonzero(near[:, group])
+                    first = group * _GROUPED_BOXES
+                    one = slice(first, first + _GROUPED_BOXES)
+                    row, box = np.nonzero(_gaps_to_boxes(points[inside], low[one], high[one]) < reach[inside, None])
+                    rows.append(inside[row])
+                    boxes.append(box + first)
+                if rows:
+                    picked = part.iloc[np.concatenate(rows)][["id", "v"]].reset_index(drop=True)
+                    picked.insert(0, "box", np.concatenate(boxes))
+                    yield picked
+
+    return home.join(bounds, "id").select("id", "v", "reach").mapInPandas(
+        visit, "box long, id string, v array<double>"
     )
-    # At most k rows per curve and id.
+
+
+def _nearest_of(found: DataFrame, k: int) -> DataFrame:
+    """The first k of each id by (gap, neighbour), also where some were found more than once."""
     rank = Window.partitionBy("id").orderBy("gap", "neighbour")
     return (
-        found.withColumn("nth", F.row_number().over(rank) - 1)
-        .where(F.col("nth") < k)
-        .select("id", "nth", "neighbour", "w")
+        found.withColumn("nth", F.dense_rank().over(rank) - 1).where(F.col("nth") < k).dropDuplicates(["id", "nth"])
+    )
+
+
+def _boxed_neighbours(minority: DataFrame, k: int, dimensions: int, size: int, seed: int) -> DataFrame:
+    """The k nearest of every row; which of several equally far ones are last is left open."""
+    keys = _curve_keys(minority, dimensions, seed)
+    placed = reliable(with_position(keys, ["curve", "z", "id"], "at"))
+    near = reliable(_nearest_of(_curve_candidates(placed, k), k))
+    # k rows per id: the farthest bounds the true k-th distance.
+    bounds = near.groupBy("id").agg(F.max("gap").alias("reach"))
+    box_rows = max(BOX_ROWS, -(-size // MAX_BOXES))
+    # The first curve has the positions 0 … size - 1.
+    home = placed.where(F.col("curve") == 0).select(F.floor(F.col("at") / box_rows).alias("box"), "id", "v")
+    visits = reliable(_visits(home, bounds, dimensions))
+    # One row per box.
+    parts = F.broadcast(
+        visits.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("parts"))
+    )
+    visitors = visits.join(parts, "box").select(
+        "box", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v"
+    )
+    hosts = home.join(parts.withColumnRenamed("parts", "copies"), "box").select(
+        "box", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "id", "v"
+    )
+
+    def search(visitors: pd.DataFrame, hosts: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if hosts.empty or visitors.empty:
+            return
+        ids, matrix = hosts["id"].to_numpy(), np.stack(hosts["v"].to_numpy())
+        place, kept = pd.Index(ids), min(k, len(ids))
+        for start in range(0, len(visitors), 512):
+            part = visitors.iloc[start : start + 512]
+            own = part["id"].to_numpy()
+            gaps = _distances(np.stack(part["v"].to_numpy())[:, None, :], matrix[None, :, :])
+            itself = place.get_indexer(own)
+            home = np.flatnonzero(itself >= 0)
+            gaps[home, itself[home]] = np.inf
+            best = np.argpartition(gaps, kept - 1, axis=1)[:, :kept]
+            gap, other = np.take_along_axis(gaps, best, 1).ravel(), best.ravel()
+            known = np.isfinite(gap)
+            yield pd.DataFrame(
+                {
+                    "id": np.repeat(own, kept)[known],
+                    "neighbour": ids[other][known],
+                    "gap": gap[known],
+                    "w": _vectors(matrix[other][known]),
+                }
+            )
+
+    def search_all(visitors: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
+        found = list(search(visitors, hosts))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=["id", "neighbour", "gap", "w"])
+
+    found = (
+        visitors.groupBy("box", "part").cogroup(hosts.groupBy("box", "part")).applyInPandas(search_all, _NEAR)
     )
+    return _nearest_of(found.unionByName(near.drop("nth")), k).select("id", "nth", "neighbour", "w")
 
 
 def nearest_neighbours(
@@ -161,17 +274,17 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(id, nth, neighbour, w): the k nearest other rows of each row, ``w`` being the neighbour's features.
 
-    Exact up to ``exact_rows`` rows, by curves above. Ids are unique.
+    Up to ``exact_rows`` rows are compared as a whole. Ids are unique.
     """
     points = df.select(
         F.col(id_col).cast("string").alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("v")
     )
-    size = points.limit(exact_rows + 1).count()
+    size = points.limit(max(exact_rows, k) + 1).count()
     if size <= k:
         raise ValueError(f"{size} rows have no {k} neighbours each")
     if size <= min(exact_rows, EXACT_ROWS):
         return _exact_neighbours(points, k)
-    return _curve_neighbours(points, k, len(features), seed)
+    return _boxed_neighbours(points, k, len(features), points.count(), seed)
 
 
 def _number(text: Column, start: int, digits: int) -> Column:
