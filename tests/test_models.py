@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import MIDDLE, SMALL, by_id
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from txguard import workload
@@ -141,6 +144,9 @@ def test_registry_errors_and_versions(spark, tmp_path):
     assert registry.best("m")["uri"] == "y"
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Half:
     def __init__(self, two_columns):
         self.two_columns = two_columns

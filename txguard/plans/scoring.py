@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +39,16 @@ def score_foreign(
 
     The model is broadcast once; a batch is a pandas frame with ``columns``.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Serialised with its code, so workers need not be able to import it.
+    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     names = list(columns)
 
     @F.pandas_udf("int")
-    def predict(batch: pd.DataFrame) -> pd.Series:
-        batch.columns = names
-        return pd.Series((positive_share(shared.value.predict(batch)) >= threshold).astype("int32"))
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        loaded = cloudpickle.loads(shared.value)
+        for batch in batches:
+            batch.columns = names
+            yield pd.Series((positive_share(loaded.predict(batch)) >= threshold).astype("int32"))
 
     return df.withColumn("prediction", predict(F.struct(*names)))
 
