@@ -33,6 +33,7 @@ CURVES = 3
 MAX_BOXES = 100_000  # boxes whose borders are broadcast
 BOX_ROWS = 2_048  # rows per box, more if there were too many boxes
 VISIT_ROWS = 20_000  # rows one task compares with a box
+DRAWN_ROWS = 5_000_000  # synthetic rows made by one task
 _GROUPED_BOXES = 256
 _NEAR = "id string, neighbour string, gap double, w array<double>"
 _BITS = 16
@@ -334,7 +335,9 @@ def oversample(
         (F.col("rank") * k + F.col("nth")).cast("long").alias("pair"), "v", "w"
     )
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("n").cast("string")))
-    drawn = df.sparkSession.range(needed).withColumnRenamed("id", "n").select(
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, needed // DRAWN_ROWS)
+    drawn = spark.range(0, needed, 1, tasks).withColumnRenamed("id", "n").select(
         "n",
         F.pmod(_number(draw, 1, 15), F.lit(size * k)).alias("pair"),
         (_number(draw, 17, _FRACTION_BITS // 4) / F.lit(float(2**_FRACTION_BITS))).alias("step"),

@@ -124,8 +124,12 @@ def fit(train: DataFrame, config: ModelConfig | None = None, params: Mapping[str
     """Balance ``train`` and fit boosted trees to it."""
     config = config or ModelConfig()
     codes, rows = prepare(train, config)
+    # Fitting reads the rows several times.
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     classifier = _classifier(config)
-    return FraudModel(codes, classifier.fit(rows, _param_map(classifier, params or default_params(config))))
+    trees = classifier.fit(rows, _param_map(classifier, params or default_params(config)))
+    rows.unpersist()
+    return FraudModel(codes, trees)
 
 
 def sample_candidates(config: ModelConfig, space: Mapping[str, Sequence] | None = None) -> list[dict]:

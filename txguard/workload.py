@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txguard.config import Config, ModelConfig
 from txguard.functions.scalar import add_calendar, iso_timestamp, merchant_risk
@@ -298,7 +299,7 @@ def flagged_transactions(spark: SparkSession, folder: str) -> DataFrame:
 def produced_records(spark: SparkSession, folder: str) -> DataFrame:
     """Valid events as labelled messages, read back."""
     messages, _ = produce_records(_labelled(spark, folder), _indebted(spark, folder), EVENT_LIMITS, EVENT_RULES)
-    rows = decode(messages, LABELLED_TRANSACTION.add("pattern", "string"))
+    rows = decode(messages, T.StructType([*LABELLED_TRANSACTION.fields, T.StructField("pattern", T.StringType())]))
     return rows.select("transaction_id", "user_id", "amount", _micros(), LABEL, "pattern")
 
 
