@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from txguard.schemas import RISKY_MERCHANTS
 
 
+def computed_once(value: Column) -> Column:
+    """``value`` itself, for columns that are costly to compute.
+
+    A filter on a column is moved below the projection that makes it and then
+    computes it a second time, with all that it is made from. It stays above a
+    projection that is not deterministic, which the always true test makes it.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def transaction_hour(time: Column) -> Column:
     return F.hour(time)
 

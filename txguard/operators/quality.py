@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txguard.functions.scalar import computed_once
 from txguard.schemas import LABEL, LABELLED_TRANSACTION
 
 
@@ -41,10 +42,13 @@ def _value_rules(limits: Limits) -> dict[str, Column]:
     }
 
 
-def _named(rules: dict[str, Column]) -> Column:
-    # Joined and split again: unlike filtering an array, this stays in generated code.
-    text = F.concat_ws(",", *[F.when(broken, F.lit(name)) for name, broken in rules.items()])
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ","))
+def _broken(rules: dict[str, Column]) -> Column:
+    """Names of the broken rules as one text: unlike filtering an array, this stays in generated code."""
+    return computed_once(F.concat_ws(",", *[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+
+
+def _listed(broken: Column) -> Column:
+    return F.when(broken == "", F.array().cast("array<string>")).otherwise(F.split(broken, ","))
 
 
 def validate(df: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -54,7 +58,8 @@ def validate(df: DataFrame, limits: Limits | None = None) -> DataFrame:
         f"{name}:required": F.col(name).isNull() if name in df.columns else F.lit(True) for name in limits.required
     }
     values = {name: rule for name, rule in _value_rules(limits).items() if name.split(":")[0] in df.columns}
-    return df.withColumn("violations", _named({**missing, **values}))
+    marked = df.withColumn("_broken", _broken({**missing, **values}))
+    return marked.select(*df.columns, _listed(F.col("_broken")).alias("violations"))
 
 
 def validate_messages(raw: DataFrame, limits: Limits | None = None, value: str = "value") -> DataFrame:
@@ -113,7 +118,8 @@ def validate_messages(raw: DataFrame, limits: Limits | None = None, value: str =
         "timestamp:format": F.col("_time").isNotNull() & F.col("timestamp").isNull(),
     }
     columns = [F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in LABELLED_TRANSACTION]
-    return decoded.select(*raw.columns, *columns, _named(broken).alias("violations"))
+    marked = decoded.select(*raw.columns, *columns, _broken(broken).alias("_broken"))
+    return marked.select(*raw.columns, *LABELLED_TRANSACTION.names, _listed(F.col("_broken")).alias("violations"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

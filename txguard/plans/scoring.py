@@ -50,7 +50,8 @@ def score_foreign(
             batch.columns = names
             yield pd.Series((positive_share(loaded.predict(batch)) >= threshold).astype("int32"))
 
-    return df.withColumn("prediction", predict(F.struct(*names)))
+    # Marked so that a filter on the prediction does not run the model a second time.
+    return df.withColumn("prediction", predict.asNondeterministic()(F.struct(*names)))
 
 
 def score_native(df: DataFrame, model, threshold: float | None = DEFAULT_THRESHOLD) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txguard.config import Config, ModelConfig
+from txguard.functions.scalar import computed_once
 from txguard.operators.encode import OrdinalCodes, fit_codes
 from txguard.operators.evaluate import best_threshold, classification_metrics, metric_record, to_label
 from txguard.operators.oversample import oversample
@@ -54,7 +55,7 @@ class FraudModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``score``, the probability of the positive class, to rows with the model's features."""
         vectors = _assemble(self.codes.transform(df, CODE), self.features)
-        scored = self.trees.transform(vectors).withColumn("score", positive_probability())
+        scored = self.trees.transform(vectors).withColumn("score", computed_once(positive_probability()))
         return scored.select(*df.columns, "score")
 
     def save(self, uri: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txguard.functions.scalar import computed_once
 from txguard.schemas import TRANSACTION
 
 # Fixed value: ISO-8601 with microseconds and offset.
@@ -15,7 +16,8 @@ _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 def decode(raw: DataFrame, schema: T.StructType = TRANSACTION, value: str = "value") -> DataFrame:
     """JSON text (or its bytes) to columns; a field that does not fit its type is null."""
     text = F.col(value).cast("string")
-    return raw.select(F.from_json(text, schema).alias("data")).select("data.*")
+    # Otherwise a filter on a decoded field would parse the text again, once per field it is made from.
+    return raw.select(computed_once(F.from_json(text, schema)).alias("data")).select("data.*")
 
 
 def encode(df: DataFrame, key: str = "transaction_id") -> DataFrame:

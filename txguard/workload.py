@@ -60,7 +60,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _utc(spark: SparkSession) -> SparkSession:
+    """The settings of ``spark_session`` that matter here, for a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
