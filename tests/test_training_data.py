@@ -183,3 +183,9 @@ def test_oversampling_needs_enough_of_two_classes(spark):
         oversample(rows.where("is_fraud = 0"), ["a"])
     even = rows.where("id < 10") if "id" in rows.columns else rows.where("a < 10")
     assert oversample(even, ["a"]).count() == 10
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    table = spark.createDataFrame([("abc",), ("de",), (None,)], "k string")
+    assert skew.fits_broadcast(table, 3) and not skew.fits_broadcast(table, 2)
+    assert skew.fits_broadcast(table, 3, 5) and not skew.fits_broadcast(table, 3, 4)

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txguard.operators.skew import left_join_skewed, with_position
+from txguard.operators.skew import fits_broadcast, left_join_skewed, with_position
+from txguard.session import reliable
 
 UNKNOWN_CODE = -1.0
 BROADCAST_CODES = 500_000
@@ -20,7 +21,7 @@ class OrdinalCodes:
 
     column: str
     table: DataFrame
-    size: int
+    small: bool  # checked to fit a broadcast
 
     def transform(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """Add the code of ``column``; -1.0 for an unknown or missing category.
@@ -30,7 +31,7 @@ class OrdinalCodes:
         """
         name = name or f"{self.column}_code"
         codes = self.table.select(F.col(self.column), F.col("code").alias("_code"))
-        if self.size <= BROADCAST_CODES:
+        if self.small:
             joined = df.join(F.broadcast(codes), [self.column], "left")
         elif df.isStreaming:
             joined = df.join(codes, [self.column], "left")
@@ -44,4 +45,5 @@ def fit_codes(df: DataFrame, column: str) -> OrdinalCodes:
     """Number the distinct values of ``column`` alphabetically."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
     table = with_position(values, [column]).select(column, F.col("position").cast("double").alias("code"))
-    return OrdinalCodes(column, table, table.count())
+    table = reliable(table)
+    return OrdinalCodes(column, table, fits_broadcast(table, BROADCAST_CODES))

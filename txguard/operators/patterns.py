@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txguard.operators.skew import left_join_skewed
+from txguard.operators.skew import fits_broadcast, left_join_skewed
 from txguard.schemas import ANOMALY_LOCATIONS, RISKY_MERCHANTS
 
 # The patterns, the first that holds names the row.
@@ -40,7 +40,7 @@ def flag_members(df: DataFrame, members: DataFrame | Iterable[object], column: s
     if not isinstance(members, DataFrame):
         return df.withColumn(flag, F.coalesce(F.col(column).isin(list(members)), F.lit(False)))
     table = members.select(column).where(F.col(column).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    if table.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
+    if fits_broadcast(table, BROADCAST_MEMBERS):
         joined = df.join(F.broadcast(table), [column], "left")
     elif df.isStreaming:
         joined = df.join(table, [column], "left")

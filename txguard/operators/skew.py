@@ -19,9 +19,17 @@ from txguard.session import reliable
 
 # More heavy keys than this are kept as a table instead of being broadcast.
 BROADCAST_KEYS = 10_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 CHUNK = "_chunk"
 
 
+def fits_broadcast(table: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
+    """Whether ``table`` has at most ``max_rows`` rows and ``max_bytes`` bytes of values."""
+    width = reduce(Column.__add__, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns])
+    size = table.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(width.cast("long")).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= (max_bytes or BROADCAST_BYTES)
+
+
 @dataclass(frozen=True)
 class HeavySplit:
     """Rows of ordinary keys, rows of heavy keys, and the heavy keys (None if there are none)."""

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from txguard.config import Config, ModelConfig
 from txguard.functions.scalar import computed_once
-from txguard.operators.encode import OrdinalCodes, fit_codes
+from txguard.operators.encode import BROADCAST_CODES, OrdinalCodes, fit_codes
 from txguard.operators.evaluate import best_threshold, classification_metrics, metric_record, to_label
 from txguard.operators.oversample import oversample
 from txguard.operators.quality import check_support, require_nonempty
+from txguard.operators.skew import fits_broadcast
 from txguard.operators.split import split_stats, stratified_folds, stratified_split
 from txguard.plans.features import add_features, training_rows
 from txguard.plans.registry import Registry
@@ -64,7 +65,6 @@ class FraudModel:
             "features": list(self.features),
             "threshold": self.threshold,
             "column": self.codes.column,
-            "categories": self.codes.size,
         }
         self.codes.table.write.mode("overwrite").parquet(f"{uri}/codes")
         self.trees.write().overwrite().save(f"{uri}/trees")
@@ -74,7 +74,8 @@ class FraudModel:
     @classmethod
     def load(cls, spark: SparkSession, uri: str) -> FraudModel:
         about = json.loads(spark.read.text(f"{uri}/about").first()["value"])
-        codes = OrdinalCodes(about["column"], spark.read.parquet(f"{uri}/codes"), about["categories"])
+        table = spark.read.parquet(f"{uri}/codes")
+        codes = OrdinalCodes(about["column"], table, fits_broadcast(table, BROADCAST_CODES))
         trees = GBTClassificationModel.load(f"{uri}/trees")
         return cls(codes, trees, about["features"], about["threshold"])
 
@@ -116,7 +117,6 @@ def prepare(train: DataFrame, config: ModelConfig) -> tuple[OrdinalCodes, DataFr
     merchant codes of their pair.
     """
     codes = fit_codes(train, "merchant")
-    codes = OrdinalCodes(codes.column, reliable(codes.table), codes.size)
     balanced = oversample(codes.transform(train, CODE), vector_columns(), LABEL, ID, config.neighbours, config.seed)
     return codes, _assemble(balanced).select("features", LABEL)
 

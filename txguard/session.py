@@ -18,6 +18,8 @@ def spark_session(config: SparkConfig | None = None, master: str | None = None)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Checkpoints of finished work are removed.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # The JVM does not compile larger methods; beyond it, expressions are generated in smaller ones.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )

@@ -122,9 +122,9 @@ class UserHistory:
         self, batch: DataFrame, bounds: DataFrame, tails: DataFrame, kept: DataFrame, number: int
     ) -> None:
         owned = batch.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()).select(*_PAST_COLUMNS)
-        owned.withColumn("day", F.to_date("timestamp")).write.mode("overwrite").partitionBy("day").parquet(
-            f"{self.root}/history/batch={number}"
-        )
+        # Rebalanced: few files per day, and none too large, also if most rows are of one day.
+        days = owned.withColumn("day", F.to_date("timestamp")).hint("rebalance", F.col("day"))
+        days.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/history/batch={number}")
         latest = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
         last = (
             owned.unionByName(kept)
