@@ -14,7 +14,7 @@ from txguard.sources.codec import decode, encode
 from txguard.streaming import history
 from txguard.streaming.dedup import drop_repeats
 from txguard.streaming.history import UserHistory, with_history
-from txguard.streaming.scorer import alert_messages, alert_rows, alerts_with_history
+from txguard.streaming.scorer import alert_messages, alert_rows, alerts_with_history, rejected_messages
 
 
 def table(spark, rows):
@@ -154,6 +154,15 @@ def test_stream_and_table_give_the_same_alerts(spark, tmp_path):
     assert value["user_activity_24h"] == 1000 and value["timestamp"] == "2024-01-01T12:00:00.000000+00:00"
 
 
+def test_malformed_messages_are_set_aside(spark):
+    texts = ["oops", "[1]", "{}", None, '{"amount": 50}', '{"user_id": "x"}']
+    raw = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], files.MESSAGE)
+    assert [r["amount"] for r in alert_rows(raw, lambda f: f.withColumn("prediction", F.lit(1))).collect()] == [50.0]
+    rejected = rejected_messages(raw)
+    assert rejected.columns == ["key", "value"]
+    assert sorted(r["key"] for r in rejected.collect()) == ["0", "1", "2", "3", "5"]
+
+
 def test_stateless_scoring_does_not_shuffle(spark):
     rows = encode(workload._events(spark, "/root/testdata/sf0.001"))
     assert "Exchange" not in alert_rows(rows, by_amount)._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +15,23 @@ from txguard.schemas import TRANSACTION
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 
 
+def _parsed(value: str, schema: T.StructType) -> Column:
+    # Otherwise a filter on a decoded field would parse the text again, once per field it is made from.
+    return computed_once(F.from_json(F.col(value).cast("string"), schema)).alias("data")
+
+
 def decode(raw: DataFrame, schema: T.StructType = TRANSACTION, value: str = "value") -> DataFrame:
     """JSON text (or its bytes) to columns; a field that does not fit its type is null."""
-    text = F.col(value).cast("string")
-    # Otherwise a filter on a decoded field would parse the text again, once per field it is made from.
-    return raw.select(computed_once(F.from_json(text, schema)).alias("data")).select("data.*")
+    return raw.select(_parsed(value, schema)).select("data.*")
+
+
+def split_decodable(
+    raw: DataFrame, schema: T.StructType = TRANSACTION, value: str = "value"
+) -> tuple[DataFrame, DataFrame]:
+    """(columns of messages with at least one usable field, the other messages as they came)."""
+    parsed = raw.select(*raw.columns, _parsed(value, schema))
+    usable = reduce(Column.__or__, [F.col("data")[name].isNotNull() for name in schema.names])
+    return parsed.where(usable).select("data.*"), parsed.where(~F.coalesce(usable, F.lit(False))).drop("data")
 
 
 def encode(df: DataFrame, key: str = "transaction_id") -> DataFrame:

@@ -13,7 +13,7 @@ from txguard.operators.activity import MAX_USER_ROWS
 from txguard.plans.features import add_features
 from txguard.plans.scoring import alerts
 from txguard.schemas import RISKY_MERCHANTS
-from txguard.sources.codec import decode, encode
+from txguard.sources.codec import encode, split_decodable
 from txguard.streaming.history import with_history
 
 # Adds ``prediction`` to rows with features.
@@ -23,13 +23,22 @@ Scorer = Callable[[DataFrame], DataFrame]
 def alert_rows(
     messages: DataFrame, scorer: Scorer, risky: Sequence[str] = RISKY_MERCHANTS, watermark: str = "24 hours"
 ) -> DataFrame:
-    """Decode, add features without history, score, and keep the alerts. Works on streams and tables."""
-    rows = decode(messages)
+    """Decode, add features without history, score, and keep the alerts. Works on streams and tables.
+
+    Messages without any usable field are not scored; ``rejected_messages`` gives them.
+    """
+    rows, _ = split_decodable(messages)
     if rows.isStreaming:
         rows = rows.withWatermark("timestamp", watermark)
     return alerts(scorer(add_features(rows, risky, mode="placeholder")))
 
 
+def rejected_messages(messages: DataFrame) -> DataFrame:
+    """The messages that are not scored, for a quarantine sink."""
+    _, rejected = split_decodable(messages)
+    return rejected
+
+
 def alert_messages(
     messages: DataFrame, scorer: Scorer, risky: Sequence[str] = RISKY_MERCHANTS, watermark: str = "24 hours"
 ) -> DataFrame:
@@ -47,7 +56,8 @@ def alerts_with_history(
     max_user_rows: int | None = MAX_USER_ROWS,
 ) -> DataStreamWriter:
     """Score with the users' real activity; alerts go to ``output``, one folder per micro-batch."""
-    rows = add_calendar(decode(messages)).withColumn("merchant_risk", merchant_risk(F.col("merchant"), risky))
+    decoded, _ = split_decodable(messages)
+    rows = add_calendar(decoded).withColumn("merchant_risk", merchant_risk(F.col("merchant"), risky))
 
     def write(features: DataFrame, number: int) -> None:
         alerts(scorer(features)).write.mode("overwrite").parquet(f"{output}/batch={number}")
