@@ -1,0 +1 @@
+"""Transaction-risk analytics on tables and streams."""
