@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import chat, mixing, winnow
+from txguard.llm import chat, mixing, quality, simhash, winnow
 from txguard.llm.oracles import ORACLES as ORACLES
 from txguard.session import scratch_path, shared_folder
 
@@ -31,6 +31,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.scored(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mixture(table(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -64,6 +74,8 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": quality_classifier,
+    "op2_simhash_near_dedup": simhash_near_dedup,
     "op3_mixing_sources": mixing_sources,
     "op8_winnowing": winnowing,
     "op9_chat_formatting": chat_formatting,
