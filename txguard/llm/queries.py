@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import chat, mixing, quality, simhash, winnow
+from txguard.llm import chat, mixing, packing, quality, simhash, token_files, winnow
 from txguard.llm.oracles import ORACLES as ORACLES
 from txguard.session import scratch_path, shared_folder
 
@@ -73,10 +74,27 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def byte_bpe() -> str:
+    """The installed tokenizer file of the contract."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def simple8b_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = table(spark, folder, "documents"), scratch_path(spark, "tokens")
+    token_files.write_token_files(docs, path, byte_bpe())
+    return token_files.read_token_files(spark, path)
+
+
+def packing_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), byte_bpe()).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": quality_classifier,
     "op2_simhash_near_dedup": simhash_near_dedup,
     "op3_mixing_sources": mixing_sources,
+    "op7_simple8b_token_files": simple8b_token_files,
     "op8_winnowing": winnowing,
     "op9_chat_formatting": chat_formatting,
+    "op10_packing": packing_sequences,
 }
