@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import chat, mixing, packing, quality, simhash, token_files, winnow
+from txguard.llm import ann, chat, html_extract, mixing, packing, quality, simhash, token_files, winnow
 from txguard.llm.oracles import ORACLES as ORACLES
 from txguard.session import scratch_path, shared_folder
 
@@ -74,6 +74,15 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cross_polytope_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(table(spark, folder, "embeddings"))
+
+
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_extract.extracted(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def byte_bpe() -> str:
     """The installed tokenizer file of the contract."""
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -93,6 +102,8 @@ QUERIES: dict[str, Query] = {
     "op1_quality_classifier": quality_classifier,
     "op2_simhash_near_dedup": simhash_near_dedup,
     "op3_mixing_sources": mixing_sources,
+    "op4_cross_polytope_neighbours": cross_polytope_neighbours,
+    "op6_html_extraction": html_extraction,
     "op7_simple8b_token_files": simple8b_token_files,
     "op8_winnowing": winnowing,
     "op9_chat_formatting": chat_formatting,
