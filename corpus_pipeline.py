@@ -1,11 +1,32 @@
-"""A corpus pipeline over ``documents``: its stages call the operators of ``txguard.llm``."""
+"""A corpus pipeline over ``documents``: its stages call the operators of ``txguard.llm``.
+
+Quality classifier, near-duplicates, repeated passages, mix of sources, packing.
+All stages but the last return the columns of ``documents``; each works on all that
+the one before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txguard.llm import mixing
-from txguard.llm.queries import stored, table
+from txguard.llm import mixing, packing, quality, simhash, substrings
+from txguard.llm.queries import byte_bpe, table
+from txguard.llm.text import stored
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier, taught by ``labels``, accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    return simhash.deduplicated(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that stand in an earlier one."""
+    return substrings.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +34,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-STAGES = [("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents in training sequences."""
+    return packing.packed(docs, byte_bpe()).drop("ids")
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing_sources", mix),
+    ("packing", pack),
+]
 
+#: The classifier, the fingerprints and the tokenizer have no counterpart in SQL.
 ORACLE_SQL = None
 
 

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import ann, chat, html_extract, mixing, packing, quality, simhash, token_files, winnow
+from txguard.llm import ann, chat, html_extract, mixing, packing, quality, simhash, substrings, token_files, winnow
 from txguard.llm.oracles import ORACLES as ORACLES
+from txguard.llm.text import stored
 from txguard.session import scratch_path, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,14 +25,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return quality.scored(docs, labels).select("doc_id", "held_out", "score", "predicted")
@@ -78,6 +71,11 @@ def cross_polytope_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.neighbours(table(spark, folder, "embeddings"))
 
 
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     found = html_extract.extracted(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -103,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": simhash_near_dedup,
     "op3_mixing_sources": mixing_sources,
     "op4_cross_polytope_neighbours": cross_polytope_neighbours,
+    "op5_substring_dedup": substring_dedup,
     "op6_html_extraction": html_extraction,
     "op7_simple8b_token_files": simple8b_token_files,
     "op8_winnowing": winnowing,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txguard.operators.skew import fits_broadcast, left_join_skewed
-from txguard.session import reliable
+from txguard.session import reliable, scratch_path
 
 SEPARATORS = r"\x20\x09-\x0D"
 WORD = f"[^{SEPARATORS}]+"
@@ -52,3 +52,11 @@ def with_decisions(docs: DataFrame, decisions: DataFrame, keys: list[str], how:
     if how == "left":
         return left_join_skewed(docs, decisions, keys, HEAVY_ROWS)
     return docs.join(decisions, keys, how)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut of lineage, compressed and by column."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
