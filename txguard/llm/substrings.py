@@ -323,20 +323,22 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     loses all its words stays, with an empty text.
     """
 
+    columns = docs.columns
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text, starts, counts in zip(*(batch.column(c) for c in ("__text", "__starts", "__counts")), strict=True):
                 n, left = _kept(text, starts, counts, window) if starts.is_valid else (0, [])
                 texts.append(b" ".join(left).decode() if len(left) < n else None)
-            rest = [batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], [*docs.columns, "__cut"])
+            rest = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], [*columns, "__cut"])
 
     marked = _marked(identified(docs), window, gram).withColumn("__text", F.col("text").cast("binary"))
     kind = StructType([*docs.schema.fields, StructField("__cut", StringType())])
-    cut = marked.select(*docs.columns, "__text", "__starts", "__counts").mapInArrow(work, kind)
+    cut = marked.select(*columns, "__text", "__starts", "__counts").mapInArrow(work, kind)
     changes = {"text": F.coalesce("__cut", "text")}
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         counted = F.length("__cut").cast(docs.schema["n_chars"].dataType)
         changes["n_chars"] = F.when(F.col("__cut").isNotNull(), counted).otherwise(F.col("n_chars"))
-    return cut.withColumns(changes).select(*docs.columns)
+    return cut.withColumns(changes).select(*columns)
