@@ -85,7 +85,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     chunks = CHUNKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("__key", F.col("doc_id").cast("double"))
     borders = keyed.where("__key is not null").approxQuantile("__key", [i / chunks for i in range(1, chunks)], 0.2 / chunks)
-    splits = [float("-inf"), *sorted(set(borders)), float("inf")]
+    splits = [float("-inf"), *sorted(set(borders) or {0.0}), float("inf")]
     spread = F.floor((F.col(ROW) / F.lit(2.0**64) + 0.5) * chunks) + chunks
     cut = Bucketizer(splits=splits, inputCol="__key", outputCol="__bucket", handleInvalid="keep")
     placed = cut.transform(keyed).withColumn("__chunk", F.coalesce(F.when(F.col("__key").isNotNull(), F.col("__bucket")), spread).cast("long"))
