@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from conftest import MIDDLE, by_id
@@ -10,6 +11,7 @@ from txguard.functions import scalar
 from txguard.operators.activity import ACTIVITY_COLUMNS, add_activity
 from txguard.plans.features import add_features, scoring_rows, training_rows
 from txguard.schemas import SCORING_COLUMNS, TRAINING_FEATURES
+from txguard.sources import tables
 from txguard.sources.tables import events_as_transactions, orders_as_transactions
 
 
@@ -98,6 +100,55 @@ def test_activity_by_hand(transactions, limit):
         assert found[key] == pytest.approx(values), key
 
 
+ODD_AMOUNTS = [1e13, 1.0, 2.0, 3.0, 1e-13, 2e-13, None, 0.1, math.nan, 5.0, math.inf, 1e16, -math.inf, -3.5, 0.0]
+
+
+def _same(a, b):
+    """Equal values, where null, NaN and the infinities are all different."""
+    if isinstance(a, float) and isinstance(b, float) and math.isnan(a):
+        return math.isnan(b)
+    return type(a) is type(b) and a == b
+
+
+def test_odd_amounts_have_one_definition_for_all_user_sizes(transactions):
+    """Every odd amount alone, then many together, at equal and different times, more than a week apart too."""
+    rows = []
+    for n, amount in enumerate(ODD_AMOUNTS):
+        times = ["2024-01-01T00:00:00", "2024-01-01T00:00:00", "2024-01-02T01:00:00", "2024-01-20T00:00:00"]
+        rows += [(f"{n}-{k}", n, amount if k < 2 else 7.25, None, t) for k, t in enumerate(times)]
+        rows.append((f"all-{n:02d}", 99, amount, None, f"2024-02-{1 + n // 4:02d}T{n % 4 * 6:02d}:00:00"))
+        rows.append((f"late-{n:02d}", 99, 1.5, None, f"2024-02-{9 + n:02d}T00:00:00"))
+    found = [by_id(add_activity(transactions(*rows), limit), *ACTIVITY_COLUMNS) for limit in (None, 20_000, 1)]
+    assert len(found[0]) == len(rows)
+    for key, values in found[0].items():
+        for other in found[1:]:
+            assert all(map(_same, values, other[key])), (key, values, other[key])
+    assert found[0]["all-03"][1] == 2500000000001.5
+    assert found[0]["5-3"][1] == pytest.approx((4e-13 + 14.5) / 4)
+    assert math.isnan(found[0]["8-2"][4]) and found[0]["10-2"][4] == math.inf and found[0]["12-2"][4] == -math.inf
+
+
+def test_time_frames_only_grow(spark):
+    plan = add_activity(events_as_transactions(spark, MIDDLE), None)._jdf.queryExecution().optimizedPlan().toString()
+    frames = set(re.findall(r"RangeFrame, ([^,]+),", plan))
+    assert frames == {"unboundedpreceding$()"}
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_orders_of_a_large_customer_stay_apart(spark, monkeypatch, broadcast):
+    """With broadcasts off, the shuffled join gets only the rows of the other customers."""
+    monkeypatch.setattr(tables, "MAX_KEY_ROWS", 18)
+    plain = by_id(orders_as_transactions(spark, MIDDLE), "user_id", "location")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rows = orders_as_transactions(spark, MIDDLE)
+        assert by_id(rows, "user_id", "location") == plain
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and plan.index("LeftAnti") > plan.index("LeftOuter")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("table", [events_as_transactions, orders_as_transactions])
 def test_heavy_users_get_the_same_values(spark, table):
     """One user owning a third of the rows and, in orders, many rows at one time."""

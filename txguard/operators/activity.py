@@ -11,11 +11,17 @@ mean, the row itself), in the order of time and then transaction id:
 
 Rows without a user or a time belong to no history: they get 0, their own
 amount, 0.0 and null.
+
+Means have one definition, whatever the size of a user. Amounts are summed
+exactly, as decimals with 13 digits after the point. NaN and infinite amounts are
+counted apart, and a frame that holds one has the mean that floating-point rules
+give. An amount of 1e15 or more, which a validator's range would have set aside,
+counts as infinite.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from txguard.functions.scalar import ratio_to_own_average
@@ -23,8 +29,11 @@ from txguard.operators.skew import CHUNK, left_join_skewed, ordered_chunks, runn
 
 DAY = 86_400_000_000  # microseconds
 ROWS = 7
-# A sliding range frame costs rows times frame length; users beyond this take the prefix-sum way.
+# Users beyond this are spread over many tasks.
 MAX_USER_ROWS = 20_000
+AMOUNT_LIMIT = 1e15
+AMOUNT = "decimal(28,13)"
+SUM = "decimal(37,13)"
 
 ACTIVITY_COLUMNS = [
     "user_activity_24h",
@@ -68,24 +77,58 @@ def _finish(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _parts(amount: str = "amount") -> dict[str, Column]:
+    """What a mean is made of, per row: 1 for a value, the finite value, and 1 for a NaN, for either infinity."""
+    x = F.col(amount)
+    finite = (F.abs(x) < AMOUNT_LIMIT) & ~F.isnan(x)
+
+    def one(case: Column) -> Column:
+        return F.when(case, 1).otherwise(0).cast("long")
+
+    return {
+        "_n": one(x.isNotNull()),
+        "_s": F.when(finite, x.cast(AMOUNT)).otherwise(F.lit(0).cast(AMOUNT)),
+        "_nan": one(F.isnan(x)),
+        "_high": one((x >= AMOUNT_LIMIT) & ~F.isnan(x)),
+        "_low": one(x <= -AMOUNT_LIMIT),
+    }
+
+
+PARTS = ["_n", "_s", "_nan", "_high", "_low"]
+
+
+def _summed(part: str, sums: Column) -> Column:
+    return F.coalesce(sums, F.lit(0)).cast(SUM if part == "_s" else "long")
+
+
+def _mean(parts: dict[str, Column]) -> Column:
+    """The mean of a frame from the sums of its parts; null without values."""
+    n, s, nan, high, low = (parts[p] for p in PARTS)
+    odd = F.when((nan > 0) | ((high > 0) & (low > 0)), float("nan"))
+    odd = odd.when(high > 0, float("inf")).when(low > 0, float("-inf"))
+    return F.when(n > 0, F.coalesce(odd, s.cast("double") / n))
+
+
+def _mean_over(frame: WindowSpec) -> Column:
+    return _mean({p: _summed(p, F.sum(p).over(frame)) for p in PARTS})
+
+
 def _ordinary_users(df: DataFrame) -> DataFrame:
     """One exchange and one sort: ordering by (time, id) also serves the frames over time."""
     known = F.col("user_id").isNotNull() & F.col("_t").isNotNull()
-    spread = df.withColumn("_alone", F.when(~known, F.monotonically_increasing_id()))
+    spread = df.withColumn("_alone", F.when(~known, F.monotonically_increasing_id())).withColumns(_parts())
     user = Window.partitionBy("user_id", "_alone")
     by_row = user.orderBy("_t", "transaction_id")
     by_time = user.orderBy("_t")
+
+    def before(part: str, reach: int) -> Column:
+        """The sum in [t - reach, t), as a difference of running sums, whose frames only grow."""
+        until, left = (by_time.rangeBetween(Window.unboundedPreceding, -1 - back) for back in (0, reach))
+        return _summed(part, _summed(part, F.sum(part).over(until)) - _summed(part, F.sum(part).over(left)))
+
     return spread.withColumns(
-        {
-            "_avg_rows": F.avg("amount").over(by_row.rowsBetween(1 - ROWS, 0)),
-            "_previous": F.lag("_t").over(by_row),
-        }
-    ).withColumns(
-        {
-            "_count_24h": F.count("amount").over(by_time.rangeBetween(-DAY, -1)),
-            "_avg_7d": F.avg("amount").over(by_time.rangeBetween(-7 * DAY, -1)),
-        }
-    )
+        {"_avg_rows": _mean_over(by_row.rowsBetween(1 - ROWS, 0)), "_previous": F.lag("_t").over(by_row)}
+    ).withColumns({"_count_24h": before("_n", DAY), "_avg_7d": _mean({p: before(p, 7 * DAY) for p in PARTS})})
 
 
 def _heavy_users(df: DataFrame) -> DataFrame:
@@ -116,14 +159,10 @@ def _row_frames(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("_halo", F.lit(False))
         .unionByName(halo, allowMissingColumns=True)
-        .withColumns(
-            {
-                "_avg_rows": F.avg("amount").over(by_row.rowsBetween(-back, 0)),
-                "_previous": F.lag("_t").over(by_row),
-            }
-        )
+        .withColumns(_parts())
+        .withColumns({"_avg_rows": _mean_over(by_row.rowsBetween(-back, 0)), "_previous": F.lag("_t").over(by_row)})
         .where(~F.col("_halo"))
-        .drop("_halo", CHUNK)
+        .drop("_halo", CHUNK, *PARTS)
     )
 
 
@@ -131,51 +170,38 @@ def _time_frames(rows: DataFrame) -> DataFrame:
     """Frames over time, as prefix sums per instant.
 
     A row counts from just after its time until it leaves the frame, so each
-    instant adds its rows once and takes them off once per frame length; the sum
-    over all earlier instants is then the frame's content. Amounts are summed as
-    decimals, where taking off is exact; an amount of 1e12 or more raises.
+    instant adds its parts once and takes them off once per frame length; the sum
+    over all earlier instants is then the frame's content, exactly.
     """
-    exact = F.col("amount").cast("decimal(24,12)")
-    instants = rows.groupBy("user_id", "_t").agg(
-        F.count("amount").alias("n"),
-        F.coalesce(F.sum(exact), F.lit(0)).cast("decimal(37,12)").alias("s"),
-    )
-    none, nothing = F.lit(0).cast("long"), F.lit(0).cast("decimal(37,12)")
+    instants = rows.withColumns(_parts()).groupBy("user_id", "_t")
+    instants = instants.agg(*[_summed(p, F.sum(p)).alias(p) for p in PARTS])
+    week = [f"_7{p}" for p in PARTS]
+
+    def signed(part: str, sign: int) -> Column:
+        # A product of decimals would round.
+        return _summed(part, F.col(part) if sign > 0 else -F.col(part) if sign else F.lit(0))
 
-    def change(after: int, n24: Column, n7: Column, s7: Column) -> Column:
+    def change(after: int, day: int, days: int) -> Column:
+        """What an instant changes ``after`` microseconds: the 24-hour count and the parts of 7 days, times a sign."""
         return F.struct(
             (F.col("_t") + after).alias("_at"),
-            n24.alias("_n24"),
-            n7.alias("_n7"),
-            s7.cast("decimal(37,12)").alias("_s7"),
+            signed("_n", day).alias("_n24"),
+            *[signed(p, days).alias(w) for p, w in zip(PARTS, week, strict=True)],
             F.lit(after == 0).alias("_is_row"),
         )
 
-    n, s = F.col("n"), F.col("s")
-    changes = (
-        instants.select(
-            "user_id",
-            F.explode(
-                F.array(
-                    change(0, n, n, s),
-                    change(DAY, -n, none, nothing),
-                    change(7 * DAY, none, -n, -s),
-                )
-            ).alias("_c"),
-        )
-        .select("user_id", "_c.*")
-        .groupBy("user_id", "_at")
-        .agg(
-            F.sum("_n24").alias("_n24"),
-            F.sum("_n7").alias("_n7"),
-            F.sum("_s7").cast("decimal(37,12)").alias("_s7"),
-            F.max("_is_row").alias("_is_row"),
-        )
+    changes = instants.select(
+        "user_id", F.explode(F.array(change(0, 1, 1), change(DAY, -1, 0), change(7 * DAY, 0, -1))).alias("_c")
+    ).select("user_id", "_c.*")
+    changes = changes.groupBy("user_id", "_at").agg(
+        F.sum("_n24").alias("_n24"),
+        *[_summed(p, F.sum(w)).alias(w) for p, w in zip(PARTS, week, strict=True)],
+        F.max("_is_row").alias("_is_row"),
     )
-    held = running_sums(ordered_chunks(changes, ["user_id", "_at"]), ["_at"], ["_n24", "_n7", "_s7"], ["user_id"])
+    held = running_sums(ordered_chunks(changes, ["user_id", "_at"]), ["_at"], ["_n24", *week], ["user_id"])
     return held.where("_is_row").select(
         "user_id",
         F.col("_at").alias("_t"),
         F.col("_n24").alias("_count_24h"),
-        F.try_divide(F.col("_s7").cast("double"), F.col("_n7")).alias("_avg_7d"),
+        _mean({p: F.col(w) for p, w in zip(PARTS, week, strict=True)}).alias("_avg_7d"),
     )

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txguard.operators.skew import left_join_skewed
+
+# Customers with more orders are joined apart.
+MAX_KEY_ROWS = 1_000_000
+
 
 def events_as_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """``events``: the value is the amount and the event type the merchant."""
@@ -27,7 +32,9 @@ def orders_as_transactions(spark: SparkSession, folder: str) -> DataFrame:
     nation = spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", "n_name")
     # Nations are joined to the smaller side first.
     located = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
-    return orders.join(located, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+    # The orders of a large customer stay where they are.
+    located = located.withColumnRenamed("c_custkey", "o_custkey")
+    return left_join_skewed(orders, located, ["o_custkey"], MAX_KEY_ROWS).select(
         F.col("o_orderkey").cast("string").alias("transaction_id"),
         F.col("o_custkey").cast("long").alias("user_id"),
         F.col("o_totalprice").cast("double").alias("amount"),
