@@ -48,6 +48,12 @@ CASES = {
     "null merchant": ({**GOOD, "merchant": None}, ["merchant:type"]),
     "null currency": ({**GOOD, "currency": None}, ["currency:type"]),
     "bad time": ({**GOOD, "timestamp": "soon"}, ["timestamp:format"]),
+    **{
+        f"time {text}": ({**GOOD, "timestamp": text}, ["timestamp:format"])
+        for text in ("2024", "2024-01", "2024-01-01", "12:30:00", "2024-01-01T00:00:00", "2024-13-01T00:00:00Z")
+    },
+    "time in zulu": ({**GOOD, "timestamp": "2024-01-01T00:00:00Z"}, []),
+    "user 1000.5": ({**GOOD, "user_id": 1000.5}, ["user_id:integer"]),
     "label 2": ({**GOOD, "is_fraud": 2}, ["is_fraud:range"]),
     "label 0.5": ({**GOOD, "is_fraud": 0.5}, ["is_fraud:integer"]),
     "nothing": ({}, [f"{f}:required" for f in Limits().required]),
@@ -122,10 +128,20 @@ def test_decode_keeps_rows_and_nulls_what_does_not_fit(spark):
         first, second, third = decode(rows).collect()
         assert decode(rows).schema == TRANSACTION
         assert (first["user_id"], first["amount"], first["location"]) == (1000, 0.01, "US")
-        assert second["timestamp"] is None and second["user_id"] is None and second["transaction_id"] == "t"
+        assert second["timestamp"] is None and second["user_id"] == 1000 and second["transaction_id"] == "t"
         assert all(v is None for v in third)
 
 
+def test_decode_and_validator_agree_on_ids_and_times(spark):
+    values = [1000, 1000.0, 1e3, 1000.5, "1000", True, None, 9007199254740993, [1]]
+    times = [GOOD["timestamp"], "2024", "2024-01-01", "12:30:00", "soon", "2024-01-01T00:00:00Z", 5, None, "x"]
+    texts = [json.dumps({**GOOD, "user_id": v, "timestamp": t}) for v, t in zip(values, times, strict=True)]
+    raw = spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "key string, value string")
+    checked = quality.validate_messages(raw).orderBy("key").select("user_id", "timestamp").collect()
+    assert decode(raw.orderBy("key")).select("user_id", "timestamp").collect() == checked
+    assert [r["user_id"] for r in checked] == [1000, 1000, 1000, None, None, None, None, 9007199254740993, None]
+
+
 def test_encode_is_lossless(spark, transactions):
     rows = transactions(("a", 1, 0.1, "x", "2024-01-01T10:00:00.123456"))
     message = encode(rows).first()

@@ -105,6 +105,24 @@ def test_recent_days_only_are_read(spark, tmp_path, monkeypatch):
     assert "PartitionFilters" in plan.toString() and "day" in plan.toString().split("PartitionFilters")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("combine", [True, False])
+def test_rows_without_an_id_or_a_time_all_pass(spark, tmp_path, combine):
+    day = "2024-03-01T00:00:00"
+    batches = [
+        [(None, 1, 1.0, "x", day), (None, 2, 1.0, "x", day), ("a", 1, 1.0, "x", day), ("t", 1, 1.0, "x", None)],
+        [("a", 1, 1.0, "x", day), (None, 1, 1.0, "x", day), ("t", 1, 1.0, "x", None), ("b", 1, 1.0, "x", day)],
+    ]
+    place = str(tmp_path)
+
+    def start(stream):
+        once = drop_repeats(decode(stream), combine_first=combine)
+        return files.alert_writer(once, f"{place}/out", f"{place}/check")
+
+    deliver(spark, place, batches, start)
+    found = [r["transaction_id"] for r in spark.read.parquet(f"{place}/out").collect()]
+    assert sorted(map(str, found)) == ["None", "None", "None", "a", "b", "t", "t"]
+
+
 @pytest.mark.parametrize("combine", [True, False])
 def test_repeats_are_dropped_and_late_rows_too(spark, tmp_path, combine):
     batches = [

@@ -59,13 +59,31 @@ def ratio_to_own_average(amount: Column, average: Column) -> Column:
     return F.coalesce(F.when(average == 0, unlimited).otherwise(F.try_divide(amount, average)), F.lit(1.0))
 
 
+_DAY_AND_TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?"
+_ZONE = r"([Zz]|[+-]\d{2}:\d{2})"
+
+
+def is_date_time(text: Column, zone_required: bool = True) -> Column:
+    """Whether a text has the form of an RFC 3339 date-time; a bare year, day or time has not."""
+    return text.rlike(_DAY_AND_TIME + _ZONE + ("$" if zone_required else "?$"))
+
+
 def iso_timestamp(text: Column) -> Column:
-    """ISO-8601 text to a timestamp; bad text raises. A zone in the text is honoured, UTC otherwise."""
-    return F.to_timestamp(text)
+    """A date and time as text to a timestamp; bad text raises. A zone in the text is honoured, UTC otherwise."""
+    bad = F.concat(F.lit("not a date and time: "), text)
+    return F.to_timestamp(F.when(is_date_time(text, False), text).otherwise(bad))
 
 
 def iso_timestamp_or_null(text: Column) -> Column:
-    return F.try_to_timestamp(text)
+    """The same, with null for bad text."""
+    return F.when(is_date_time(text, False), F.try_to_timestamp(text))
+
+
+def whole_number(value: Column, kind: str = "bigint") -> Column:
+    """A JSON number (a variant) as an integer: 1000 and 1000.0 alike; null for fractions and other kinds."""
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    exact = F.when(number, F.try_variant_get(value, "$", "decimal(38,9)"))
+    return F.when(exact == F.floor(exact), exact.try_cast(kind))
 
 
 def add_calendar(df: DataFrame, time: str = "timestamp") -> DataFrame:

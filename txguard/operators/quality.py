@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txguard.functions.scalar import computed_once
+from txguard.functions.scalar import computed_once, is_date_time, whole_number
 from txguard.schemas import LABEL, LABELLED_TRANSACTION
 
 
@@ -67,7 +67,7 @@ def validate_messages(raw: DataFrame, limits: Limits | None = None, value: str =
 
     Adds the transaction columns, the label and ``violations`` to ``raw``.
     Fields of the wrong type are null; a whole number such as 1000.0 is a
-    valid user id. A null field has the wrong type, an absent one is only a
+    valid user id, and a time is a full RFC 3339 date-time. A null field has the wrong type, an absent one is only a
     violation where it is required.
     """
     limits = limits or Limits()
@@ -98,7 +98,8 @@ def validate_messages(raw: DataFrame, limits: Limits | None = None, value: str =
     decoded = parsed.withColumns(
         {
             "transaction_id": typed("transaction_id", "string"),
-            "user_id": typed("user_id", "double"),
+            "_user": typed("user_id", "double"),
+            "user_id": whole_number(F.col("_f")["user_id"]),
             "amount": typed("amount", "double"),
             "currency": typed("currency", "string"),
             "merchant": typed("merchant", "string"),
@@ -106,7 +107,7 @@ def validate_messages(raw: DataFrame, limits: Limits | None = None, value: str =
             "location": typed("location", "string"),
             LABEL: typed(LABEL, "double"),
         }
-    ).withColumn("timestamp", F.try_to_timestamp("_time"))
+    ).withColumn("timestamp", F.when(is_date_time(F.col("_time")), F.try_to_timestamp("_time")))
     is_object = F.col("_record").startswith("OBJECT")
     broken = {
         "record:json": F.col("_v").isNull(),
@@ -114,6 +115,8 @@ def validate_messages(raw: DataFrame, limits: Limits | None = None, value: str =
         **{f"{f}:required": is_object & F.col(f"_k_{f}").isNull() for f in limits.required},
         **{f"{f}:type": ~right_kind(f) for f in fields},
         **_value_rules(limits),
+        "user_id:range": _outside(F.col("_user"), limits.user_min, limits.user_max),
+        "user_id:integer": F.col("_user").isNotNull() & F.col("user_id").isNull(),
         "is_fraud:integer": F.col(LABEL) != F.floor(LABEL),
         "timestamp:format": F.col("_time").isNotNull() & F.col("timestamp").isNull(),
     }

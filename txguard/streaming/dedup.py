@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def drop_repeats(
@@ -17,17 +19,22 @@ def drop_repeats(
 ) -> DataFrame:
     """The first row per key within the watermark.
 
+    Rows without a complete key, or without a time, cannot be told to be repeats:
+    they all pass, beside the suppression.
+
     With ``combine_first`` repeats inside one Arrow batch are dropped before
     the shuffle, so a key that makes up much of a micro-batch sends only one
     row per batch of its input tasks to the task that holds the key.
     """
     names = list(key)
-    rows = stream
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*names, time]])
+    rows = stream.where(complete)
     if combine_first:
 
         def first_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield batch.drop_duplicates(names)
 
-        rows = stream.mapInPandas(first_of_batch, stream.schema)
-    return rows.withWatermark(time, watermark).dropDuplicatesWithinWatermark(names)
+        rows = rows.mapInPandas(first_of_batch, stream.schema)
+    once = rows.withWatermark(time, watermark).dropDuplicatesWithinWatermark(names)
+    return once.unionByName(stream.where(~complete).withWatermark(time, watermark))

@@ -133,7 +133,7 @@ def decode_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flawed_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event as JSON text, with eight kinds of flaws worked in."""
+    """Every event as JSON text, with eight kinds of flaws worked in, one of them five kinds of bad times."""
     events = _utc(spark).read.parquet(f"{folder}/events.parquet")
     kind = F.col("event_id") % 11
     amount = F.col("value").cast("decimal(12,2)").cast("string")
@@ -143,6 +143,10 @@ def _flawed_messages(spark: SparkSession, folder: str) -> DataFrame:
     def quoted(text: Column) -> Column:
         return F.concat(F.lit('"'), text, F.lit('"'))
 
+    fixed = [F.lit(text) for text in ("soon", "2024", "2024-01-01", "12:30:00")]
+    bad_times = F.array(*fixed, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    bad_time = F.element_at(bad_times, (F.floor(F.col("event_id") / 11) % 5 + 1).cast("int"))
+
     fields = F.concat(
         F.lit('{"transaction_id":'),
         quoted(F.col("event_id").cast("string")),
@@ -154,7 +158,7 @@ def _flawed_messages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(',"merchant":'),
         F.when(kind == 7, "null").otherwise(quoted(F.col("event_type"))),
         F.lit(',"timestamp":'),
-        quoted(F.when(kind == 5, "soon").otherwise(time)),
+        quoted(F.when(kind == 5, bad_time).otherwise(time)),
         F.lit(',"is_fraud":'),
         (F.col("event_id") % 3).cast("string"),
         F.lit("}"),
@@ -322,9 +326,9 @@ def fold_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ordinal_codes(spark: SparkSession, folder: str) -> DataFrame:
-    """Codes learnt from the first half of the month; later names are unknown."""
+    """Codes learnt from two thirds of the names, by hash; the others are unknown."""
     events = _events(spark, folder).withColumn("merchant", F.concat_ws("-", "merchant", F.col("user_id").cast("string")))
-    codes = fit_codes(events.where(F.col("timestamp") < F.lit("2024-01-10").cast("timestamp")), "merchant")
+    codes = fit_codes(events.where(F.substring(F.md5("merchant"), 1, 1).between("0", "a")), "merchant")
     return codes.transform(events).select("transaction_id", "merchant", "merchant_code")
 
 
@@ -496,11 +500,17 @@ def _alert_columns(rows: DataFrame) -> DataFrame:
 
 
 def _arrivals(spark: SparkSession, folder: str, parts: int, repeats: bool = False) -> list[DataFrame]:
-    """The events as messages in ``parts`` deliveries by time; with ``repeats`` each also brings the one before."""
+    """The events as messages in ``parts`` deliveries by time; with ``repeats`` each also brings the one before.
+
+    Events without a time come first. With ``repeats`` every 13th event has no id.
+    """
     events = _events(spark, folder)
+    if repeats:
+        nameless = F.col("transaction_id").cast("long") % 13 == 0
+        events = events.withColumn("transaction_id", F.when(~nameless, F.col("transaction_id")))
     first, last = events.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
     width = (last - first) // parts + 1
-    turn = F.floor((F.unix_micros("timestamp") - first) / width)
+    turn = F.coalesce(F.floor((F.unix_micros("timestamp") - first) / width), F.lit(0))
 
     def delivery(n: int) -> DataFrame:
         return encode(events.where(turn.isin([n, n - 1] if repeats else [n])))
@@ -542,7 +552,7 @@ def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    """Every message but the last delivery's arrives twice; each transaction comes out once."""
+    """Every message but the last delivery's arrives twice; each transaction with an id comes out once."""
 
     def start(messages: DataFrame, place: str):
         once = drop_repeats(decode(messages), combine_first=True)

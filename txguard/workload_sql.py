@@ -75,7 +75,9 @@ _MESSAGES = """raw AS (
         ELSE CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) END,
       CASE event_id % 11 WHEN 1 THEN '' WHEN 4 THEN ',"currency":"usd"' ELSE ',"currency":"USD"' END,
       ',"merchant":', CASE event_id % 11 WHEN 7 THEN 'null' ELSE concat('"', event_type, '"') END,
-      ',"timestamp":"', CASE event_id % 11 WHEN 5 THEN 'soon' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') END,
+      ',"timestamp":"', CASE event_id % 11 WHEN 5 THEN
+        ['soon', '2024', '2024-01-01', '12:30:00', strftime(ts, '%Y-%m-%dT%H:%M:%S')][event_id // 11 % 5 + 1]
+        ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') END,
       '","is_fraud":', event_id % 3, '}') END AS value
   FROM events), typed AS (
   SELECT *, CASE WHEN json_valid(value) THEN json_type(value) END AS record,
@@ -100,7 +102,8 @@ _MESSAGES = """raw AS (
     CASE WHEN record = 'OBJECT' AND currency_kind IS NULL THEN 'currency:required' END,
     CASE WHEN NOT regexp_matches(currency, '^[A-Z]{3}$') THEN 'currency:pattern' END,
     CASE WHEN amount NOT BETWEEN 0.5 AND 200 THEN 'amount:range' END,
-    CASE WHEN time_text IS NOT NULL AND try_cast(time_text AS TIMESTAMP) IS NULL THEN 'timestamp:format' END,
+    CASE WHEN time_text IS NOT NULL AND NOT (try_cast(time_text AS TIMESTAMPTZ) IS NOT NULL AND regexp_full_match(time_text,
+      '\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})')) THEN 'timestamp:format' END,
     CASE WHEN is_fraud NOT BETWEEN 0 AND 1 THEN 'is_fraud:range' END], lambda x: x IS NOT NULL)) AS broken
   FROM decoded)"""
 
@@ -256,7 +259,7 @@ ORACLES: dict[str, str] = {
     "ordinal_codes": f"""WITH {_EVENTS}, named AS (
           SELECT transaction_id, ts, concat(merchant, '-', user_id) AS merchant FROM events_tx),
         codes AS (SELECT merchant, CAST(dense_rank() OVER (ORDER BY merchant) - 1 AS DOUBLE) AS code
-          FROM (SELECT DISTINCT merchant FROM named WHERE ts < TIMESTAMP '2024-01-10'))
+          FROM (SELECT DISTINCT merchant FROM named WHERE substr(md5(merchant), 1, 1) BETWEEN '0' AND 'a'))
         SELECT transaction_id, merchant, coalesce(code, -1.0) AS merchant_code
         FROM named LEFT JOIN codes USING (merchant)""",
     "minority_neighbours": f"WITH {_BALANCE} SELECT id, CAST(nth AS INTEGER) AS nth, neighbour FROM near",
@@ -304,5 +307,10 @@ ORACLES: dict[str, str] = {
         FROM activity WHERE {_FOREIGN} = 1""",
     "stream_features": f"WITH {_EVENTS}, {_activity('events_tx')} {_ALL_ACTIVITY}",
     "stream_alerts": f"WITH {_EVENTS} {_ALERT}",
-    "stream_without_repeats": f"WITH {_EVENTS} SELECT transaction_id, user_id, amount, event_us FROM events_tx",
+    "stream_without_repeats": f"""WITH {_EVENTS}, bounds AS (SELECT min(event_us) AS low, max(event_us) AS high FROM events_tx),
+turns AS (SELECT *, CAST(transaction_id AS BIGINT) % 13 = 0 AS nameless,
+  coalesce((event_us - low) // ((high - low) // 3 + 1), 0) AS turn FROM events_tx, bounds)
+SELECT transaction_id, user_id, amount, event_us FROM (
+  SELECT CASE WHEN NOT nameless THEN transaction_id END AS transaction_id, user_id, amount, event_us,
+    unnest(range(CASE WHEN nameless AND turn < 2 THEN 2 ELSE 1 END)) AS time FROM turns)""",
 }
