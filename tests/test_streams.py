@@ -14,6 +14,7 @@ from txguard.sources.codec import decode, encode
 from txguard.streaming import history
 from txguard.streaming.dedup import drop_repeats
 from txguard.streaming.history import UserHistory, with_history
+from txguard.streaming.segments import Segments
 from txguard.streaming.scorer import alert_messages, alert_rows, alerts_with_history, rejected_messages
 
 
@@ -81,7 +82,8 @@ def test_tails_are_rewritten_without_changing_results(spark, tmp_path):
     past = UserHistory(spark, root, None, rewrite_every=2)
     for number, rows in enumerate(batches):
         results.update(by_id(past.features(table(spark, rows), number), *ACTIVITY_COLUMNS))
-    assert {p.name for p in (tmp_path / "past" / "tails_base").iterdir() if p.name.startswith("batch")} == {"batch=2", "batch=4"}
+    levels = {p.name for p in (tmp_path / "past" / "tails").iterdir()}
+    assert levels >= {"level=0", "level=1", "level=2"}
     everything = table(spark, [row for rows in batches for row in rows])
     assert_same(results, by_id(add_activity(everything, None), *ACTIVITY_COLUMNS))
 
@@ -96,13 +98,44 @@ def test_a_batch_run_again_gives_the_same(spark, tmp_path):
     assert_same(third, {k: everything[k] for k in ("e", "f")})
 
 
-def test_recent_days_only_are_read(spark, tmp_path, monkeypatch):
-    """A row in order needs no look into old days."""
+def test_a_late_user_does_not_widen_the_days_of_others(spark, tmp_path):
+    """With one row of another user from long ago, the timely user's context is what it was."""
     past = UserHistory(spark, str(tmp_path))
-    for number, rows in enumerate(IN_ORDER[:3]):
-        past.features(table(spark, rows), number).collect()
-    plan = past._history(3).where(F.col("day") >= F.lit("2024-01-10").cast("date"))._jdf.queryExecution().executedPlan()
-    assert "PartitionFilters" in plan.toString() and "day" in plan.toString().split("PartitionFilters")[1].split("]")[0]
+    old = [(f"o{i}", 1, 1.0, "x", f"2024-{i + 1:02d}-01T00:00:00") for i in range(6)]
+    old += [(f"r{i}", 1, 1.0, "x", f"2024-06-{20 + i}T00:00:00") for i in range(8)]
+    past.features(table(spark, old + [("p", 2, 5.0, "x", "2024-01-01T00:00:00")]), 0).collect()
+    batch = [("n", 1, 1.0, "x", "2024-06-28T00:00:00"), ("late", 2, 1.0, "x", "2024-01-02T00:00:00")]
+    bounds = spark.createDataFrame(
+        [(1, at("2024-06-28T00:00:00").date(), at("2024-06-21T00:00:00").date()), (2, at("2024-01-02T00:00:00").date(), at("2023-12-26T00:00:00").date())],
+        "user_id long, _first date, _from date",
+    )
+    rows = past._recent(1, bounds, at("2024-06-21T00:00:00").date()).collect()
+    assert sorted(r["transaction_id"] for r in rows) == ["p", *[f"r{i}" for i in range(1, 8)]]
+    found = by_id(past.features(table(spark, batch), 1), *ACTIVITY_COLUMNS)
+    assert found["late"][0] == 1 and found["n"][4] == 1.0
+
+
+def test_tails_of_other_users_are_not_grouped(spark, tmp_path):
+    past = UserHistory(spark, str(tmp_path))
+    past.features(table(spark, IN_ORDER[0]), 0).collect()
+    bounds = spark.createDataFrame([(1, at("2024-01-01T00:00:00").date())], "user_id long, _from date")
+    plan = past._tails(1, bounds)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join Inner") < plan.index("parquet")
+
+
+def test_segments_stay_few_and_complete(spark, tmp_path):
+    """After 40 batches at a fan of 3 there are at most 3 per level; a half-done merge does no harm."""
+    kept = Segments(spark, f"{tmp_path}/t", "n int", fan=3)
+    for number in range(40):
+        kept.merge(number)
+        kept.write(spark.range(1).select(F.lit(number).cast("int").alias("n")).coalesce(1), number)
+        if number == 30:
+            (tmp_path / "t" / "level=3" / "batch=27").mkdir(parents=True, exist_ok=True)
+            kept.write(spark.range(1).select(F.lit(number).cast("int").alias("n")).coalesce(1), number)
+    assert sorted(r["n"] for r in kept.read(40).collect()) == list(range(40))
+    assert sorted(r["n"] for r in kept.read(39).collect()) == list(range(39))
+    folders = [p for p in (tmp_path / "t").glob("level=*/batch=*")]
+    assert len(folders) <= 3 * 4 + 1
 
 
 @pytest.mark.parametrize("combine", [True, False])
@@ -193,7 +226,10 @@ def test_alerts_scored_with_history(spark, tmp_path):
         return features.withColumn("prediction", (F.col("user_activity_24h") >= 1).cast("int"))
 
     def start(stream):
-        return alerts_with_history(stream, scorer, f"{place}/past", f"{place}/out", f"{place}/check")
+        def write(found, number):
+            found.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+
+        return alerts_with_history(stream, scorer, f"{place}/past", write, f"{place}/check")
 
     deliver(spark, place, IN_ORDER[:3], start)
     assert sorted(r["transaction_id"] for r in spark.read.parquet(f"{place}/out").collect()) == ["c", "e"]

@@ -13,6 +13,7 @@ from txguard.schemas import RISKY_MERCHANTS
 class BrokerConfig:
     topic: str = ""
     output_topic: str = "predicted"
+    rejected_topic: str = "rejected"
     bootstrap_servers: str = "localhost:9092"
     security_protocol: str = "PLAINTEXT"
     sasl_mechanism: str = "PLAIN"
@@ -42,7 +43,10 @@ class ScoringConfig:
     candidate_policy: str = "latest_per_stage"
     threshold: float | str = 0.60
     watermark: str = "24 hours"
-    checkpoint_location: str = "checkpoints"
+    mode: str = "computed"
+    # Folders that all machines share; needed by the streaming jobs.
+    checkpoint_location: str = ""
+    state_location: str = ""
 
 
 @dataclass(frozen=True)

@@ -20,14 +20,15 @@ from txguard.functions.scalar import computed_once
 from txguard.operators.encode import BROADCAST_CODES, OrdinalCodes, fit_codes
 from txguard.operators.evaluate import best_threshold, classification_metrics, metric_record, to_label
 from txguard.operators.oversample import oversample
-from txguard.operators.quality import check_support, require_nonempty
+from txguard.operators.quality import Limits, check_support, require_nonempty, split_valid, validate_messages
 from txguard.operators.skew import fits_broadcast
 from txguard.operators.split import split_stats, stratified_folds, stratified_split
 from txguard.plans.features import add_features, training_rows
 from txguard.plans.registry import Registry
 from txguard.plans.scoring import DEFAULT_THRESHOLD, positive_probability
-from txguard.schemas import LABEL, TRAINING_FEATURES
+from txguard.schemas import LABEL, LABELLED_TRANSACTION, TRAINING_FEATURES
 from txguard.session import reliable
+from txguard.sources import kafka
 
 ID = "transaction_id"
 CODE = "merchant_code"
@@ -189,8 +190,9 @@ def train_and_register(
     """From labelled transactions to a registered model and its hold-out metrics."""
     settings = config.model
     features = add_features(require_nonempty(transactions), config.high_risk_merchants)
-    # Used by every fold, fit and evaluation below, so computed once.
-    rows = reliable(stratified_split(training_rows(features, [ID]), LABEL, ID, settings.test_size, settings.seed))
+    # Read by the search for the split's borders, then by every fold, fit and evaluation below.
+    labelled = reliable(training_rows(features, [ID]))
+    rows = reliable(stratified_split(labelled, LABEL, ID, settings.test_size, settings.seed))
     check_support(rows)
     train, test = (rows.where(F.col("split") == part).drop("split") for part in ("train", "test"))
     stats = {r["split"]: r for r in split_stats(rows).collect()}
@@ -215,3 +217,31 @@ def train_and_register(
     )
     registry.register(settings.name, run, uri, stage)
     return model, metrics
+
+
+def train_from_messages(
+    messages: DataFrame,
+    config: Config,
+    registry: Registry,
+    uri: str,
+    quarantine: str,
+    limits: Limits | None = None,
+    space: Mapping[str, Sequence] | None = None,
+) -> tuple[FraudModel, dict[str, float]]:
+    """From labelled messages to a registered model: decode, check, set aside, train.
+
+    Messages that break a rule go to ``quarantine`` with the rules they break; a
+    message that comes more than once is trained on once.
+    """
+    checked = reliable(validate_messages(messages.select("key", "value"), limits))
+    valid, broken = split_valid(checked)
+    broken.select("key", "value", "violations").write.mode("overwrite").parquet(quarantine)
+    rows = valid.select(*LABELLED_TRANSACTION.names)
+    first = F.min_by(F.struct(*rows.columns), F.struct("timestamp", F.xxhash64(*rows.columns)))
+    once = rows.groupBy(F.col(ID).alias("_id")).agg(first.alias("_row")).select("_row.*")
+    return train_and_register(once, config, registry, uri, space)
+
+
+def training_job(spark: SparkSession, config: Config, registry: Registry, uri: str, quarantine: str) -> FraudModel:
+    """Train on all that the transaction topic holds."""
+    return train_from_messages(kafka.read_batch(spark, config.kafka), config, registry, uri, quarantine)[0]

@@ -54,6 +54,6 @@ def alert_writer(keyed: DataFrame, broker: BrokerConfig, checkpoint: str) -> Dat
     return keyed.writeStream.format("kafka").options(**alert_options(broker, checkpoint)).outputMode("append")
 
 
-def write_records(keyed: DataFrame, broker: BrokerConfig) -> None:
-    """Write (key, value) rows of a batch to the transaction topic."""
-    keyed.write.format("kafka").options(**record_options(broker)).save()
+def write_records(keyed: DataFrame, broker: BrokerConfig, topic: str | None = None) -> None:
+    """Write (key, value) rows of a batch to ``topic``, by default that of the transactions."""
+    keyed.write.format("kafka").options(**record_options(broker) | {"topic": topic or broker.topic}).save()

@@ -37,4 +37,5 @@ def drop_repeats(
 
         rows = rows.mapInPandas(first_of_batch, stream.schema)
     once = rows.withWatermark(time, watermark).dropDuplicatesWithinWatermark(names)
-    return once.unionByName(stream.where(~complete).withWatermark(time, watermark))
+    # Its watermark follows all rows: the earliest watermark of a query counts.
+    return once.unionByName(stream.withWatermark(time, watermark).where(~complete))

@@ -5,13 +5,13 @@ the batch operator, which spreads users with a large share of the rows over many
 tasks. Features of a row are those of the batch operator over all rows that
 arrived so far; rows already written are not revised when a late one arrives.
 
-Three tables below one root hold the past:
+Two tables below one root hold the past, each in a bounded number of folders
+(``streaming/segments.py``):
 
-- ``history``: all rows, by micro-batch and day; only the days that the frames
-  reach are read
-- ``tails``: per micro-batch the last six rows and the row count of its users,
-  for the frames that count rows however old
-- ``tails_base``: the same for all users, rewritten now and then
+- ``history``: all rows, by day; for each user only the days that its frames reach
+  are taken, and days before those of all timely users are read for late users alone
+- ``tails``: per micro-batch the last six rows and the row count of its users, for
+  the frames that count rows however old
 
 A late row may need rows that are neither recent nor among its user's last six;
 the row counts show that, and only then are those users' old days read.
@@ -24,89 +24,101 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from txguard.operators.activity import MAX_USER_ROWS, ROWS, add_activity
-from txguard.operators.patterns import MAX_KEY_ROWS, flag_members
-from txguard.operators.skew import left_join_skewed
+from txguard.operators.patterns import BROADCAST_MEMBERS, MAX_KEY_ROWS, flag_members
+from txguard.operators.skew import fits_broadcast, left_join_skewed
 from txguard.session import reliable
-from txguard.sources.files import read_or_empty
+from txguard.streaming.segments import FAN, Segments
 
 BACK = ROWS - 1
 REACH_DAYS = 7
-PAST = "transaction_id string, user_id long, amount double, timestamp timestamp"
-HISTORY = f"{PAST}, batch long, day date"
-TAIL = "user_id long, total long, rows array<struct<timestamp:timestamp,transaction_id:string,amount:double>>"
-TAILS = f"{TAIL}, batch long"
+HISTORY = "transaction_id string, user_id long, amount double, timestamp timestamp, day date"
+TAILS = "user_id long, total long, rows array<struct<timestamp:timestamp,transaction_id:string,amount:double>>"
 _PAST_COLUMNS = ["transaction_id", "user_id", "amount", "timestamp"]
 
 
+def _newest(tails: DataFrame) -> DataFrame:
+    """The newest entry per user, which has the highest count and includes the older ones."""
+    newest = F.max_by(F.struct("total", "rows"), "total").alias("_t")
+    return tails.groupBy("user_id").agg(newest).select("user_id", "_t.*")
+
+
 @dataclass(frozen=True)
 class UserHistory:
     spark: SparkSession
     root: str
     max_user_rows: int | None = MAX_USER_ROWS
-    rewrite_every: int = 50
+    rewrite_every: int = FAN
+
+    @property
+    def _history(self) -> Segments:
+        return Segments(self.spark, f"{self.root}/history", HISTORY, ["day"], self.rewrite_every)
+
+    @property
+    def _tail_table(self) -> Segments:
+        return Segments(self.spark, f"{self.root}/tails", TAILS, fan=self.rewrite_every)
 
     def features(self, batch: DataFrame, number: int) -> DataFrame:
         """The micro-batch with its per-user features; also stores it for later ones."""
+        self._history.merge(number)
+        self._tail_table.merge(number, _newest)
         batch = reliable(batch)
-        first_day = batch.agg(F.to_date(F.min("timestamp")).alias("d")).first()["d"]
-        if first_day is None:
-            return add_activity(batch, None)
         bounds = (
             batch.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
             .groupBy("user_id")
             .agg(F.min("timestamp").alias("_first"), F.count(F.lit(1)).alias("_rows"))
         )
-        bounds = reliable(bounds)
-        tails = reliable(self._of_users(self._tails(number), bounds))
-        since = F.date_sub(F.lit(first_day), REACH_DAYS)
-        past = self._of_users(self._history(number), bounds)
-        recent = past.where(F.col("day") >= since).select(*_PAST_COLUMNS)
+        bounds = reliable(bounds.withColumn("_from", F.date_sub(F.to_date("_first"), REACH_DAYS)))
+        latest = bounds.agg(F.max("_from").alias("d")).first()["d"]
+        if latest is None:
+            return add_activity(batch, None)
+        tails = reliable(self._tails(number, bounds))
+        context = self._recent(number, bounds, latest)
         kept = tails.select("user_id", F.inline("rows")).select(*_PAST_COLUMNS)
-        older = kept.where(F.to_date("timestamp") < since)
-        context = reliable(recent.unionByName(older))
+        older = _of_users(kept, bounds).where(F.to_date("timestamp") < F.col("_from")).select(*_PAST_COLUMNS)
+        context = reliable(context.unionByName(older))
 
         lacking = reliable(self._lacking(bounds, tails, context))
         if not lacking.isEmpty():
             context = flag_members(context, lacking, "user_id", "_lacking")
-            context = context.where(~F.col("_lacking") | (F.to_date("timestamp") >= since)).drop("_lacking")
-            old_days = past.where(F.col("day") < since).select(*_PAST_COLUMNS)
-            context = context.unionByName(self._of_users(old_days, lacking))
+            stays = ~F.col("_lacking") | (F.to_date("timestamp") >= F.col("_from"))
+            context = _of_users(context, bounds).where(stays).select(*_PAST_COLUMNS)
+            old_days = _of_users(self._history.read(number), lacking.join(bounds, "user_id"))
+            context = context.unionByName(old_days.where(F.col("day") < F.col("_from")).select(*_PAST_COLUMNS))
 
-        columns = batch.columns
         together = batch.withColumn("_new", F.lit(True)).unionByName(
             context.withColumn("_new", F.lit(False)), allowMissingColumns=True
         )
         done = add_activity(together, self.max_user_rows).where("_new").drop("_new")
-        self._store(batch.select(*columns), bounds, tails, kept, number)
+        self._store(batch, bounds, tails, kept, number)
         return done
 
-    def _history(self, number: int) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.root}/history", HISTORY).where(F.col("batch") < number)
-
-    def _tails(self, number: int) -> DataFrame:
-        """Per user the last rows and the row count before micro-batch ``number``."""
-        bases = read_or_empty(self.spark, f"{self.root}/tails_base", TAILS).where(F.col("batch") < number)
-        base = bases.agg(F.max("batch").alias("b")).first()["b"]
-        later = read_or_empty(self.spark, f"{self.root}/tails", TAILS).where(F.col("batch") < number)
-        if base is not None:
-            later = later.where(F.col("batch") > base).unionByName(bases.where(F.col("batch") == base))
-        # The newest entry of a user includes its older ones.
-        newest = F.max_by(F.struct("total", "rows"), "batch").alias("_t")
-        return later.groupBy("user_id").agg(newest).select("user_id", "_t.*")
-
-    def _of_users(self, df: DataFrame, users: DataFrame) -> DataFrame:
-        return flag_members(df, users, "user_id", "_wanted").where("_wanted").drop("_wanted")
+    def _recent(self, number: int, bounds: DataFrame, latest: date) -> DataFrame:
+        """The days that the frames of each user's new rows reach."""
+        timely = F.col("_from") >= F.date_sub(F.lit(latest), REACH_DAYS)
+        past = self._history.read(number)
+        found = _of_users(past.where(F.col("day") >= F.date_sub(F.lit(latest), REACH_DAYS)), bounds.where(timely))
+        late = bounds.where(~timely)
+        since = late.agg(F.min("_from").alias("d")).first()["d"]
+        if since is not None:
+            found = found.unionByName(_of_users(past.where(F.col("day") >= F.lit(since)), late))
+        return found.where(F.col("day") >= F.col("_from")).select(*_PAST_COLUMNS)
+
+    def _tails(self, number: int, bounds: DataFrame) -> DataFrame:
+        """The last rows and the row count before micro-batch ``number``, of the given users alone."""
+        mine = _of_users(self._tail_table.read(number), bounds.select("user_id", "_from"))
+        return _newest(mine.drop("_from"))
 
     def _lacking(self, bounds: DataFrame, tails: DataFrame, context: DataFrame) -> DataFrame:
         """Users whose earliest new row has fewer known predecessors than a frame takes, though more exist."""
         known = (
-            left_join_skewed(context, bounds, ["user_id"], MAX_KEY_ROWS)
+            _of_users(context, bounds)
             .groupBy("user_id")
             .agg(F.count(F.lit(1)).alias("known"), F.count_if(F.col("timestamp") < F.col("_first")).alias("before"))
         )
@@ -118,13 +130,9 @@ class UserHistory:
             .select("user_id")
         )
 
-    def _store(
-        self, batch: DataFrame, bounds: DataFrame, tails: DataFrame, kept: DataFrame, number: int
-    ) -> None:
+    def _store(self, batch: DataFrame, bounds: DataFrame, tails: DataFrame, kept: DataFrame, number: int) -> None:
         owned = batch.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()).select(*_PAST_COLUMNS)
-        # Rebalanced: few files per day, and none too large, also if most rows are of one day.
-        days = owned.withColumn("day", F.to_date("timestamp")).hint("rebalance", F.col("day"))
-        days.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/history/batch={number}")
+        self._history.write(owned.withColumn("day", F.to_date("timestamp")), number)
         latest = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
         last = (
             owned.unionByName(kept)
@@ -139,9 +147,16 @@ class UserHistory:
             .join(before, "user_id", "left")
             .select("user_id", (F.coalesce("_before", F.lit(0)) + F.col("_rows")).alias("total"), "rows")
         )
-        entries.write.mode("overwrite").parquet(f"{self.root}/tails/batch={number}")
-        if number and number % self.rewrite_every == 0:
-            self._tails(number + 1).write.mode("overwrite").parquet(f"{self.root}/tails_base/batch={number}")
+        self._tail_table.write(entries, number)
+
+
+def _of_users(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """The rows of the given users, with the users' columns; a user's rows stay where they are if users are few."""
+    if fits_broadcast(users, BROADCAST_MEMBERS):
+        return rows.join(F.broadcast(users), "user_id")
+    return left_join_skewed(rows, users.withColumn("_member", F.lit(True)), ["user_id"], MAX_KEY_ROWS).where(
+        "_member"
+    ).drop("_member")
 
 
 def with_history(
@@ -150,6 +165,7 @@ def with_history(
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
     max_user_rows: int | None = MAX_USER_ROWS,
+    rewrite_every: int = FAN,
 ) -> DataStreamWriter:
     """A writer that hands every micro-batch with its per-user features to ``sink(df, number)``.
 
@@ -157,7 +173,7 @@ def with_history(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        past = UserHistory(batch.sparkSession, root, max_user_rows)
+        past = UserHistory(batch.sparkSession, root, max_user_rows, rewrite_every)
         sink(past.features(batch, number), number)
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -14,7 +14,9 @@ from txguard.plans.features import add_features
 from txguard.plans.scoring import alerts
 from txguard.schemas import RISKY_MERCHANTS
 from txguard.sources.codec import encode, split_decodable
+from txguard.streaming.dedup import drop_repeats
 from txguard.streaming.history import with_history
+from txguard.streaming.segments import FAN
 
 # Adds ``prediction`` to rows with features.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -50,16 +52,24 @@ def alerts_with_history(
     messages: DataFrame,
     scorer: Scorer,
     root: str,
-    output: str,
+    write: Callable[[DataFrame, int], None],
     checkpoint: str,
     risky: Sequence[str] = RISKY_MERCHANTS,
+    watermark: str = "24 hours",
     max_user_rows: int | None = MAX_USER_ROWS,
+    rewrite_every: int = FAN,
 ) -> DataStreamWriter:
-    """Score with the users' real activity; alerts go to ``output``, one folder per micro-batch."""
+    """Score with the users' real activity, the features that a model is trained on.
+
+    Repeated messages are dropped before they can count in anyone's history.
+    ``write(alerts, number)`` gets the alert rows of each micro-batch; after a
+    failure it may get those of the same number again.
+    """
     decoded, _ = split_decodable(messages)
-    rows = add_calendar(decoded).withColumn("merchant_risk", merchant_risk(F.col("merchant"), risky))
+    once = drop_repeats(decoded, watermark=watermark)
+    rows = add_calendar(once).withColumn("merchant_risk", merchant_risk(F.col("merchant"), risky))
 
-    def write(features: DataFrame, number: int) -> None:
-        alerts(scorer(features)).write.mode("overwrite").parquet(f"{output}/batch={number}")
+    def sink(features: DataFrame, number: int) -> None:
+        write(alerts(scorer(features)), number)
 
-    return with_history(rows, root, write, checkpoint, max_user_rows)
+    return with_history(rows, root, sink, checkpoint, max_user_rows, rewrite_every)

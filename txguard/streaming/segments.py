@@ -1,0 +1,98 @@
+"""A table that grows by micro-batches, in a bounded number of folders.
+
+Each micro-batch writes a segment of its own. Every FAN batches the newest FAN
+segments are merged into one, every FAN * FAN batches the newest FAN of those, and
+so on; the merged ones are then removed. So FAN segments per level remain, and a row
+is rewritten once per level. A segment counts when it is complete, and one inside of
+a larger complete one does not count, so a crash at any point leaves a valid table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+FAN = 50
+
+
+@dataclass(frozen=True)
+class Segments:
+    """Segments ``level=l/batch=n`` below ``root``; one holds the batches from n to n + fan ** l - 1."""
+
+    spark: SparkSession
+    root: str
+    schema: str
+    partition_by: Sequence[str] = ()
+    fan: int = FAN
+
+    def write(self, df: DataFrame, number: int) -> None:
+        """Store micro-batch ``number``; repeating it replaces it."""
+        self._save(df, self._path(0, number))
+
+    def read(self, before: int) -> DataFrame:
+        """The rows of all micro-batches below ``before``."""
+        found = self._complete()
+        paths = [
+            self._path(level, first)
+            for level, first in found
+            if first + self.fan**level <= before and not any(self._holds(o, (level, first), before) for o in found)
+        ]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self._load(paths)
+
+    def merge(self, number: int, reduce: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        """Merge what is due before micro-batch ``number``; all lower ones are final by then."""
+        level = 1
+        while number and number % self.fan**level == 0:
+            first = number - self.fan**level
+            inside = [s for s in self._complete() if s[0] < level and first <= s[1] < number]
+            if inside:
+                target = self._path(level, first)
+                if (level, first) not in self._complete():
+                    paths = [self._path(*s) for s in inside if not any(self._holds(o, s, number) for o in inside)]
+                    self._save(reduce(self._load(paths)), target)
+                for segment in inside:
+                    self._remove(self._path(*segment))
+            level += 1
+
+    def _holds(self, other: tuple[int, int], segment: tuple[int, int], before: int) -> bool:
+        (high, start), (level, first) = other, segment
+        end = start + self.fan**high
+        return high > level and start <= first < end <= before
+
+    def _path(self, level: int, first: int) -> str:
+        return f"{self.root}/level={level}/batch={first}"
+
+    def _save(self, df: DataFrame, path: str) -> None:
+        if self.partition_by:
+            # Few files per value, and none too large, also if most rows have one.
+            df = df.hint("rebalance", *self.partition_by)
+        df.write.mode("overwrite").partitionBy(*self.partition_by).parquet(path)
+
+    def _load(self, paths: list[str]) -> DataFrame:
+        reader = self.spark.read.schema(self.schema).option("basePath", self.root)
+        return reader.parquet(*sorted(paths)).drop("level", "batch")
+
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _listed(self, path: str) -> list[str]:
+        files, place = self._files(path)
+        return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+    def _complete(self) -> list[tuple[int, int]]:
+        found = []
+        for level in self._listed(self.root):
+            for batch in self._listed(f"{self.root}/{level}"):
+                files, mark = self._files(f"{self.root}/{level}/{batch}/_SUCCESS")
+                if files.exists(mark):
+                    found.append((int(level.split("=")[1]), int(batch.split("=")[1])))
+        return found
+
+    def _remove(self, path: str) -> None:
+        files, place = self._files(path)
+        files.delete(place, True)

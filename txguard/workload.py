@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txguard.config import Config, ModelConfig
+from txguard.config import Config, ModelConfig, ScoringConfig
 from txguard.functions.scalar import add_calendar, iso_timestamp, merchant_risk
 from txguard.operators import evaluate, quality
 from txguard.operators.activity import add_activity
@@ -23,7 +24,8 @@ from txguard.plans.features import add_features, scoring_rows, training_rows
 from txguard.plans.records import produce_records
 from txguard.plans.registry import Registry, best_model, candidate_versions
 from txguard.plans.scoring import alerts, score_foreign, score_native
-from txguard.plans.training import ID, cross_validate, fit, train_and_register
+from txguard.plans.serving import Sinks, scorer, scoring_job
+from txguard.plans.training import ID, FraudModel, cross_validate, fit, train_and_register, train_from_messages
 from txguard.schemas import LABEL, LABELLED_TRANSACTION
 from txguard.session import scratch_path
 from txguard.sources import files
@@ -499,15 +501,8 @@ def _alert_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*names, *more, _micros(), _r6("amount_to_avg_ratio"))
 
 
-def _arrivals(spark: SparkSession, folder: str, parts: int, repeats: bool = False) -> list[DataFrame]:
-    """The events as messages in ``parts`` deliveries by time; with ``repeats`` each also brings the one before.
-
-    Events without a time come first. With ``repeats`` every 13th event has no id.
-    """
-    events = _events(spark, folder)
-    if repeats:
-        nameless = F.col("transaction_id").cast("long") % 13 == 0
-        events = events.withColumn("transaction_id", F.when(~nameless, F.col("transaction_id")))
+def _arrivals(events: DataFrame, parts: int, repeats: bool = False) -> list[DataFrame]:
+    """Rows as messages in ``parts`` deliveries by time, rows without a time first; with ``repeats`` each also brings the one before."""
     first, last = events.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
     width = (last - first) // parts + 1
     turn = F.coalesce(F.floor((F.unix_micros("timestamp") - first) / width), F.lit(0))
@@ -523,9 +518,10 @@ def _deliver(spark: SparkSession, arrivals: list[DataFrame], start: Callable[[Da
     place = scratch_path(spark, "stream")
     for delivery in arrivals:
         delivery.write.mode("append").parquet(f"{place}/in")
-        messages = spark.readStream.schema(files.MESSAGE).parquet(f"{place}/in")
-        query = start(messages, place).trigger(availableNow=True).start()
-        query.awaitTermination()
+        messages = files.read_stream(spark, f"{place}/in", files_per_batch=1000)
+        started = start(messages, place)
+        for writer in started if isinstance(started, list) else [started]:
+            writer.trigger(availableNow=True).start().awaitTermination()
     return place
 
 
@@ -538,7 +534,7 @@ def stream_features(spark: SparkSession, folder: str) -> DataFrame:
 
         return with_history(decode(messages), f"{place}/past", write, f"{place}/checkpoint")
 
-    place = _deliver(spark, _arrivals(spark, folder, 3), start)
+    place = _deliver(spark, _arrivals(_events(spark, folder), 3), start)
     return _all_activity(spark.read.parquet(f"{place}/out"))
 
 
@@ -547,21 +543,88 @@ def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
         found = alert_rows(messages, _foreign_scorer, EVENT_RISKY)
         return files.alert_writer(found, f"{place}/out", f"{place}/checkpoint")
 
-    place = _deliver(spark, _arrivals(spark, folder, 2), start)
+    place = _deliver(spark, _arrivals(_events(spark, folder), 2), start)
     return _alert_columns(spark.read.parquet(f"{place}/out"))
 
 
 def stream_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    """Every message but the last delivery's arrives twice; each transaction with an id comes out once."""
+    """Every message but the last delivery's arrives twice; each transaction with an id comes out once.
+
+    Every 13th has none.
+    """
+    events = _events(spark, folder)
+    nameless = F.col("transaction_id").cast("long") % 13 == 0
+    events = events.withColumn("transaction_id", F.when(~nameless, F.col("transaction_id")))
 
     def start(messages: DataFrame, place: str):
         once = drop_repeats(decode(messages), combine_first=True)
         return files.alert_writer(once, f"{place}/out", f"{place}/checkpoint")
 
-    place = _deliver(spark, _arrivals(spark, folder, 3, repeats=True), start)
+    place = _deliver(spark, _arrivals(events, 3, repeats=True), start)
     return spark.read.parquet(f"{place}/out").select("transaction_id", "user_id", "amount", _micros())
 
 
+def _served(spark: SparkSession, folder: str) -> tuple[DataFrame, FraudModel, str]:
+    """Events with odd ids, streamed in three deliveries that bring messages twice, to a model of the others."""
+    events, odd = _labelled(spark, folder), F.col("transaction_id").cast("long") % 2 == 1
+    model = fit(training_rows(add_features(events.where(~odd), EVENT_RISKY), [ID]), SMALL_MODEL)
+    streamed = events.where(odd).drop(LABEL)
+    malformed = spark.createDataFrame([("bad", "no json"), ("none", None)], files.MESSAGE)
+    arrivals = [part.unionByName(malformed) for part in _arrivals(streamed, 3, repeats=True)]
+
+    def start(messages: DataFrame, place: str) -> list:
+        scoring = ScoringConfig(threshold=0.5, checkpoint_location=f"{place}/checks", state_location=f"{place}/state")
+        config = Config(scoring=scoring, high_risk_merchants=tuple(EVENT_RISKY))
+
+        def into(name: str) -> Callable[[DataFrame, int], None]:
+            return lambda df, number: df.write.mode("overwrite").parquet(f"{place}/{name}/batch={number}")
+
+        return scoring_job(messages, scorer(model, config), config, Sinks(into("alerts"), into("rejected")))
+
+    return streamed, model, _deliver(spark, arrivals, start)
+
+
+def served_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the streamed events, and whether the job's alerts equal the batch's features and predictions."""
+    streamed, model, place = _served(spark, folder)
+    batch = score_native(add_features(streamed, EVENT_RISKY), model, 0.5)
+    alerted = decode(spark.read.schema(files.MESSAGE).parquet(*_batches(spark, f"{place}/alerts")), alerts(batch).schema)
+    names = [c for c in alerted.columns if c != ID]
+    seen = alerted.groupBy(ID).agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(f"seen_{c}") for c in names])
+    same = reduce(Column.__and__, [F.col(f"seen_{c}").eqNullSafe(F.col(c)) for c in names])
+    agrees = F.when(F.col("prediction") == 1, (F.col("times") == 1) & same).otherwise(F.col("times").isNull())
+    rows = batch.join(seen, ID, "left").withColumn("agrees", F.coalesce(agrees, F.lit(False)))
+    means = ["rolling_avg_7rows", "amount_to_avg_ratio", "time_since_last_txn", "rolling_avg_7d"]
+    return rows.select(ID, "user_activity_24h", *[_r6(m) for m in means], "agrees")
+
+
+def _batches(spark: SparkSession, root: str) -> list[str]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return [f.getPath().toString() for f in found]
+
+
+def rejected_by_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages that the scoring job sets aside."""
+    _, _, place = _served(spark, folder)
+    rejected = spark.read.schema(files.MESSAGE).parquet(*_batches(spark, f"{place}/rejected"))
+    return rejected.groupBy("key").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def training_from_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures of a training run on files of messages, flaws among them, and of what it set aside."""
+    place = scratch_path(_utc(spark), "training")
+    _flawed_messages(spark, folder).write.parquet(f"{place}/in")
+    messages = files.read_batch(spark, f"{place}/in", files.MESSAGE)
+    registry = Registry(spark, f"{place}/registry")
+    config = Config(model=SMALL_MODEL, high_risk_merchants=tuple(EVENT_RISKY))
+    train_from_messages(messages, config, registry, f"{place}/model", f"{place}/aside", MESSAGE_LIMITS, SMALL_SPACE)
+    aside = spark.read.parquet(f"{place}/aside").agg(F.count(F.lit(1)).alias("set_aside"))
+    names = ("train_samples", "positive_samples", "test_samples")
+    run = registry.runs().select(*[F.col("metrics")[n].cast("long").alias(n) for n in names])
+    return run.withColumn("set_aside", F.lit(aside.first()[0]))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -618,5 +681,8 @@ QUERIES: dict[str, Query] = {
         stream_features,
         stream_alerts,
         stream_without_repeats,
+        served_alerts,
+        rejected_by_job,
+        training_from_messages,
     )
 }

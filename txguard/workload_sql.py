@@ -313,4 +313,19 @@ turns AS (SELECT *, CAST(transaction_id AS BIGINT) % 13 = 0 AS nameless,
 SELECT transaction_id, user_id, amount, event_us FROM (
   SELECT CASE WHEN NOT nameless THEN transaction_id END AS transaction_id, user_id, amount, event_us,
     unnest(range(CASE WHEN nameless AND turn < 2 THEN 2 ELSE 1 END)) AS time FROM turns)""",
+    "served_alerts": f"""WITH {_EVENTS}, chosen AS (SELECT * FROM events_tx WHERE CAST(transaction_id AS BIGINT) % 2 = 1),
+{_activity('chosen')} SELECT transaction_id, user_activity_24h, rolling_avg_7rows, amount_to_avg_ratio, time_since_last_txn,
+  rolling_avg_7d, true AS agrees FROM activity""",
+    "rejected_by_job": "SELECT * FROM (VALUES ('bad', 3), ('none', 3)) AS v(key, messages) WHERE (SELECT count(*) FROM events) > 0",
+    "training_from_messages": f"""WITH {_MESSAGES}, classes AS (
+  SELECT is_fraud, count(*) AS n FROM checked WHERE len(broken) = 0 GROUP BY is_fraud),
+shares AS (
+  SELECT is_fraud, n, sum(n) OVER () AS total, sum(n) OVER () - ceil(0.2 * sum(n) OVER ()) AS train FROM classes),
+whole AS (SELECT *, floor(n * train / total) AS base, (n * train) % total AS remainder FROM shares),
+ranked AS (SELECT *, row_number() OVER (ORDER BY remainder DESC, is_fraud) AS place,
+  train - sum(base) OVER () AS spare FROM whole),
+taken AS (SELECT is_fraud, n, base + CAST(place <= spare AS INTEGER) AS train FROM ranked)
+SELECT CAST(sum(train) AS BIGINT) AS train_samples, CAST(sum(train) FILTER (is_fraud = 1) AS BIGINT) AS positive_samples,
+  CAST(sum(n - train) AS BIGINT) AS test_samples, (SELECT count(*) FROM checked WHERE len(broken) > 0) AS set_aside
+FROM taken""",
 }
