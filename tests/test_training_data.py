@@ -127,6 +127,11 @@ def points(spark, shape, size=600):
     elif shape == "copies":  # a third of all points are one point
         values = np.column_stack([rng.normal(size=size), rng.normal(size=size), np.zeros(size)])
         values[: size // 3] = [0.5, 0.5, 0.0]
+    elif shape == "grid":  # many equally far ones
+        values = np.array([(i % 20, i // 20, 0) for i in range(400)], float)
+    elif shape == "outlier":
+        values = rng.normal(size=(size, 3))
+        values[7, 0] = 1e9
     elif shape == "sixfold":  # the nearest are the other five copies
         values = np.repeat(rng.normal(size=(size // 6, 3)), 6, axis=0)
     else:  # two clusters and a few points far away
@@ -136,12 +141,12 @@ def points(spark, shape, size=600):
     return spark.createDataFrame(rows, "transaction_id string, a double, b double, c double"), values
 
 
-@pytest.mark.parametrize("shape", ["cloud", "copies", "sixfold", "clusters"])
+@pytest.mark.parametrize("shape", ["cloud", "copies", "grid", "outlier", "sixfold", "clusters"])
 @pytest.mark.parametrize("large", [False, True])
 def test_neighbours_are_the_nearest(spark, monkeypatch, shape, large):
     """Against brute force; ``large`` takes the way for minorities beyond a broadcast matrix."""
     if large:
-        for name, value in {"BLOCK_ROWS": 100, "BOX_ROWS": 40, "VISIT_ROWS": 50, "_GROUPED_BOXES": 4, "WINDOW_ROWS": 6}.items():
+        for name, value in {"BLOCK_ROWS": 100, "BOX_ROWS": 40, "VISIT_ROWS": 50, "GROUP_BOXES": 4, "WINDOW_ROWS": 6}.items():
             monkeypatch.setattr(over, name, value)
     rows, values = points(spark, shape)
     found = nearest_neighbours(rows, ["a", "b", "c"], "transaction_id", 5, exact_rows=0 if large else 10_000).collect()
@@ -155,6 +160,8 @@ def test_neighbours_are_the_nearest(spark, monkeypatch, shape, large):
         own = int(name[1:])
         assert sorted(r["nth"] for r in near) == [0, 1, 2, 3, 4]
         assert len({r["neighbour"] for r in near}) == 5 and name not in {r["neighbour"] for r in near}
+        nearest = np.lexsort((np.arange(len(values)), gaps[own]))[:5]
+        assert [r["neighbour"] for r in sorted(near, key=lambda r: r["nth"])] == [f"p{i:04d}" for i in nearest]
         taken = sorted(gaps[own, int(r["neighbour"][1:])] for r in near)
         assert taken == pytest.approx(np.sort(gaps[own])[:5]), name
         assert all(r["w"] == pytest.approx(list(values[int(r["neighbour"][1:])])) for r in near)

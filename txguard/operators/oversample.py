@@ -4,12 +4,13 @@ A synthetic row draws a (minority row, neighbour) pair and a step in [0, 1) by
 hashing its number, so any task can make any of them and a lost task makes the
 same ones again. Distances are Euclidean on the given columns, as they are.
 
-Distances to the k nearest are exact for any size. A minority that fits a
-broadcast matrix of checked size is compared as a whole. A larger one is put in
+Neighbours are exact for any size, equally distant ones by id. A minority that fits
+a broadcast matrix of checked size is compared as a whole. A larger one is put in
 the order of shifted Z-order curves (as in Zhang, Li and Jestes 2012), where the
 rows around a row give a first upper bound of its k-th distance. One curve is
 then cut into boxes of equally many rows, and a row is compared with the boxes
-that its bound reaches. Boxes that many rows reach are handled by many tasks.
+that its bound reaches: first the groups of boxes that it reaches are found, then
+the boxes of each. Groups and boxes that many rows reach are handled by many tasks.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ EXACT_ROWS = 10_000  # largest minority matrix to broadcast
 BLOCK_ROWS = 50_000  # rows of a curve handled by one task
 WINDOW_ROWS = 16  # rows compared on each side of a curve
 CURVES = 3
-MAX_BOXES = 100_000  # boxes whose borders are broadcast
-BOX_ROWS = 2_048  # rows per box, more if there were too many boxes
+BOX_ROWS = 2_048  # rows per box
+GROUP_BOXES = 256  # boxes per group; the borders of all groups are broadcast, one per half a million rows
+CUTS = 1_024  # quantiles that give a column's scale on the curves
 VISIT_ROWS = 20_000  # rows one task compares with a box
 DRAWN_ROWS = 5_000_000  # synthetic rows made by one task
-_GROUPED_BOXES = 256
 _NEAR = "id string, neighbour string, gap double, w array<double>"
 _BITS = 16
 _FRACTION_BITS = 48
@@ -85,14 +86,15 @@ def _exact_neighbours(minority: DataFrame, k: int) -> DataFrame:
 def _curve_keys(minority: DataFrame, dimensions: int, seed: int) -> DataFrame:
     """The row's place on each of the shifted curves, as hexadecimal text.
 
-    All columns share one cell width, as distances are taken on the raw values.
+    A column's scale is that of its quantiles, so neither a wide column nor an
+    outlier spoils the order. Distances are taken on the raw values.
     """
-    low_high = minority.agg(
-        *[F.min(F.col("v")[i]).alias(f"l{i}") for i in range(dimensions)],
-        *[F.max(F.col("v")[i]).alias(f"h{i}") for i in range(dimensions)],
-    ).first()
-    low = np.array([low_high[f"l{i}"] for i in range(dimensions)], dtype=float)
-    widest = max(low_high[f"h{i}"] - low_high[f"l{i}"] for i in range(dimensions)) or 1.0
+    shares = [i / CUTS for i in range(CUTS + 1)]
+    cuts = minority.agg(*[F.percentile_approx(F.col("v")[i], shares, 10 * CUTS).alias(f"c{i}") for i in range(dimensions)]).first()
+    scales = []
+    for i in range(dimensions):
+        values, last = np.unique(np.array(cuts[f"c{i}"], dtype=float)[::-1], return_index=True)
+        scales.append((values, 1 - last / CUTS))
     shifts = np.random.default_rng(seed).random((CURVES, dimensions))
     shifts[0] = 0.0
 
@@ -100,7 +102,8 @@ def _curve_keys(minority: DataFrame, dimensions: int, seed: int) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            values = (np.stack(batch["v"].to_numpy()) - low) / widest
+            raw = np.stack(batch["v"].to_numpy())
+            values = np.stack([np.interp(raw[:, i], *scale) for i, scale in enumerate(scales)], axis=1)
             for curve in range(CURVES):
                 cells = ((values + shifts[curve]) / 2 * (2**_BITS - 1)).astype(np.uint32)
                 bits = (cells[:, None, :] >> np.arange(_BITS - 1, -1, -1)[None, :, None]) & 1
@@ -162,48 +165,67 @@ def _gaps_to_boxes(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return total
 
 
-def _visits(home: DataFrame, bounds: DataFrame, dimensions: int) -> DataFrame:
-    """(box, id, v): the boxes that may hold something nearer than a row's bound."""
-    borders = (
-        home.groupBy("box")
-        .agg(
-            *[F.min(F.col("v")[i]).alias(f"l{i}") for i in range(dimensions)],
-            *[F.max(F.col("v")[i]).alias(f"h{i}") for i in range(dimensions)],
-        )
-        .orderBy("box")
-        .limit(MAX_BOXES + 1)
-        .toPandas()
+def _borders(rows: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """Per ``key`` the lowest and highest value of each column of ``v``, or of ``low`` and ``high``."""
+    low, high = ("low", "high") if "low" in rows.columns else ("v", "v")
+    return rows.groupBy(key).agg(
+        F.array(*[F.min(F.col(low)[i]) for i in range(dimensions)]).alias("low"),
+        F.array(*[F.max(F.col(high)[i]) for i in range(dimensions)]).alias("high"),
     )
-    low = borders[[f"l{i}" for i in range(dimensions)]].to_numpy(dtype=float)
-    high = borders[[f"h{i}" for i in range(dimensions)]].to_numpy(dtype=float)
-    starts = np.arange(0, len(low), _GROUPED_BOXES)
+
+
+def _reached(points: np.ndarray, reach: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, boxes) of the boxes that hold a place as near as a row's bound, some rows at a time."""
+    for start in range(0, len(points), 512):
+        part = slice(start, start + 512)
+        row, box = np.nonzero(_gaps_to_boxes(points[part], low, high) <= reach[part, None])
+        yield row + start, box
+
+
+def _dealt(visits: DataFrame, places: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``part``, so that no task gets more than about VISIT_ROWS visits of a place."""
+    # One row per place.
+    parts = F.broadcast(reliable(visits.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("parts"))))
+    visitors = visits.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    hosts = places.join(parts, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return visitors.drop("parts"), hosts.drop("parts")
+
+
+def _visits(home: DataFrame, bounds: DataFrame, dimensions: int) -> DataFrame:
+    """(box, id, v): the boxes that may hold something as near as a row's bound."""
+    boxes = _borders(home, "box", dimensions).withColumn("group", F.floor(F.col("box") / GROUP_BOXES))
+    boxes = reliable(boxes)
+    groups = _borders(boxes, "group", dimensions).toPandas()
     shared = home.sparkSession.sparkContext.broadcast(
-        (low, high, np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts))
+        (groups["group"].to_numpy(), np.stack(groups["low"].to_numpy()), np.stack(groups["high"].to_numpy()))
     )
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, high, group_low, group_high = shared.value
+    def to_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, low, high = shared.value
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start : start + 512]
-                points, reach = np.stack(part["v"].to_numpy()), part["reach"].to_numpy()
-                rows, boxes = [], []
-                near = _gaps_to_boxes(points, group_low, group_high) < reach[:, None]
-                for group in np.flatnonzero(near.any(axis=0)):
-                    inside = np.flatnonzero(near[:, group])
-                    first = group * _GROUPED_BOXES
-                    one = slice(first, first + _GROUPED_BOXES)
-                    row, box = np.nonzero(_gaps_to_boxes(points[inside], low[one], high[one]) < reach[inside, None])
-                    rows.append(inside[row])
-                    boxes.append(box + first)
-                if rows:
-                    picked = part.iloc[np.concatenate(rows)][["id", "v"]].reset_index(drop=True)
-                    picked.insert(0, "box", np.concatenate(boxes))
-                    yield picked
-
-    return home.join(bounds, "id").select("id", "v", "reach").mapInPandas(
-        visit, "box long, id string, v array<double>"
-    )
+            if batch.empty:
+                continue
+            for row, group in _reached(np.stack(batch["v"].to_numpy()), batch["reach"].to_numpy(), low, high):
+                picked = batch.iloc[row][["id", "v", "reach"]].reset_index(drop=True)
+                picked.insert(0, "group", names[group])
+                yield picked
+
+    def to_boxes(visitors: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        if visitors.empty or places.empty:
+            return pd.DataFrame(columns=["box", "id", "v"])
+        low, high, found = np.stack(places["low"].to_numpy()), np.stack(places["high"].to_numpy()), []
+        names = places["box"].to_numpy()
+        for row, box in _reached(np.stack(visitors["v"].to_numpy()), visitors["reach"].to_numpy(), low, high):
+            picked = visitors.iloc[row][["id", "v"]].reset_index(drop=True)
+            picked.insert(0, "box", names[box])
+            found.append(picked)
+        return pd.concat(found, ignore_index=True)
+
+    rows = home.join(bounds, "id").select("id", "v", "reach")
+    sent = reliable(rows.mapInPandas(to_groups, "group long, id string, v array<double>, reach double"))
+    visitors, places = _dealt(sent, boxes, "group")
+    by = ["group", "part"]
+    return visitors.groupBy(*by).cogroup(places.groupBy(*by)).applyInPandas(to_boxes, "box long, id string, v array<double>")
 
 
 def _nearest_of(found: DataFrame, k: int) -> DataFrame:
@@ -214,31 +236,48 @@ def _nearest_of(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _boxed_neighbours(minority: DataFrame, k: int, dimensions: int, size: int, seed: int) -> DataFrame:
-    """The k nearest of every row; which of several equally far ones are last is left open."""
+def _boxed_neighbours(points: DataFrame, k: int, dimensions: int, seed: int) -> DataFrame:
+    """The k nearest of every row, equally far ones by id.
+
+    Equal points stand for one another in the search, each with its k + 1 lowest
+    ids, so a point that very many rows share is searched for once.
+    """
+    by_id = Window.partitionBy("v").orderBy("id")
+    lowest = points.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1)
+    distinct = lowest.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    distinct = reliable(distinct.withColumn("id", F.col("ids")[0]))
+    found = _neighbours_of_distinct(distinct.select("id", "v"), k, dimensions, seed)
+    owners = distinct.select(F.col("id").alias("neighbour"), "ids")
+    others = found.join(owners, "neighbour").groupBy("id").agg(F.collect_list(F.struct("gap", "ids", "w")).alias("others"))
+    known = distinct.join(others, "id", "left").withColumn(
+        "others",
+        F.concat(
+            F.array(F.struct(F.lit(0.0).alias("gap"), "ids", F.col("v").alias("w"))),
+            F.coalesce("others", F.array().cast("array<struct<gap:double,ids:array<string>,w:array<double>>>")),
+        ),
+    )
+    each = F.flatten(F.transform("others", lambda o: F.transform(o["ids"], lambda i: F.struct(o["gap"], i.alias("neighbour"), o["w"]))))
+    rows = points.select("id", "v").join(known.select("v", each.alias("near")), "v")
+    nearest = F.slice(F.array_sort(F.filter("near", lambda n: n["neighbour"] != F.col("id"))), 1, k)
+    return rows.select("id", F.posexplode(nearest).alias("nth", "n")).select("id", "nth", "n.neighbour", "n.w")
+
+
+def _neighbours_of_distinct(minority: DataFrame, k: int, dimensions: int, seed: int) -> DataFrame:
     keys = _curve_keys(minority, dimensions, seed)
     placed = reliable(with_position(keys, ["curve", "z", "id"], "at"))
     near = reliable(_nearest_of(_curve_candidates(placed, k), k))
     # k rows per id: the farthest bounds the true k-th distance.
-    bounds = near.groupBy("id").agg(F.max("gap").alias("reach"))
-    box_rows = max(BOX_ROWS, -(-size // MAX_BOXES))
+    reach = F.when(F.count(F.lit(1)) < k, float("inf")).otherwise(F.max("gap")).alias("reach")
+    bounds = minority.select("id").join(near.groupBy("id").agg(reach), "id", "left").fillna(float("inf"), ["reach"])
     # The first curve has the positions 0 … size - 1.
-    home = placed.where(F.col("curve") == 0).select(F.floor(F.col("at") / box_rows).alias("box"), "id", "v")
+    home = placed.where(F.col("curve") == 0).select(F.floor(F.col("at") / BOX_ROWS).alias("box"), "id", "v")
     visits = reliable(_visits(home, bounds, dimensions))
-    # One row per box.
-    parts = F.broadcast(
-        visits.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("parts"))
-    )
-    visitors = visits.join(parts, "box").select(
-        "box", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v"
-    )
-    hosts = home.join(parts.withColumnRenamed("parts", "copies"), "box").select(
-        "box", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), "id", "v"
-    )
+    visitors, hosts = _dealt(visits, home, "box")
 
     def search(visitors: pd.DataFrame, hosts: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if hosts.empty or visitors.empty:
             return
+        hosts = hosts.sort_values("id", ignore_index=True)
         ids, matrix = hosts["id"].to_numpy(), np.stack(hosts["v"].to_numpy())
         place, kept = pd.Index(ids), min(k, len(ids))
         for start in range(0, len(visitors), 512):
@@ -248,7 +287,8 @@ def _boxed_neighbours(minority: DataFrame, k: int, dimensions: int, size: int, s
             itself = place.get_indexer(own)
             home = np.flatnonzero(itself >= 0)
             gaps[home, itself[home]] = np.inf
-            best = np.argpartition(gaps, kept - 1, axis=1)[:, :kept]
+            # The order of ids among equal gaps.
+            best = np.argsort(gaps, axis=1, kind="stable")[:, :kept]
             gap, other = np.take_along_axis(gaps, best, 1).ravel(), best.ravel()
             known = np.isfinite(gap)
             yield pd.DataFrame(
@@ -267,7 +307,7 @@ def _boxed_neighbours(minority: DataFrame, k: int, dimensions: int, size: int, s
     found = (
         visitors.groupBy("box", "part").cogroup(hosts.groupBy("box", "part")).applyInPandas(search_all, _NEAR)
     )
-    return _nearest_of(found.unionByName(near.drop("nth")), k).select("id", "nth", "neighbour", "w")
+    return _nearest_of(found.unionByName(near.drop("nth")), k)
 
 
 def nearest_neighbours(
@@ -285,7 +325,7 @@ def nearest_neighbours(
         raise ValueError(f"{size} rows have no {k} neighbours each")
     if size <= min(exact_rows, EXACT_ROWS):
         return _exact_neighbours(points, k)
-    return _boxed_neighbours(points, k, len(features), points.count(), seed)
+    return _boxed_neighbours(points, k, len(features), seed)
 
 
 def _number(text: Column, start: int, digits: int) -> Column:

@@ -347,6 +347,12 @@ def minority_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(minority, BALANCED_FEATURES, ID).select("id", "nth", "neighbour")
 
 
+def minority_neighbours_boxed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the way of large minorities."""
+    minority = _to_balance(spark, folder).where(F.col(LABEL) == 1)
+    return nearest_neighbours(minority, BALANCED_FEATURES, ID, exact_rows=0).select("id", "nth", "neighbour")
+
+
 def oversampled_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = oversample(_to_balance(spark, folder), BALANCED_FEATURES, seed=SEED)
     return rows.select("transaction_id", *[_r6(f) for f in BALANCED_FEATURES], LABEL, "is_synthetic")
@@ -659,6 +665,7 @@ QUERIES: dict[str, Query] = {
         fold_rows,
         ordinal_codes,
         minority_neighbours,
+        minority_neighbours_boxed,
         oversampled_rows,
         oversampled_counts,
         pr_curve,

@@ -263,6 +263,7 @@ ORACLES: dict[str, str] = {
         SELECT transaction_id, merchant, coalesce(code, -1.0) AS merchant_code
         FROM named LEFT JOIN codes USING (merchant)""",
     "minority_neighbours": f"WITH {_BALANCE} SELECT id, CAST(nth AS INTEGER) AS nth, neighbour FROM near",
+    "minority_neighbours_boxed": f"WITH {_BALANCE} SELECT id, CAST(nth AS INTEGER) AS nth, neighbour FROM near",
     "oversampled_rows": f"""WITH {_BALANCE}
         SELECT transaction_id, amount, is_night, transaction_day, merchant_risk, is_fraud, is_synthetic FROM balanced""",
     "oversampled_counts": f"""WITH {_BALANCE}
