@@ -20,7 +20,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
     # The queries of the optional subpackage have tests of their own.
     others = {name for name in set(QUERIES) - set(SQL) if not name.startswith("op") and name != "pipeline"}
-    assert others == {"scored_gbt", "cv_results", "trained_model_metrics"}
+    assert others == {"trained_model_metrics"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -28,9 +28,10 @@ def test_query_equals_its_sql(spark, tables, name):
     assert difference(spark, tables, QUERIES[name], SQL[name], SMALL) is None
 
 
-@pytest.mark.parametrize("name", ["scored_gbt", "cv_results"])
-def test_model_queries_give_rows(spark, name):
-    assert QUERIES[name](spark, SMALL).count() > 0
+def test_training_query_gives_its_record(spark):
+    record = {r["metric"]: r["value"] for r in QUERIES["trained_model_metrics"](spark, SMALL).collect()}
+    assert {"auc_pr", "precision", "recall", "f1", "threshold", "train_samples"} <= record.keys()
+    assert record["train_samples"] == 800 and record["test_samples"] == 200
 
 
 def test_flagship(spark):

@@ -82,8 +82,8 @@ class FraudModel:
 
 
 def vector_columns(features: Sequence[str] = TRAINING_FEATURES) -> list[str]:
-    """The columns of the feature vector: the merchant's code first, then the others as they are."""
-    return [CODE, *[f for f in features if f != "merchant"]]
+    """The columns of the feature vector: the merchant's code first, if it is a feature, then the others as they are."""
+    return [*([CODE] if "merchant" in features else []), *[f for f in features if f != "merchant"]]
 
 
 def _assemble(encoded: DataFrame, features: Sequence[str] = TRAINING_FEATURES) -> DataFrame:
@@ -111,27 +111,35 @@ def _param_map(classifier: GBTClassifier, params: Mapping[str, object]) -> dict:
     return {classifier.getParam(name): value for name, value in params.items()}
 
 
-def prepare(train: DataFrame, config: ModelConfig) -> tuple[OrdinalCodes, DataFrame]:
+def prepare(
+    train: DataFrame, config: ModelConfig, features: Sequence[str] = TRAINING_FEATURES
+) -> tuple[OrdinalCodes, DataFrame]:
     """Codes learnt from ``train`` and its rows encoded, balanced and assembled.
 
     Balancing comes after encoding, so synthetic rows also lie between the
     merchant codes of their pair.
     """
     codes = fit_codes(train, "merchant")
-    balanced = oversample(codes.transform(train, CODE), vector_columns(), LABEL, ID, config.neighbours, config.seed)
-    return codes, _assemble(balanced).select("features", LABEL)
+    columns = vector_columns(features)
+    balanced = oversample(codes.transform(train, CODE), columns, LABEL, ID, config.neighbours, config.seed)
+    return codes, _assemble(balanced, features).select("features", LABEL)
 
 
-def fit(train: DataFrame, config: ModelConfig | None = None, params: Mapping[str, object] | None = None) -> FraudModel:
+def fit(
+    train: DataFrame,
+    config: ModelConfig | None = None,
+    params: Mapping[str, object] | None = None,
+    features: Sequence[str] = TRAINING_FEATURES,
+) -> FraudModel:
     """Balance ``train`` and fit boosted trees to it."""
     config = config or ModelConfig()
-    codes, rows = prepare(train, config)
+    codes, rows = prepare(train, config, features)
     # Fitting reads the rows several times.
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     classifier = _classifier(config)
     trees = classifier.fit(rows, _param_map(classifier, params or default_params(config)))
     rows.unpersist()
-    return FraudModel(codes, trees)
+    return FraudModel(codes, trees, tuple(features))
 
 
 def sample_candidates(config: ModelConfig, space: Mapping[str, Sequence] | None = None) -> list[dict]:
@@ -142,7 +150,11 @@ def sample_candidates(config: ModelConfig, space: Mapping[str, Sequence] | None
 
 
 def cross_validate(
-    train: DataFrame, candidates: Sequence[Mapping[str, object]], config: ModelConfig, parallelism: int = 2
+    train: DataFrame,
+    candidates: Sequence[Mapping[str, object]],
+    config: ModelConfig,
+    parallelism: int = 2,
+    features: Sequence[str] = TRAINING_FEATURES,
 ) -> list[dict]:
     """Mean F2 of each candidate over stratified folds.
 
@@ -153,12 +165,12 @@ def cross_validate(
     scores: list[list[float]] = [[] for _ in candidates]
     classifier = _classifier(config)
     for fold in range(config.folds):
-        codes, rows = prepare(folded.where(F.col("fold") != fold).drop("fold"), config)
+        codes, rows = prepare(folded.where(F.col("fold") != fold).drop("fold"), config, features)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         held_out = folded.where(F.col("fold") == fold).drop("fold")
 
         def f2(params: Mapping[str, object], rows=rows, codes=codes, held_out=held_out) -> float:
-            model = FraudModel(codes, classifier.fit(rows, _param_map(classifier, params)))
+            model = FraudModel(codes, classifier.fit(rows, _param_map(classifier, params)), tuple(features))
             labelled = model.transform(held_out).withColumn("prediction", to_label(F.col("score"), 0.5))
             return classification_metrics(labelled, LABEL, "prediction", beta=2.0).first()["f_beta"]
 

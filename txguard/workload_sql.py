@@ -151,6 +151,25 @@ balanced AS (
     round(c + step * (nc - c), 6), round(d + step * (nd - d), 6), 1, true
   FROM draws JOIN pairs USING (pair))"""
 
+def _stump(rows: str, group: str = "0") -> str:
+    """``stump`` (g, merchant_risk, score) from the rows (g, transaction_id, merchant_risk, is_fraud) of each group.
+
+    Synthetic rows repeat the 0 or 1 of the row they are drawn from, whose nearest neighbours are equal to it. A leaf is
+    the mean of its labels as -1 and 1, and the score the logistic of twice that.
+    """
+    return f"""fitted AS (SELECT {group} AS g, transaction_id, merchant_risk, is_fraud FROM {rows}),
+amounts AS (SELECT g, count_if(is_fraud = 1) AS small, count_if(is_fraud = 0) - count_if(is_fraud = 1) AS needed
+  FROM fitted GROUP BY g),
+placed AS (SELECT g, merchant_risk, row_number() OVER (PARTITION BY g ORDER BY md5(concat(transaction_id, '|42')),
+  transaction_id) - 1 AS place FROM fitted WHERE is_fraud = 1),
+made AS (SELECT g, small, unnest(range(CAST(needed AS BIGINT))) AS n FROM amounts),
+drawn AS (SELECT g, CAST('0x' || substr(md5(concat('42|', n)), 1, 15) AS BIGINT) % (CAST(small AS BIGINT) * 5) // 5 AS place
+  FROM made),
+labels AS (SELECT g, merchant_risk, 2 * is_fraud - 1 AS y FROM fitted
+  UNION ALL SELECT g, merchant_risk, 1 FROM drawn JOIN placed USING (g, place)),
+stump AS (SELECT g, merchant_risk, 1 / (1 + exp(-2 * avg(y))) AS score FROM labels GROUP BY g, merchant_risk)"""
+
+
 _SMOOTH = "amount / (amount + 100.0)"
 _STEPPED = f"floor({_SMOOTH} * 100) / 100.0"
 
@@ -329,4 +348,19 @@ taken AS (SELECT is_fraud, n, base + CAST(place <= spare AS INTEGER) AS train FR
 SELECT CAST(sum(train) AS BIGINT) AS train_samples, CAST(sum(train) FILTER (is_fraud = 1) AS BIGINT) AS positive_samples,
   CAST(sum(n - train) AS BIGINT) AS test_samples, (SELECT count(*) FROM checked WHERE len(broken) > 0) AS set_aside
 FROM taken""",
+    "scored_gbt": f"""WITH {_SPLIT}, featured AS (SELECT *, {_RISK} FROM split),
+{_stump("(SELECT * FROM featured WHERE split = 'train')")}
+SELECT transaction_id, is_fraud, round(score, 6) AS score, CAST(score >= 0.6 AS INTEGER) AS prediction
+FROM featured JOIN stump USING (merchant_risk) WHERE split = 'test'""",
+    "cv_results": f"""WITH {_FOLDS.replace("% 3", "% 2")}, featured AS (
+  SELECT o.*, {_RISK}, (SELECT min(fold) FROM ends e WHERE e.is_fraud = o.is_fraud AND o.rn <= e.upto) AS fold FROM ordered o),
+others AS (SELECT f.*, held FROM featured f JOIN range(2) AS h(held) ON fold <> held),
+{_stump("others", "held")},
+judged AS (SELECT fold, is_fraud, CAST(score >= 0.5 AS INTEGER) AS prediction
+  FROM featured f JOIN stump s ON s.g = f.fold AND s.merchant_risk = f.merchant_risk),
+rates AS (SELECT fold, count_if(is_fraud = 1 AND prediction = 1) AS tp, count_if(prediction = 1) AS p, count_if(is_fraud = 1) AS t
+  FROM judged GROUP BY fold),
+scored AS (SELECT coalesce(tp / nullif(p, 0), 0) AS pr, coalesce(tp / nullif(t, 0), 0) AS re FROM rates),
+mean AS (SELECT round(avg(coalesce(5 * pr * re / nullif(4 * pr + re, 0), 0)), 6) AS f2 FROM scored)
+SELECT 1 AS "maxDepth", CAST(step AS DOUBLE) AS "stepSize", f2 FROM mean, (VALUES (0.05), (0.1)) AS v(step)""",
 }
