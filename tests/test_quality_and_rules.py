@@ -7,7 +7,7 @@ from conftest import by_id
 from pyspark.sql import functions as F
 
 from txguard.operators import quality
-from txguard.operators.patterns import PatternRules, flag_members, pattern_summary, tag_patterns
+from txguard.operators.patterns import PatternRules, add_merchant_risk, flag_members, pattern_summary, tag_patterns
 from txguard.operators.quality import Limits
 from txguard.plans.records import produce_records
 from txguard.schemas import LABELLED_TRANSACTION, TRANSACTION
@@ -214,3 +214,12 @@ def test_records(spark, transactions):
     made, quarantined = produce_records(rows.withColumn("is_fraud", F.lit(0)), [1234])
     assert json.loads(made.first()["value"])["pattern"] == "account_takeover"
     assert made.count() == 1 and quarantined.first()["transaction_id"] == "b"
+
+
+def test_risky_merchants_as_a_table(spark, transactions):
+    rows = transactions(("a", 1, 400.0, "Bad", "2024-01-01T00:00:00"), ("b", 1, 400.0, "Good", "2024-01-01T00:00:00"), ("c", 1, 400.0, None, None))
+    table = spark.createDataFrame([("Bad",), ("Bad",), (None,), ("Other",)], "merchant string")
+    assert by_id(add_merchant_risk(rows, table), "merchant_risk") == {"a": 1, "b": 0, "c": 0}
+    assert by_id(add_merchant_risk(rows, ["Bad"]), "merchant_risk") == {"a": 1, "b": 0, "c": 0}
+    tagged = by_id(tag_patterns(rows, [], PatternRules(risky_merchants=table)), "pattern")
+    assert tagged == {"a": "merchant_collusion", "b": None, "c": None}

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txguard.operators.skew import with_position
+from txguard.operators.skew import BROADCAST_BYTES, with_position
 from txguard.operators.split import class_counts, hash_order
 from txguard.schemas import LABEL
 from txguard.session import reliable
@@ -382,7 +382,8 @@ def oversample(
         F.pmod(_number(draw, 1, 15), F.lit(size * k)).alias("pair"),
         (_number(draw, 17, _FRACTION_BITS // 4) / F.lit(float(2**_FRACTION_BITS))).alias("step"),
     )
-    made = drawn.join(F.broadcast(pairs) if small else pairs, "pair").select(
+    fits = small and size * k * 2 * 8 * len(features) <= BROADCAST_BYTES
+    made = drawn.join(F.broadcast(pairs) if fits else pairs, "pair").select(
         F.concat(F.lit(f"synthetic-{seed}-"), F.col("n").cast("string")).alias(id_col),
         *[
             (F.col("v")[i] + F.col("step") * (F.col("w")[i] - F.col("v")[i])).alias(f)

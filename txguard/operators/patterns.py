@@ -21,12 +21,14 @@ MAX_KEY_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class PatternRules:
+    """The limits of the patterns unless configured otherwise."""
+
     takeover_amount: float = 500.0
     testing_amount: float = 2.0
     testing_user_step: int = 1000
     collusion_amount: float = 300.0
     geo_user_step: int = 500
-    risky_merchants: Sequence[str] = tuple(RISKY_MERCHANTS)
+    risky_merchants: Sequence[str] | DataFrame = tuple(RISKY_MERCHANTS)
     anomaly_locations: Sequence[str] = tuple(ANOMALY_LOCATIONS)
 
 
@@ -49,6 +51,11 @@ def flag_members(df: DataFrame, members: DataFrame | Iterable[object], column: s
     return joined.select(*df.columns, F.coalesce(flag, F.lit(False)).alias(flag))
 
 
+def add_merchant_risk(df: DataFrame, risky: DataFrame | Iterable[str] = RISKY_MERCHANTS) -> DataFrame:
+    """Add ``merchant_risk``: 1 for a merchant of the list or table (column ``merchant``), else 0."""
+    return flag_members(df, risky, "merchant", "merchant_risk").withColumn("merchant_risk", F.col("merchant_risk").cast("int"))
+
+
 def account_takeover(compromised: Column, amount: Column, rules: PatternRules) -> Column:
     return compromised & (amount > rules.takeover_amount)
 
@@ -57,8 +64,8 @@ def card_testing(user: Column, amount: Column, rules: PatternRules) -> Column:
     return (amount < rules.testing_amount) & (user % rules.testing_user_step == 0)
 
 
-def merchant_collusion(merchant: Column, amount: Column, rules: PatternRules) -> Column:
-    return merchant.isin(list(rules.risky_merchants)) & (amount > rules.collusion_amount)
+def merchant_collusion(risky: Column, amount: Column, rules: PatternRules) -> Column:
+    return risky & (amount > rules.collusion_amount)
 
 
 def geo_anomaly(user: Column, location: Column, rules: PatternRules) -> Column:
@@ -68,19 +75,23 @@ def geo_anomaly(user: Column, location: Column, rules: PatternRules) -> Column:
 def tag_patterns(
     df: DataFrame, compromised: DataFrame | Iterable[int] = (), rules: PatternRules | None = None
 ) -> DataFrame:
-    """Add a boolean per pattern, ``pattern`` (the first that holds, or null) and ``is_flagged``."""
+    """Add a boolean per pattern, ``pattern`` (the first that holds, or null) and ``is_flagged``.
+
+    The risky merchants of ``rules``, like the compromised users, are a list or a table.
+    """
     rules = rules or PatternRules()
     known = flag_members(df, compromised, "user_id", "_compromised")
+    known = flag_members(known, rules.risky_merchants, "merchant", "_risky")
     user, amount = F.col("user_id"), F.col("amount")
     holds = {
         "account_takeover": account_takeover(F.col("_compromised"), amount, rules),
         "card_testing": card_testing(user, amount, rules),
-        "merchant_collusion": merchant_collusion(F.col("merchant"), amount, rules),
+        "merchant_collusion": merchant_collusion(F.col("_risky"), amount, rules),
         "geo_anomaly": geo_anomaly(user, F.col("location"), rules),
     }
     tagged = known.withColumns({name: F.coalesce(test, F.lit(False)) for name, test in holds.items()})
     first = F.coalesce(*[F.when(F.col(name), F.lit(name)) for name in PATTERNS])
-    return tagged.drop("_compromised").withColumn("pattern", first).withColumn("is_flagged", first.isNotNull())
+    return tagged.drop("_compromised", "_risky").withColumn("pattern", first).withColumn("is_flagged", first.isNotNull())
 
 
 def pattern_summary(tagged: DataFrame) -> DataFrame:

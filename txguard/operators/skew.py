@@ -59,7 +59,8 @@ def split_heavy(df: DataFrame, keys: Sequence[str], max_rows: int) -> HeavySplit
     found = counted.limit(BROADCAST_KEYS + 1).collect()
     if not found:
         return HeavySplit(df)
-    few = len(found) <= BROADCAST_KEYS
+    size = sum(len(str(value).encode()) for row in found for value in row)
+    few = len(found) <= BROADCAST_KEYS and size <= BROADCAST_BYTES
     if few:
         table = F.broadcast(df.sparkSession.createDataFrame(found, counted.schema))
     else:
@@ -75,14 +76,16 @@ def split_heavy(df: DataFrame, keys: Sequence[str], max_rows: int) -> HeavySplit
 def left_join_skewed(left: DataFrame, right: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
     """Left join to a table that is unique in ``keys``, when ``left`` may be skewed in them.
 
-    The partners of heavy keys are at most as many as the heavy keys, so they
-    are broadcast and the heavy rows stay where they are. The rest is a plain
-    join, left to the optimizer.
+    The partners of heavy keys are at most as many as the heavy keys. Unless they
+    are very wide, they are broadcast and the heavy rows stay where they are. The
+    rest is a plain join, left to the optimizer.
     """
     parts = split_heavy(left, keys, max_rows)
     if parts.heavy is None or not parts.few:
         return left.join(right, list(keys), "left")
-    partners = F.broadcast(right.join(parts.keys, list(keys), "left_semi"))
+    partners = right.join(parts.keys, list(keys), "left_semi")
+    if fits_broadcast(partners, BROADCAST_KEYS):
+        partners = F.broadcast(partners)
     return parts.light.join(right, list(keys), "left").unionByName(parts.heavy.join(partners, list(keys), "left"))
 
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from txguard.functions.scalar import add_calendar, add_serving_placeholders, merchant_risk
+from txguard.functions.scalar import add_calendar, add_serving_placeholders
 from txguard.operators.activity import MAX_USER_ROWS, add_activity
+from txguard.operators.patterns import add_merchant_risk
 from txguard.operators.quality import require_columns
 from txguard.schemas import LABEL, RISKY_MERCHANTS, SCORING_COLUMNS, TRAINING_FEATURES
 
 
 def add_features(
     df: DataFrame,
-    risky: Sequence[str] = RISKY_MERCHANTS,
+    risky: Sequence[str] | DataFrame = RISKY_MERCHANTS,
     mode: str = "computed",
     max_user_rows: int | None = MAX_USER_ROWS,
 ) -> DataFrame:
@@ -24,7 +24,7 @@ def add_features(
     ``computed`` takes the per-user features from each user's earlier rows.
     ``placeholder`` puts constants in their place and also works on a stream.
     """
-    base = add_calendar(df).withColumn("merchant_risk", merchant_risk(F.col("merchant"), risky))
+    base = add_merchant_risk(add_calendar(df), risky)
     if mode == "placeholder":
         return add_serving_placeholders(base)
     if mode != "computed":

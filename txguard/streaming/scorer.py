@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from txguard.functions.scalar import add_calendar, merchant_risk
+from txguard.functions.scalar import add_calendar
 from txguard.operators.activity import MAX_USER_ROWS
+from txguard.operators.patterns import add_merchant_risk
 from txguard.plans.features import add_features
 from txguard.plans.scoring import alerts
 from txguard.schemas import RISKY_MERCHANTS
@@ -23,7 +23,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def alert_rows(
-    messages: DataFrame, scorer: Scorer, risky: Sequence[str] = RISKY_MERCHANTS, watermark: str = "24 hours"
+    messages: DataFrame, scorer: Scorer, risky: Sequence[str] | DataFrame = RISKY_MERCHANTS, watermark: str = "24 hours"
 ) -> DataFrame:
     """Decode, add features without history, score, and keep the alerts. Works on streams and tables.
 
@@ -42,7 +42,7 @@ def rejected_messages(messages: DataFrame) -> DataFrame:
 
 
 def alert_messages(
-    messages: DataFrame, scorer: Scorer, risky: Sequence[str] = RISKY_MERCHANTS, watermark: str = "24 hours"
+    messages: DataFrame, scorer: Scorer, risky: Sequence[str] | DataFrame = RISKY_MERCHANTS, watermark: str = "24 hours"
 ) -> DataFrame:
     """The alerts as (key, value) rows for a topic."""
     return encode(alert_rows(messages, scorer, risky, watermark))
@@ -54,7 +54,7 @@ def alerts_with_history(
     root: str,
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
-    risky: Sequence[str] = RISKY_MERCHANTS,
+    risky: Sequence[str] | DataFrame = RISKY_MERCHANTS,
     watermark: str = "24 hours",
     max_user_rows: int | None = MAX_USER_ROWS,
     rewrite_every: int = FAN,
@@ -67,7 +67,7 @@ def alerts_with_history(
     """
     decoded, _ = split_decodable(messages)
     once = drop_repeats(decoded, watermark=watermark)
-    rows = add_calendar(once).withColumn("merchant_risk", merchant_risk(F.col("merchant"), risky))
+    rows = add_merchant_risk(add_calendar(once), risky)
 
     def sink(features: DataFrame, number: int) -> None:
         write(alerts(scorer(features)), number)

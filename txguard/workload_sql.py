@@ -66,7 +66,7 @@ _VIOLATIONS = f"""{_LABELLED}, checked AS (
     CASE WHEN amount NOT BETWEEN 0.5 AND 200 THEN 'amount:range' END], lambda x: x IS NOT NULL) AS broken
   FROM labelled)"""
 
-_MESSAGES = """raw AS (
+_MESSAGES = r"""raw AS (
   SELECT CAST(event_id AS VARCHAR) AS key, CASE event_id % 11 WHEN 0 THEN 'not json' WHEN 8 THEN '[1]' ELSE concat(
       '{"transaction_id":"', event_id, '","user_id":',
       CASE event_id % 11 WHEN 2 THEN concat('"', user_id, '"') WHEN 6 THEN concat(user_id, '.0')
