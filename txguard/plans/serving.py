@@ -73,7 +73,7 @@ def serve(spark: SparkSession, config: Config, registry: Registry) -> list[Strea
     """Follow the transaction topic; write alerts to the alert topic and malformed messages to their own."""
     score = scorer(best_model(spark, config, registry), config)
     sinks = Sinks(
-        lambda df, _: kafka.write_records(df, config.kafka, config.kafka.output_topic),
-        lambda df, _: kafka.write_records(df, config.kafka, config.kafka.rejected_topic),
+        lambda df, _: kafka.write_records(df, kafka.record_options(config.kafka) | {"topic": config.kafka.output_topic}),
+        lambda df, _: kafka.write_records(df, kafka.rejected_options(config.kafka)),
     )
     return [w.start() for w in scoring_job(kafka.read_stream(spark, config.kafka), score, config, sinks)]

@@ -41,6 +41,10 @@ def record_options(broker: BrokerConfig) -> dict[str, str]:
     return {**connection_options(broker), **_PRODUCER, "topic": broker.topic}
 
 
+def rejected_options(broker: BrokerConfig) -> dict[str, str]:
+    return {**record_options(broker), "topic": broker.rejected_topic}
+
+
 def read_stream(spark: SparkSession, broker: BrokerConfig) -> DataFrame:
     return spark.readStream.format("kafka").options(**stream_options(broker)).load()
 
@@ -54,6 +58,6 @@ def alert_writer(keyed: DataFrame, broker: BrokerConfig, checkpoint: str) -> Dat
     return keyed.writeStream.format("kafka").options(**alert_options(broker, checkpoint)).outputMode("append")
 
 
-def write_records(keyed: DataFrame, broker: BrokerConfig, topic: str | None = None) -> None:
-    """Write (key, value) rows of a batch to ``topic``, by default that of the transactions."""
-    keyed.write.format("kafka").options(**record_options(broker) | {"topic": topic or broker.topic}).save()
+def write_records(keyed: DataFrame, options: dict[str, str]) -> None:
+    """Write (key, value) rows of a batch to the topic of ``options``."""
+    keyed.write.format("kafka").options(**options).save()
