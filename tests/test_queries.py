@@ -16,11 +16,10 @@ def tables():
     return database(SMALL)
 
 
-def test_every_sql_has_a_query():
+def test_every_query_has_its_sql():
     assert set(SQL) <= set(QUERIES)
     # The queries of the optional subpackage have tests of their own.
-    others = {name for name in set(QUERIES) - set(SQL) if not name.startswith("op") and name != "pipeline"}
-    assert others == {"trained_model_metrics"}
+    assert {name for name in set(QUERIES) - set(SQL) if not name.startswith("op") and name != "pipeline"} == set()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -28,11 +27,5 @@ def test_query_equals_its_sql(spark, tables, name):
     assert difference(spark, tables, QUERIES[name], SQL[name], SMALL) is None
 
 
-def test_training_query_gives_its_record(spark):
-    record = {r["metric"]: r["value"] for r in QUERIES["trained_model_metrics"](spark, SMALL).collect()}
-    assert {"auc_pr", "precision", "recall", "f1", "threshold", "train_samples"} <= record.keys()
-    assert record["train_samples"] == 800 and record["test_samples"] == 200
-
-
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0

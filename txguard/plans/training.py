@@ -182,13 +182,17 @@ def cross_validate(
 
 
 def random_search(
-    train: DataFrame, config: ModelConfig, space: Mapping[str, Sequence] | None = None, parallelism: int = 2
+    train: DataFrame,
+    config: ModelConfig,
+    space: Mapping[str, Sequence] | None = None,
+    parallelism: int = 2,
+    features: Sequence[str] = TRAINING_FEATURES,
 ) -> tuple[FraudModel, dict, list[dict]]:
     """Try random candidates by cross-validation and refit the best on all training rows."""
-    results = cross_validate(train, sample_candidates(config, space), config, parallelism)
+    results = cross_validate(train, sample_candidates(config, space), config, parallelism, features)
     best = max(results, key=lambda r: r["f2"])
     params = {name: value for name, value in best.items() if name != "f2"}
-    return fit(train, config, params), params, results
+    return fit(train, config, params, features), params, results
 
 
 def train_and_register(
@@ -198,6 +202,7 @@ def train_and_register(
     uri: str,
     space: Mapping[str, Sequence] | None = None,
     stage: str = "None",
+    columns: Sequence[str] = TRAINING_FEATURES,
 ) -> tuple[FraudModel, dict[str, float]]:
     """From labelled transactions to a registered model and its hold-out metrics."""
     settings = config.model
@@ -209,7 +214,7 @@ def train_and_register(
     train, test = (rows.where(F.col("split") == part).drop("split") for part in ("train", "test"))
     stats = {r["split"]: r for r in split_stats(rows).collect()}
 
-    model, params, _ = random_search(train, settings, space)
+    model, params, _ = random_search(train, settings, space, features=columns)
     own = model.transform(train).select(F.col(LABEL).alias("label"), "score")
     threshold = best_threshold(own).first()["threshold"]
     model = FraudModel(model.codes, model.trees, model.features, threshold)

@@ -363,4 +363,20 @@ rates AS (SELECT fold, count_if(is_fraud = 1 AND prediction = 1) AS tp, count_if
 scored AS (SELECT coalesce(tp / nullif(p, 0), 0) AS pr, coalesce(tp / nullif(t, 0), 0) AS re FROM rates),
 mean AS (SELECT round(avg(coalesce(5 * pr * re / nullif(4 * pr + re, 0), 0)), 6) AS f2 FROM scored)
 SELECT 1 AS "maxDepth", CAST(step AS DOUBLE) AS "stepSize", f2 FROM mean, (VALUES (0.05), (0.1)) AS v(step)""",
+    "trained_model_metrics": f"""WITH {_SPLIT}, featured AS (SELECT *, {_RISK} FROM split),
+{_stump("(SELECT * FROM featured WHERE split = 'train')")},
+judged AS (SELECT split, is_fraud AS label, score FROM featured JOIN stump USING (merchant_risk)),
+levels AS (SELECT split, score, count(*) AS n, sum(label) AS pos FROM judged GROUP BY ALL),
+summed AS (SELECT *, sum(n) OVER down AS above, sum(pos) OVER down AS pos_above, sum(pos) OVER (PARTITION BY split) AS total
+  FROM levels WINDOW down AS (PARTITION BY split ORDER BY score DESC)),
+rated AS (SELECT *, pos_above / above AS p, pos_above / total AS r FROM summed),
+best AS (SELECT score AS t FROM rated WHERE split = 'train' ORDER BY coalesce(2 * p * r / nullif(p + r, 0), 0) DESC, score LIMIT 1),
+held AS (SELECT sum(pos / total * p) AS auc_pr, coalesce(sum(pos) FILTER (score >= t) / sum(n) FILTER (score >= t), 0) AS p,
+  coalesce(sum(pos) FILTER (score >= t) / sum(pos), 0) AS r, any_value(t) AS t FROM rated, best WHERE split = 'test'),
+figures AS (SELECT split, count(*) AS n, sum(label) AS pos FROM judged GROUP BY split)
+SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
+  SELECT unnest(['auc_pr', 'precision', 'recall', 'f1', 'threshold']) AS metric,
+    unnest([auc_pr, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0), t]) AS value FROM held
+  UNION ALL SELECT unnest(['train_samples', 'positive_samples', 'class_ratio']), unnest([n, pos, pos / n]) FROM figures WHERE split = 'train'
+  UNION ALL SELECT 'test_samples', n FROM figures WHERE split = 'test')""",
 }
