@@ -5,27 +5,44 @@ from __future__ import annotations
 import json
 import re
 import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
+import regex
 import tokenizers
 
-#: Remembered pieces of text in a worker, and their greatest length.
-REMEMBERED = 400_000
+#: Remembered pieces of text in a worker, twice as many at most (about 200 bytes each), and their greatest length.
+REMEMBERED = 200_000
 LONGEST = 48
 
+# Fixed value: the pattern of byte-level tokenizers.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it prints, else one of those from 256 on, in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
+
 
 class _Pieces(dict):
-    """Ids, as bytes, of a text's pieces: white space and what follows up to the next white space."""
+    """Ids, as bytes, of a text's pieces: white space and what follows up to the next white space, and their parts."""
 
     def __init__(self, encode: Callable[[str], bytes]) -> None:
         super().__init__()
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.encode(piece)
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode(piece)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                # What is used again comes back from the older ones.
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -36,7 +53,7 @@ class Encoder:
 
     A byte-level tokenizer with its usual pattern never joins white space to what
     stands before it, so a text's ids are those of its pieces, which repeat and are
-    remembered. (The separators 1C to 1F are white space to Python alone; texts
+    remembered. A new piece is cut by the pattern, and the file's model encodes it. (The separators 1C to 1F are white space to Python alone; texts
     with them, and all texts under another kind of tokenizer, are encoded whole.)
     """
 
@@ -48,13 +65,25 @@ class Encoder:
         split = described["pre_tokenizer"] or {}
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.cut = usual.items() <= split.items() and not described["normalizer"] and not described["post_processor"]
-        self.pieces = _Pieces(self._whole)
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.pieces = _Pieces(self._piece)
+        self.parts = regex.compile(PATTERN).findall
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model.tokenize
         self.find = re.compile(r"\s*\S+|\s+").findall
         self.odd = re.compile("[\x1c-\x1f]").search
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece from those of its parts, which the model encodes one by one."""
+        parts = self.parts(piece)
+        if len(parts) > 1:
+            return b"".join(map(self.pieces.__getitem__, parts))
+        tokens = self.model(piece.encode().decode("latin-1").translate(self.letters))
+        return array(self.code, [token.id for token in tokens]).tobytes()
+
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of a text; null is empty."""
         if not text:
