@@ -298,3 +298,16 @@ def test_pipeline_on_odd_rows(spark, folder, empty_folder):
         assert docs.columns == corpus_pipeline.table(spark, folder, "documents").columns
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert corpus_pipeline.run(spark, empty_folder).count() == 0
+
+
+def test_nothing_unbounded_comes_to_the_driver():
+    """Sums of two classes in the classifier, and nothing else."""
+    import re
+    from pathlib import Path
+
+    for path in Path(simhash.__file__).parent.glob("*.py"):
+        text = path.read_text()
+        found = len(re.findall(r"\.(collect|toPandas|toLocalIterator)\(\)", text))
+        assert found <= (path.name == "quality.py"), path.name
+        for word in ("localCheckpoint", "crossJoin", ".rdd", "F.udf(", "repartition(1)", "tempfile"):
+            assert word not in text, (path.name, word)

@@ -41,6 +41,24 @@ WITH sized AS (
 SELECT doc_id, size, s::BIGINT AS source_size, target, copies * size AS taken, copies FROM copied
 """
 
+OP5 = rf"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i + 1:i + 20], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 19, 0))) AS i FROM split)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM later
+), placed AS (
+  SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS word FROM split
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
 _CONTROL = r"<\\*(?:<SYS>>|</SYS>>|/s>|s>|<TURN|</TURN>>)|\[\\*(?:/INST\]|INST\])"
 
 OP9 = rf"""
@@ -66,4 +84,4 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost)::BIGINT AS
 FROM folded
 """
 
-ORACLES: dict[str, str] = {"op3_mixing_sources": OP3, "op9_chat_formatting": OP9}
+ORACLES: dict[str, str] = {"op3_mixing_sources": OP3, "op5_substring_dedup": OP5, "op9_chat_formatting": OP9}
