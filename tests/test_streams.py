@@ -11,7 +11,6 @@ from txguard.operators.activity import ACTIVITY_COLUMNS, add_activity
 from txguard.schemas import ALERT_COLUMNS, TRANSACTION
 from txguard.sources import files
 from txguard.sources.codec import decode, encode
-from txguard.streaming import history
 from txguard.streaming.dedup import drop_repeats
 from txguard.streaming.history import UserHistory, with_history
 from txguard.streaming.segments import Segments
