@@ -170,12 +170,6 @@ def test_packing(spark, ids):
     assert sorted(sequences.values())[1:] == [2048] * (len(sequences) - 1)
 
 
-def _winnowed(text: str) -> set[tuple[int, ...]]:
-    """Chosen grams by their words: the rightmost least of each window (here by the operator's own hash order)."""
-    words = text.encode().split()
-    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
-
-
 def test_fingerprints(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op8_winnowing"](spark, SMALL).collect()}
     order = sorted(GIVEN)

@@ -260,7 +260,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", ROW, "start")
     seen = _occurrences(docs.select(ROW, "doc_id", "text"), window, gram)
-    again = seen.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Kept apart, so that the join below starts from plain shuffles, whose large partitions can be split.
+    again = stored(seen.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     shared = stored(seen.join(again, "anchor"), "shared")
     first = shared.groupBy("anchor", "segment", "windows").agg(F.min(place).alias("first"))
     first = stored(first, "first")
@@ -274,24 +275,38 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     return found.union(_by_windows(passages.where(F.col("different") > SEGMENTS), window))
 
 
-def _kept(text: pa.Scalar, starts: pa.Scalar, counts: pa.Scalar, window: int) -> tuple[int, list[bytes]]:
-    """Number of words of a text and those outside of all its repeated windows."""
+def _kept(text: pa.Scalar, begins: pa.Scalar, ends: pa.Scalar) -> tuple[int, list[bytes]]:
+    """Number of words of a text and those outside of the given spans."""
     words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-    if not starts.is_valid:
+    if not begins.is_valid:
         return len(words), words
-    cover = np.zeros(len(words) + 1, np.int64)
-    start, count = starts.values.to_numpy(), counts.values.to_numpy()
-    np.add.at(cover, start, 1)
-    np.add.at(cover, start + count + window - 1, -1)
-    return len(words), [words[i] for i in np.flatnonzero(np.cumsum(cover)[:-1] == 0)]
+    left, at = [], 0
+    for begin, end in zip(begins.values.to_pylist(), ends.values.to_pylist(), strict=True):
+        left += words[at:begin]
+        at = end
+    return len(words), left + words[at:]
 
 
 def _marked(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``docs``, which has ``__row``, with the ``__starts`` and ``__counts`` of its repeated windows."""
+    """``docs``, which has ``__row``, with the ``__begins`` and ``__ends`` of its maximal repeated spans, in words."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begins, ends = [], []
+            for starts, counts in zip(batch.column("starts"), batch.column("counts"), strict=True):
+                start = starts.values.to_numpy()
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate((start + counts.values.to_numpy() + window - 1)[order])
+                apart = np.flatnonzero(start[1:] > end[:-1])
+                begins.append(start[np.r_[0, apart + 1]])
+                ends.append(end[np.r_[apart, len(end) - 1]])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(begins, kind), pa.array(ends, kind)], [ROW, "__begins", "__ends"])
+
     rows = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    runs = repeats(rows, window, gram).groupBy(ROW)
-    runs = runs.agg(F.collect_list("start").alias("__starts"), F.collect_list("windows").alias("__counts"))
-    return with_decisions(docs, stored(runs, "runs"), [ROW], "left")
+    runs = repeats(rows, window, gram).groupBy(ROW).agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("counts"))
+    spans = runs.mapInArrow(merge, f"{ROW} long, __begins array<int>, __ends array<int>")
+    return with_decisions(docs, stored(spans, "spans"), [ROW], "left")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -304,14 +319,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_kept(*row, window) for row in zip(*(batch.column(c) for c in ("text", "__starts", "__counts")), strict=True)]
+            found = [_kept(*row) for row in zip(*(batch.column(c) for c in ("text", "__begins", "__ends")), strict=True)]
             sizes = pa.array([n for n, _ in found], pa.int64())
             removed = pa.array([n - len(left) for n, left in found], pa.int64())
             kept = pa.array([b" ".join(left) for _, left in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, removed, kept], ["doc_id", "n_words", "n_removed", "kept"])
 
     marked = _marked(rows, window, gram)
-    marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "__starts", "__counts")
+    marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "__begins", "__ends")
     return marked.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept binary")
 
 
@@ -328,15 +343,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, starts, counts in zip(*(batch.column(c) for c in ("__text", "__starts", "__counts")), strict=True):
-                n, left = _kept(text, starts, counts, window) if starts.is_valid else (0, [])
+            for text, begins, ends in zip(*(batch.column(c) for c in ("__text", "__begins", "__ends")), strict=True):
+                n, left = _kept(text, begins, ends) if begins.is_valid else (0, [])
                 texts.append(b" ".join(left).decode() if len(left) < n else None)
             rest = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], [*columns, "__cut"])
 
     marked = _marked(identified(docs), window, gram).withColumn("__text", F.col("text").cast("binary"))
     kind = StructType([*docs.schema.fields, StructField("__cut", StringType())])
-    cut = marked.select(*columns, "__text", "__starts", "__counts").mapInArrow(work, kind)
+    cut = marked.select(*columns, "__text", "__begins", "__ends").mapInArrow(work, kind)
     changes = {"text": F.coalesce("__cut", "text")}
     if "n_chars" in columns:
         counted = F.length("__cut").cast(docs.schema["n_chars"].dataType)
