@@ -47,7 +47,7 @@ def _selectors(levels: np.ndarray, ids: np.ndarray) -> np.ndarray:
         if not fits.any():
             break
         found[: len(fits)][fits] = level + 2
-    if n >= ZEROS:
+    if n - np.count_nonzero(ids) >= ZEROS:
         filled = np.concatenate([[0], np.cumsum(ids != 0)])
         found[: n - ZEROS + 1][filled[ZEROS:] == filled[:-ZEROS]] = 1
     return found

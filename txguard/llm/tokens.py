@@ -13,7 +13,7 @@ import regex
 import tokenizers
 
 #: Remembered pieces of text in a worker, twice as many at most (about 200 bytes each), and their greatest length.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 LONGEST = 48
 
 # Fixed value: the pattern of byte-level tokenizers.
