@@ -170,6 +170,42 @@ def test_slices_of_cells_change_nothing(spark, monkeypatch):
         )
 
 
+def _outlier(rng):
+    x = rng.normal(size=(400, 30))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 100
+    return x
+
+
+def _lognormal(rng):
+    return rng.normal(size=(400, 30)) * rng.lognormal(0, 1.5, 400)[:, None]
+
+
+def _clusters(rng):
+    side = np.where(np.arange(400) < 390, 1.0, -1.0)[:, None]
+    return side * rng.normal(size=30) + 0.01 * rng.normal(size=(400, 30))
+
+
+def _few(rng):
+    return rng.normal(size=(25, 30))
+
+
+@pytest.mark.parametrize("make", [_outlier, _lognormal, _clusters, _few])
+def test_no_axis_hides_a_neighbour(spark, make):
+    """With the production's probes: all neighbours of all queries, whatever the norms and directions."""
+    x = make(np.random.default_rng(10))
+    # Queries of both clusters.
+    ids = np.random.default_rng(11).permutation(len(x))
+    table = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label int")
+    found: dict[int, list] = {}
+    for r in sorted(ann.neighbours(table).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in np.flatnonzero(ids % 20 == 0):
+        inner = (x * x[q]).sum(1)
+        order = np.lexsort((ids, -inner))
+        assert found[int(ids[q])] == [int(ids[i]) for i in order if i != q][:20]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
 <nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>Head &amp; line</h1><p>First paragraph, with <b>bold</b>   words

@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 For largest inner products, a vector x becomes the unit vector (x / M, rest), with
-M the largest norm, and a query its unit vector (q / |q|, 0). A table turns them by
-three rounds of random signs and a fast Hadamard transform, and files a vector
-under its nearest signed axis. A query visits, in each table, the axes it is
-nearest to. Candidates are ranked by their exact inner product.
+M the largest norm of its band of norms, and a query its unit vector (q / |q|, 0).
+A table turns them by three rounds of random signs and a fast Hadamard transform,
+and files a vector under its nearest signed axis. A query visits, in each table, the
+axes it is nearest to. Candidates are ranked by their exact inner product. A query
+that found too few, or whose last score does not exceed what a vector on another axis
+can reach by its norm, is compared with all vectors of such norms.
 """
 
 from __future__ import annotations
@@ -28,9 +30,18 @@ SEED = 7
 CELLS = 16
 SLICE = 8192
 BLOCK = 256
+#: Parts of all rows for the queries that are compared with them, if the rows fill that many blocks.
+SPREAD = 32
+#: Bands of norms for each factor of two.
+BANDS = 4
+#: Rounding of an inner product, as a share of the product of both norms.
 TIE = 1e-9
 
 
+KIND = f"asker long, query_id long, {ROW} long, vec_id long, score double"
+FOUND = pa.schema([(c.split()[0], pa.float64() if c.endswith("double") else pa.int64()) for c in KIND.split(", ")])
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Hadamard transform of each row, scaled to keep lengths."""
     n, d = x.shape
@@ -113,11 +124,13 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
     own: each is a candidate for the others and, with such an id, a query.
 
     The axes of a table are dealt to cells; a cell with more rows or queries than
-    SLICE is cut into slices of both, so a frequent vector fills no task.
+    SLICE is cut into slices of both, so a frequent vector fills no task. No axis is
+    left out unseen: the queries that ``_open`` keeps go on to all rows.
     """
-    rows = searchable(vectors)
-    longest = rows.groupBy("dim").agg(F.max("norm").alias("most"))
-    index = rows.join(F.broadcast(longest), "dim")
+    rows = searchable(vectors).withColumn("band", F.floor(F.log2("norm") * BANDS))
+    longest = rows.groupBy("dim", "band").agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("size"))
+    longest = reliable(longest)
+    index = rows.join(F.broadcast(longest.drop("size")), ["dim", "band"])
     asked = rows.where(F.col("vec_id") % every == 0)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +165,9 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
     asks = visits.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("long").alias("q"))
     cuts = F.broadcast(reliable(cuts.join(asks, ["dim", "cell"])))
 
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        placed = side.join(cuts, ["dim", "cell"]).withColumn(f"{own}_at", F.pmod(F.xxhash64(ROW), F.col(own)))
-        every_slice = F.sequence(F.lit(0).cast("long"), F.col(other) - 1)
-        return placed.withColumn(f"{other}_at", F.explode(every_slice)).drop("s", "q")
-
-    place = ["dim", "cell", "s_at", "q_at"]
-
     def rank(there: pa.Table, here: pa.Table) -> pa.Table:
-        names = ["asker", "query_id", ROW, "vec_id", "score"]
-        kinds = pa.schema([(n, pa.float64() if n == "score" else pa.int64()) for n in names])
         if not len(there) or not len(here):
-            return kinds.empty_table()
+            return FOUND.empty_table()
         dim = there.column("dim")[0].as_py()
         vec, query = _vectors(there.column("vec"), dim), _vectors(here.column("vec"), dim)
         axis, row, vec_id = (there.column(c).to_numpy() for c in ("axis", ROW, "vec_id"))
@@ -175,27 +179,99 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
             rows_a, all_a = np.flatnonzero(axis == a), who[which == a]
             for at in range(0, len(all_a), BLOCK):
                 queries_a = all_a[at : at + BLOCK]
-                near = query[queries_a] @ vec[rows_a].T
-                near[asker[queries_a][:, None] == row[rows_a][None, :]] = -np.inf
-                kth = max(0, len(rows_a) - k)
-                least = np.partition(near, kth, axis=1)[:, kth] if kth else np.full(len(near), -np.finfo(float).max)
-                i, j = np.nonzero((near >= (least - TIE * (1 + np.abs(least)))[:, None]) & (near > -np.inf))
-                exact = (query[queries_a[i]] * vec[rows_a[j]]).sum(1)
+                i, j, exact = _nearest(query[queries_a], vec[rows_a], asker[queries_a], row[rows_a], k)
                 found.append(_first(queries_a[i], rows_a[j], exact, vec_id, k))
-        q, v, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
-        q, v, score = _first(q, v, score, vec_id, k)
-        values = [asker[q], query_id[q], row[v], vec_id[v], score]
-        return pa.table([pa.array(x, f.type) for x, f in zip(values, kinds, strict=True)], kinds)
-
-    sides = (dealt(filed, "s", "q").groupBy(place), dealt(visits, "q", "s").groupBy(place))
-    kind = f"asker long, query_id long, {ROW} long, vec_id long, score double"
-    best = sides[0].cogroup(sides[1]).applyInArrow(rank, kind)
-    best = best.repartition("asker").dropDuplicates(["asker", ROW])
+        return _found(found, asker, query_id, row, vec_id, k)
+
+    place = ["dim", "cell", "s_at", "q_at"]
+    sides = (_dealt(filed, cuts, "s", "q").groupBy(place), _dealt(visits, cuts, "q", "s").groupBy(place))
+    best = sides[0].cogroup(sides[1]).applyInArrow(rank, KIND)
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", ROW)
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def first(found: DataFrame) -> DataFrame:
+        found = found.repartition("asker").dropDuplicates(["asker", ROW])
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    best = reliable(first(best))
+    more = _among_all(rows, reliable(_open(asked, best, longest, k)), k)
+    ranked = first(best.drop("rank").unionByName(more))
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _open(asked: DataFrame, best: DataFrame, longest: DataFrame, k: int) -> DataFrame:
+    """The queries that may lack a neighbour, with ``reach``, the least norm of a row that can still be one.
+
+    A query that has fewer than ``k`` rows, though there are more, can use any row.
+    The others are open while the longest vector could reach their last score.
+    """
+    per_dim = longest.groupBy("dim").agg(F.max("most").alias("most"), F.sum("size").alias("size"))
+    have = best.groupBy("asker").agg(F.count(F.lit(1)).alias("have"), F.min("score").alias("last"))
+    known = asked.join(F.broadcast(per_dim), "dim").join(have, F.col(ROW) == F.col("asker"), "left")
+    had = F.coalesce("have", F.lit(0))
+    known = known.where((had >= k) | (had < F.col("size") - 1))
+    known = known.withColumn("reach", F.when(had >= k, F.col("last") / F.col("norm") - TIE * F.col("most")).otherwise(0.0))
+    known = known.where(F.col("reach") <= F.col("most")).select("dim", ROW, "vec_id", "vec", "reach")
+    # New columns, so that the queries can meet the rows they come from.
+    return known.toDF(*known.columns)
+
+
+def _among_all(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each open query, among all rows that its ``reach`` admits, in blocks."""
+    n = F.count(F.lit(1))
+    parts = F.greatest(F.ceil(n / SLICE), F.least(F.lit(SPREAD), F.ceil(n / BLOCK)))
+    cuts = rows.groupBy("dim").agg(parts.cast("long").alias("s"))
+    asks = asked.groupBy("dim").agg(F.ceil(n / SLICE).cast("long").alias("q"))
+    cuts = F.broadcast(reliable(cuts.join(asks, "dim")))
+
+    def rank(there: pa.Table, here: pa.Table) -> pa.Table:
+        if not len(there) or not len(here):
+            return FOUND.empty_table()
+        dim = there.column("dim")[0].as_py()
+        there, here = there.sort_by([("norm", "descending")]), here.sort_by("reach")
+        vec, query = _vectors(there.column("vec"), dim), _vectors(here.column("vec"), dim)
+        norm, row, vec_id = (there.column(c).to_numpy() for c in ("norm", ROW, "vec_id"))
+        asker, query_id, reach = (here.column(c).to_numpy() for c in (ROW, "vec_id", "reach"))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(query), BLOCK):
+            block = slice(at, at + BLOCK)
+            to = int(np.searchsorted(-norm, -reach[at], "right"))
+            if to:
+                i, j, exact = _nearest(query[block], vec[:to], asker[block], row[:to], k)
+                found.append(_first(i + at, j, exact, vec_id, k))
+        return _found(found, asker, query_id, row, vec_id, k)
+
+    place = ["dim", "s_at", "q_at"]
+    there = _dealt(rows.select("dim", ROW, "vec_id", "norm", "vec"), cuts, "s", "q").groupBy(place)
+    return there.cogroup(_dealt(asked, cuts, "q", "s").groupBy(place)).applyInArrow(rank, KIND)
+
+
+def _dealt(side: DataFrame, cuts: DataFrame, own: str, other: str) -> DataFrame:
+    """``side`` in its own slices, a copy for each slice of the other side."""
+    keys = [c for c in cuts.columns if c not in ("s", "q")]
+    placed = side.join(cuts, keys).withColumn(f"{own}_at", F.pmod(F.xxhash64(ROW), F.col(own)))
+    every_slice = F.sequence(F.lit(0).cast("long"), F.col(other) - 1)
+    return placed.withColumn(f"{other}_at", F.explode(every_slice)).drop("s", "q")
+
+
+def _nearest(query: np.ndarray, vec: np.ndarray, asker: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, exact score) of all that may be among the ``k`` best of a query, itself left out."""
+    near = query @ vec.T
+    slack = TIE * np.sqrt((query**2).sum(1))[:, None] * np.sqrt((vec**2).sum(1))[None, :]
+    near[asker[:, None] == row[None, :]] = -np.inf
+    kth = max(0, len(vec) - k)
+    least = np.partition(near - slack, kth, axis=1)[:, kth] if kth else np.full(len(near), -np.finfo(float).max)
+    i, j = np.nonzero((near + slack >= least[:, None]) & (near > -np.inf))
+    return i, j, (query[i] * vec[j]).sum(1)
+
+
+def _found(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], asker: np.ndarray, query_id: np.ndarray, row: np.ndarray, vec_id: np.ndarray, k: int) -> pa.Table:
+    """The k best of each query over all blocks, as rows of FOUND."""
+    q, v, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
+    q, v, score = _first(q, v, score, vec_id, k)
+    values = [asker[q], query_id[q], row[v], vec_id[v], score]
+    return pa.table([pa.array(x, f.type) for x, f in zip(values, FOUND, strict=True)], FOUND)
+
+
 def _first(q: np.ndarray, v: np.ndarray, score: np.ndarray, vec_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query, by score and then id."""
     order = np.lexsort((vec_id[v], -score, q))
