@@ -11,7 +11,7 @@ from odd_rows import empty_folder, folder, none, odd  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from txguard.llm import ann, chat, html_extract, mixing, packing, quality, simhash, simple8b, substrings, token_files, tokens, winnow
+from txguard.llm import ann, chat, html_extract, mixing, near_copies, packing, quality, simhash, simple8b, substrings, token_files, tokens, winnow
 from txguard.llm.html_blocks import blocks
 from txguard.llm.queries import byte_bpe
 
@@ -125,6 +125,37 @@ def test_one_document_of_each_group_stays(spark, odd):
     assert sorted(str(r["doc_id"]) for r in rows.collect()) == ["1", "3", "3", "5", "7", "None"]
 
 
+@pytest.mark.parametrize("size", [4096, 3])
+def test_pipeline_links_near_copies_by_words(spark, monkeypatch, size):
+    """Copies with edits around a similarity of 0.8 to 0.95 end in the components of all pairs, and no others."""
+    monkeypatch.setattr(near_copies, "SLICE", size)
+    rng = random.Random(12)
+    texts = {}
+    for base in range(40):
+        words = [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(3, 300))]
+        for _ in range(5):
+            edited = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 40)):
+                edited[rng.randrange(len(edited))] = f"x{rng.randrange(3000)}"
+            texts[len(texts)] = " ".join(["a line that all have in common", *edited])
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[at : at + 5]) for at in range(max(1, len(w) - 4))}
+    near = {i: [j for j in sets if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in sets}
+    close = sum(len(x) for x in near.values())
+    least = {i: i for i in sets}
+    while True:
+        after = {i: min(least[j] for j in near[i]) for i in sets}
+        if after == least:
+            break
+        least = after
+    docs = spark.createDataFrame(list(texts.items()), KIND)
+    assert close > 2 * len(texts) and len(set(least.values())) > 45
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
+    assert sorted(kept) == sorted(set(least.values()))
+
+
 def test_mixing_copies_and_columns(spark, odd):
     rows = mixing.mixed(odd)
     assert rows.columns == odd.columns

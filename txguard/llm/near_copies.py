@@ -1,0 +1,241 @@
+"""Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, without misses.
+
+SimHash anchors give most links at little cost. What they cannot reach is found by
+prefixes: two sets of such a similarity share one of the least fifth of their
+hashes. Documents that meet at such a hash and are not yet connected are compared
+by size and by a sketch, whose differing bits never exceed the differing shingles.
+Every link, of either way, is checked on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from txguard.llm import simhash
+from txguard.llm.components import components
+from txguard.llm.text import ROW, identified, stored, with_decisions
+from txguard.session import reliable
+
+SHINGLE = 5
+#: Bits of a sketch.
+BITS = 1024
+#: Documents of a hash that are compared in one place; more are cut into slices.
+SLICE = 4096
+PAIRS = 1 << 21
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct hashes of the five-word shingles of ``text``, sorted."""
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 0.8 or more: 9 |a and b| >= 4 (|a| + |b|)."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _node(found: np.ndarray) -> int:
+    """The number of a set, the same for equal sets."""
+    return xxhash.xxh3_64_intdigest(found.tobytes())
+
+
+def _sketch(found: np.ndarray) -> bytes:
+    """The parity of the shingles of each of BITS classes."""
+    odd = np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return identified(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+
+
+def _bytes(batch: pa.RecordBatch) -> Iterator[bytes]:
+    return (t.as_buffer().to_pybytes() for t in batch.column("text"))
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """(``__row``, ``doc_id``, ``node``, ``n`` shingles, ``fp`` over five words, ``sketch``) of each row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, fps, sketches = [], [], [], []
+            for text in _bytes(batch):
+                hashes = simhash.shingle_hashes(text, SHINGLE)
+                found = np.unique(hashes)
+                nodes.append(_node(found))
+                sizes.append(len(found))
+                fps.append(simhash.majority(hashes))
+                sketches.append(_sketch(found))
+            fields = [batch.column(ROW), batch.column("doc_id"), _signed(nodes), pa.array(sizes, pa.int64()), _signed(fps), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(fields, [ROW, "doc_id", "node", "n", "fp", "sketch"])
+
+    return _texts(docs).mapInArrow(work, f"{ROW} long, doc_id long, node long, n long, fp long, sketch binary")
+
+
+def shared_prefixes(docs: DataFrame) -> DataFrame:
+    """(``hash``, ``node``) for each hash that is in the prefixes of two or more different sets."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(text) for text in _bytes(batch)]
+            lengths = [len(x) + (-4 * len(x) // 5) + 1 if len(x) else 0 for x in found]
+            hashes = np.concatenate([np.empty(0, np.uint64), *(x[:p] for x, p in zip(found, lengths, strict=True))])
+            nodes = np.repeat(np.array([_node(x) for x in found], np.uint64), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(nodes.view(np.int64))], ["hash", "node"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by hash and node, without repeats and without the hashes of one node."""
+        last: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))
+        sent = False
+        for batch in batches:
+            h, node = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ("hash", "node"), strict=True))
+            if not len(h):
+                continue
+            new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
+            carried = bool(len(last[0]))
+            h, node = h[new], node[new]
+            same = np.r_[False, h[1:] == h[:-1]]
+            kept = same | np.r_[same[1:], False]
+            if carried and sent:
+                kept[0] = False
+            # The last row waits for the next batch; it is marked if it went out already.
+            out = np.flatnonzero(kept)
+            sent = bool(kept[-1]) or (len(h) == 1 and carried and sent)
+            last = (h[-1:], node[-1:])
+            yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(node[out])], ["hash", "node"])
+
+    sent = _texts(docs).mapInArrow(prefixes, "hash long, node long")
+    return sent.repartition("hash").sortWithinPartitions("hash", "node").mapInArrow(met, "hash long, node long")
+
+
+def _near(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) of nodes that share a hash, are of different roots and may be similar by size and sketch.
+
+    A hash of more than SLICE nodes is cut into cells, one for each two slices.
+    """
+    rows = with_decisions(met, nodes.select("node", "root"), ["node"])
+    groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"))
+    groups = stored(groups.where("x <> y").select("hash", F.ceil(F.col("m") / SLICE).cast("long").alias("s")), "groups")
+    rows = with_decisions(with_decisions(rows, groups, ["hash"]), nodes.select("node", "n", "sketch"), ["node"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
+    names = ["hash", "lo", "hi", "own", "node", "root", "n", "sketch"]
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select(names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            h, lo, hi, own, node, root, n = (table.column(c).to_numpy() for c in names[:-1])
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            new = np.r_[True, (h[1:] != h[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+            starts = np.flatnonzero(new)
+            stop = np.repeat(np.r_[starts[1:], len(h)], np.diff(np.r_[starts, len(h)]))
+            count = stop - np.arange(len(h)) - 1
+            ends, at = np.cumsum(count), 0
+            while at < len(h):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                c = count[at:to]
+                i = np.repeat(np.arange(at, to), c)
+                j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + i + 1
+                at = to
+                for wanted in (
+                    lambda i, j: (root[i] != root[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])),
+                    lambda i, j: 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]),
+                    lambda i, j: 9 * np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j],
+                ):
+                    ok = wanted(i, j)
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy() for c in names[:3]]
+            whole = np.logical_and.reduce([k == k[-1] for k in key])
+            cut = int(np.flatnonzero(~whole)[-1]) + 1 if not whole.all() else 0
+            same = held and all(held[-1].column(c)[-1].as_py() == k[0] for c, k in zip(names[:3], key, strict=True))
+            if held and (cut or not same):
+                yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from settle(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    placed = rows.repartition("hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi")
+    return placed.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose whole sets are similar."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_set(text).tobytes() for text in _bytes(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "found"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("x"), batch.column("y"), strict=True)
+            ok = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in both]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = reliable(asked.join(nodes, "node").select(F.col("first")[ROW].alias(ROW), "node"))
+    found = stored(with_decisions(_texts(docs), asked, [ROW]).select("node", "text").mapInArrow(sets, "node long, found binary"), "sets")
+    whole = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+    return whole.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(``__row``, ``doc_id``, ``component_id``, ``kept``) for every row of ``docs``.
+
+    Links are exactly the pairs whose five-word sets, of lower-case words, have a
+    similarity of 0.8 or more; equal sets, empty ones too, are linked.
+    ``component_id`` and ``kept`` are as in ``simhash.near_duplicates``.
+    """
+    found = reliable(described(docs))
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", ROW)
+    nodes = reliable(found.groupBy("node").agg(F.min(first).alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
+
+    # The fingerprints' links, by one node of each fingerprint, and the other nodes of the same one.
+    prints = reliable(nodes.groupBy("fp").agg(F.min("node").alias("node")))
+    edges = simhash.links(prints.select("fp")).toDF("p", "q")
+    edges = edges.join(prints.toDF("p", "a"), "p").join(prints.toDF("q", "b"), "q").select("a", "b")
+    same = nodes.select("node", "fp").toDF("a", "p").join(prints.toDF("p", "b"), "p").where("a <> b").select("a", "b")
+    least = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = reliable(_checked(reliable(edges.union(same).select(*least).distinct()), docs, nodes))
+
+    roots = reliable(components(links)).withColumnRenamed("node", "of")
+    known = nodes.join(roots, F.col("node") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "node"))
+    known = reliable(known.select("node", "first", "n", "sketch", "root"))
+    met = stored(shared_prefixes(docs), "prefixes")
+    more = reliable(_checked(stored(_near(met, known), "pairs"), docs, known.drop("root")))
+
+    roots = reliable(components(links.union(more))).withColumnRenamed("node", "of")
+    named = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = named.toDF("node", "first", "root")
+    least_of = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = reliable(named.join(least_of, "root").select("node", "least"))
+    rows = found.select(ROW, "doc_id", "node").join(named, "node")
+    return rows.select(ROW, "doc_id", F.col("least.doc_id").alias("component_id"), (F.col("least")[ROW] == F.col(ROW)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each component, with the columns of ``docs``."""
+    kept = reliable(near_copies(docs).where("kept").select(ROW))
+    return with_decisions(identified(docs), kept, [ROW]).select(*docs.columns)

@@ -34,25 +34,34 @@ SLICE = 4096
 PAIRS = 1 << 21
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash over the word shingles of ``text``: a bit is 1 if it is set in over half their hashes."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of the word shingles of ``text``, in order; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     n = len(words) - shingle + 1
     starts, stops = (ends - sizes)[:n].tolist(), ends[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:z], SEED) for a, z in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:z], SEED) for a, z in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash over the word shingles of ``text``: a bit is 1 if it is set in over half their hashes."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
