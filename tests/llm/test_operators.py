@@ -246,6 +246,22 @@ and a <a href="/x">link</a>.<p>Second one &lt;here&gt;, which is longer than the
 <form><label>Name</label><input></form><footer>&copy; 2024 All rights</footer></body></html>"""
 
 
+def test_foreign_elements_lose_no_text():
+    """A formula and an object's words count; a drawing without an end loses nothing but its tag."""
+
+    def texts(page):
+        return [b.text for b in blocks(page)]
+
+    rest = "<p>One.</p><svg><text>drawn</text><svg/><svg></svg></svg><p>Two.</p>"
+    for icon in ("<svg class='a'/>", "<math/>", "<svg hidden/>", '<svg a="b=c"/>', "<svg class=a/>", "<svg><path>", "<template>", "<svg><script>'</svg>'</script>"):
+        assert texts(f"<html><head>{icon}</head><body>{rest}") == ["One.", "Two."], icon
+    page = "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data=a.pdf>the <b>file</b></object> end.</p><p>Next.</p>"
+    assert texts(page) == ["So x=2 and the file end.", "Next."]
+    assert texts("<p>a<template><p>b<template>c</template>d</template>e<iframe>f</iframe>") == ["ae"]
+    assert texts("<p>a <object>b<p>c <math>d<p>e") == ["a b", "c d", "e"]
+    assert not blocks("<p><math hidden/>x")[0].words
+
+
 @pytest.fixture(scope="module")
 def field():
     return html_extract.train(html_extract.labelled_pages())

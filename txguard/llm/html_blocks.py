@@ -13,7 +13,11 @@ BLOCKS = frozenset(
     "pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe noembed noframes svg math object".split())
+RAW = frozenset("script style iframe noembed noframes".split())
+#: Elements that are left out if they are closed; they can be nested.
+DRAWN = frozenset(["svg", "template"])
+#: Elements that a trailing slash closes.
+FOREIGN = frozenset(["svg", "math"])
 PLAIN = frozenset(["title", "textarea"])
 #: An open element of the key's kind ends where one of these begins.
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th tr", "th": "td th tr", "option": "option optgroup"}
@@ -23,6 +27,11 @@ HOLDERS = frozenset("ul ol menu dl table select body html".split())
 _MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^a-zA-Z][^>]*>?", re.S
 )
+_DRAWN = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?</\1(?=[\s/>])|<(/?)(svg|template)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
+)
+#: A slash that ends an attribute's value closes nothing.
+_VALUE_SLASH = re.compile(r"=\s*[^\s\"'][^\s\"']*/\Z")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _NAMES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"[\s]+")
@@ -57,16 +66,37 @@ def _words(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _self_closed(tag: str, attributes: str) -> bool:
+    return tag in FOREIGN and attributes.endswith("/") and not _VALUE_SLASH.search(attributes)
+
+
+def _drawn(page: str) -> dict[int, int]:
+    """For each DRAWN element that is closed: the end of its opening tag, and that of its closing one."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in DRAWN}
+    for match in _DRAWN.finditer(page):
+        tag = (match[3] or "").lower()
+        if not tag or not match[2] and _self_closed(tag, match[4]):
+            continue
+        if not match[2]:
+            opened[tag].append(match.end())
+        elif opened[tag]:
+            found[opened[tag].pop()] = match.end()
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks that hold text, in page order, character references decoded and white space made single.
 
-    Scripts, styles and the like hold no text. Paragraphs, list items and cells end
+    Scripts, styles, drawings and the like hold no text; formulas and objects do. The
+    tag of a drawing that is never closed is ignored. Paragraphs, list items and cells end
     where the next begins; a closing tag without an opening one is ignored.
     """
     found: list[Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
     linked = at = links = 0
+    drawn: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -105,6 +135,12 @@ def blocks(page: str) -> list[Block]:
             elif place is not None and not any(o.tag in BLOCKS for o in stack[place:]):
                 leave(place)
             continue
+        if _self_closed(tag, match[2]):
+            continue
+        if tag in DRAWN:
+            drawn = _drawn(page) if drawn is None else drawn
+            at = drawn.get(at, at)
+            continue
         if tag in RAW or tag in PLAIN:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             stop, after = (end.start(), end.end()) if end else (size, size)
