@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txguard.llm import mixing, near_copies, packing, quality, substrings
+from txguard.llm import mixing, packing, quality, simhash, substrings
 from txguard.llm.queries import byte_bpe, table
 from txguard.llm.text import stored
 
@@ -20,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a five-word similarity of 0.8 or more."""
-    return near_copies.deduplicated(docs)
+    """One document, that of the smallest id, of each group that the SimHash operator links."""
+    return simhash.deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
