@@ -161,7 +161,7 @@ def parsed(output: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     opened, closed = template.other_before
     whole = "(?s)" + "|".join(f"({re.escape(t.before)})(.*?){re.escape(t.after)}" for t in template.turns.values())
     n = len(template.turns)
-    whole += f"|({re.escape(opened)})((?:\\\\.|[^\\\\>\n])*){re.escape(closed)}(.*?){re.escape(template.other_after)}"
+    whole += f"|({re.escape(opened)})([^\\\\>\n]*+(?:\\\\.[^\\\\>\n]*+)*+){re.escape(closed)}(.*?){re.escape(template.other_after)}"
     whole += f"|({re.escape(template.null_role)})(.*?){re.escape(template.other_after)}"
 
     def group(k: int) -> Column:
