@@ -35,7 +35,7 @@ def test_empty_tables(spark, empty_folder, name):
     assert len(rows) == (1 if name == "op9_chat_formatting" else 0)
 
 
-DOCUMENT_QUERIES = [q for q in QUERIES if q.split("_")[0] in ("op1", "op2", "op3", "op5", "op7", "op8")]
+DOCUMENT_QUERIES = [q for q in QUERIES if q.split("_")[0] in ("op1", "op2", "op3", "op5", "op7", "op8", "op12")]
 
 
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)

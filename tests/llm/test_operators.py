@@ -353,13 +353,13 @@ def test_pipeline_on_odd_rows(spark, folder, empty_folder):
 
 
 def test_nothing_unbounded_comes_to_the_driver():
-    """Sums of two classes in the classifier, and nothing else."""
+    """Sums of two classes in the classifier; bitmaps, split prefixes and coarse sums of bounded size of the phrases."""
     import re
     from pathlib import Path
 
     for path in Path(simhash.__file__).parent.glob("*.py"):
         text = path.read_text()
         found = len(re.findall(r"\.(collect|toPandas|toLocalIterator)\(\)", text))
-        assert found <= (path.name == "quality.py"), path.name
+        assert found <= {"quality.py": 1, "phrases.py": 3}.get(path.name, 0), path.name
         for word in ("localCheckpoint", "crossJoin", ".rdd", "F.udf(", "repartition(1)", "tempfile"):
             assert word not in text, (path.name, word)

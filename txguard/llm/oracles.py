@@ -84,4 +84,44 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost)::BIGINT AS
 FROM folded
 """
 
-ORACLES: dict[str, str] = {"op3_mixing_sources": OP3, "op5_substring_dedup": OP5, "op9_chat_formatting": OP9}
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sized AS (
+  SELECT k, lang, w, unnest(range(1, len(w) - k + 2)) AS i FROM split, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k
+), counted AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM sized GROUP BY ALL
+), words AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE f >= 30
+), cuts AS (
+  SELECT lang, phrase, f AS a, w, unnest(range(1, k)) AS cut FROM often WHERE k >= 2
+), scores AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, cut, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ')
+              JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+), lowest AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), parts AS (
+  SELECT lang, f, k, w, size, unnest(range(1, k - size + 2)) AS i FROM often, (VALUES (2), (3)) AS v(size) WHERE k > size
+), most AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(f) AS most FROM parts GROUP BY ALL
+), ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+  FROM lowest c LEFT JOIN most m ON m.lang = c.lang AND m.phrase = c.phrase
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_mixing_sources": OP3,
+    "op5_substring_dedup": OP5,
+    "op9_chat_formatting": OP9,
+    "op13_phrase_mining": OP13,
+}

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import ann, chat, html_extract, mixing, packing, quality, simhash, substrings, token_files, winnow
+from txguard.llm import ann, chat, html_extract, mixing, packing, phrases, pieces, quality, repair, simhash, substrings, token_files, winnow
 from txguard.llm.oracles import ORACLES as ORACLES
-from txguard.llm.text import stored
+from txguard.llm.text import ROW, identified, stored
 from txguard.session import scratch_path, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,45 @@ def packing_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), byte_bpe()).drop("ids")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """A fifth of all turns damaged in one of five ways, chosen by the CRC-32 of conversation and turn; null is a space."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    rows = identified(conversations).select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), ROW,
+        F.crc32(name.cast("binary")).alias("crc") % 20,
+    ).toDF("conv_id", "turn", "role", "text", ROW, "way")
+    way = F.col("way")
+    text = F.when(way == 1, F.lit("")).when(way == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(way == 4, F.lit("user")).otherwise(F.col("role"))
+    copies = F.when(way == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where(way != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), ROW, F.explode(copies).alias("copy"))
+
+
+def structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    return repair.repaired_conversations(damaged(given), given)
+
+
+def piece_bpe() -> str:
+    """The installed model file of the contract."""
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def sentencepiece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.encoded(table(spark, folder, "documents"), piece_bpe())
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": quality_classifier,
     "op2_simhash_near_dedup": simhash_near_dedup,
@@ -107,4 +146,7 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": winnowing,
     "op9_chat_formatting": chat_formatting,
     "op10_packing": packing_sequences,
+    "op11_structure_repair": structure_repair,
+    "op12_sentencepiece": sentencepiece_encoding,
+    "op13_phrase_mining": phrase_mining,
 }
