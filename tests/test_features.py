@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from conftest import MIDDLE, by_id
@@ -128,6 +131,48 @@ def test_odd_amounts_have_one_definition_for_all_user_sizes(transactions):
     assert math.isnan(found[0]["8-2"][4]) and found[0]["10-2"][4] == math.inf and found[0]["12-2"][4] == -math.inf
 
 
+def _fraction_mean(amounts):
+    """The mean of doubles by exact fractions, and by floating-point rules where one is no number."""
+    values = [a for a in amounts if a is not None]
+    if not values:
+        return None
+    odd = {str(v) for v in values if math.isnan(v) or math.isinf(v)}
+    if odd:
+        return math.nan if "nan" in odd or len(odd) > 1 else float(next(iter(odd)))
+    return float(sum(map(Fraction, values)) / len(values))
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_means_are_exact_for_every_double(transactions, limit):
+    """Amounts of all sizes in one frame, and their differences, against fractions; money in the fast way."""
+    rng = random.Random(11)
+    sizes = {
+        1: [1e300, -1e300, 1e15, 1.0, 2.0, 1e-14, 1e-300, 5e-324, 0.1, -0.0, None, 1.7976931348623157e308, 1.7e308],
+        2: [1e15, 1.0, 2.0, 1e-14, 1e16, -1e15, 3e22],
+        3: [0.1, 0.2, 0.3, 19.99, 1e5, 0.01, 123456.78, -0.1, -19.99, 7e13, 2.0**-30],
+        4: [math.nan, math.inf, -math.inf, 1e300, 5.0, None],
+    }
+    rows, times = [], {}
+    for user, amounts in sizes.items():
+        for n in range(60):
+            hours = 5 * n if n < 30 else 5 * n + 24 * 20
+            time = datetime(2024, 1, 1) + timedelta(hours=hours)
+            key = f"{user}-{n:02d}"
+            times[key] = (user, time, rng.choice(amounts))
+            rows.append((key, user, times[key][2], None, time.isoformat()))
+    found = by_id(add_activity(transactions(*rows), limit), "rolling_avg_7rows", "rolling_avg_7d")
+    for key, (user, time, _) in times.items():
+        mine = sorted((k, t, a) for k, (u, t, a) in times.items() if u == user)
+        at = [k for k, _, _ in mine].index(key)
+        expected = (
+            _fraction_mean([a for _, _, a in mine[max(0, at - 6) : at + 1]]),
+            _fraction_mean([a for _, t, a in mine if time - timedelta(days=7) <= t < time]),
+        )
+        for a, b in zip(found[key], expected, strict=True):
+            # The sum is rounded once, and so is the quotient.
+            assert _same(a, b) or (b is not None and math.isclose(a, b, rel_tol=2.3e-16)), (key, a, b)
+
+
 def test_time_frames_only_grow(spark):
     plan = add_activity(events_as_transactions(spark, MIDDLE), None)._jdf.queryExecution().optimizedPlan().toString()
     frames = set(re.findall(r"RangeFrame, ([^,]+),", plan))

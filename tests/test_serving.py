@@ -83,7 +83,7 @@ def test_watermark_setting(spark, registry, messages, tmp_path):
 def test_topics_need_a_connector(spark, registry):
     """The connector is not installed here; everything up to it is built."""
     with pytest.raises(Exception, match="kafka"):
-        serving.serve(spark, settings(checkpoint_location="c", state_location="s"), registry)
+        serving.serve(spark, settings(checkpoint_location="c"), registry)
     with pytest.raises(Exception, match="kafka"):
         training.training_job(spark, settings(), registry, "u", "q")
     assert kafka.alert_options(Config().kafka, settings(checkpoint_location="x").scoring.checkpoint_location)["checkpointLocation"] == "x"
@@ -94,6 +94,6 @@ def test_the_job_needs_its_folders_and_a_known_mode(spark, messages):
         return serving.scoring_job(messages, lambda f: f, settings(**scoring), serving.Sinks(print, print))
 
     with pytest.raises(ValueError, match="checkpoint_location"):
-        job(state_location="s")
+        job()
     with pytest.raises(ValueError, match="mode"):
-        job(checkpoint_location="c", state_location="s", mode="other")
+        job(checkpoint_location="c", mode="other")

@@ -1,19 +1,22 @@
 from __future__ import annotations
 
 import json
+import random
+import shutil
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import at, by_id
 from pyspark.sql import functions as F
 
 from txguard import workload
-from txguard.operators.activity import ACTIVITY_COLUMNS, add_activity
+from txguard.operators.activity import ACTIVITY_COLUMNS, DAY, add_activity
 from txguard.schemas import ALERT_COLUMNS, TRANSACTION
 from txguard.sources import files
 from txguard.sources.codec import decode, encode
+from txguard.streaming import history
 from txguard.streaming.dedup import drop_repeats
-from txguard.streaming.history import UserHistory, with_history
-from txguard.streaming.segments import Segments
+from txguard.streaming.history import with_history
 from txguard.streaming.scorer import alert_messages, alert_rows, alerts_with_history, rejected_messages
 
 
@@ -37,7 +40,7 @@ def history_features(spark, tmp_path, batches, **options):
         df.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
     def start(stream):
-        return with_history(decode(stream), f"{place}/past", sink, f"{place}/check", **options)
+        return with_history(decode(stream), sink, f"{place}/check", **options)
 
     deliver(spark, place, batches, start)
     return spark.read.parquet(f"{place}/out")
@@ -57,9 +60,9 @@ def assert_same(found, expected):
         assert found[key] == pytest.approx(values), key
 
 
-@pytest.mark.parametrize("limit", [None, 2])
-def test_history_equals_the_batch_for_rows_in_order(spark, tmp_path, limit):
-    found = by_id(history_features(spark, tmp_path, IN_ORDER, max_user_rows=limit), *ACTIVITY_COLUMNS)
+@pytest.mark.parametrize(("limit", "slices"), [(None, 1), (2, 3)])
+def test_history_equals_the_batch_for_rows_in_order(spark, tmp_path, limit, slices):
+    found = by_id(history_features(spark, tmp_path, IN_ORDER, max_user_rows=limit, slices=slices), *ACTIVITY_COLUMNS)
     everything = table(spark, [row for rows in IN_ORDER for row in rows])
     assert_same(found, by_id(add_activity(everything, None), *ACTIVITY_COLUMNS))
 
@@ -75,66 +78,58 @@ def test_late_rows_see_all_that_was_before_them(spark, tmp_path, monkeypatch):
     assert found["late"][1] == pytest.approx((10 + 20 + 30 + 40 + 50 + 60 + 7) / 7)
 
 
-def test_tails_are_rewritten_without_changing_results(spark, tmp_path):
-    root, results = str(tmp_path / "past"), {}
-    batches = IN_ORDER + [[("i", 1, 60.0, "x", "2024-03-01T06:00:00")], [("j", 2, 60.0, "x", "2024-05-01T06:00:00")]]
-    past = UserHistory(spark, root, None, rewrite_every=2)
-    for number, rows in enumerate(batches):
-        results.update(by_id(past.features(table(spark, rows), number), *ACTIVITY_COLUMNS))
-    levels = {p.name for p in (tmp_path / "past" / "tails").iterdir()}
-    assert levels >= {"level=0", "level=1", "level=2"}
-    everything = table(spark, [row for rows in batches for row in rows])
-    assert_same(results, by_id(add_activity(everything, None), *ACTIVITY_COLUMNS))
+def test_random_deliveries_see_all_that_arrived_before(spark, tmp_path):
+    """Rows in any order, gaps of months, equal times, null ids, odd amounts: each has the batch's features at its arrival."""
+    rng = random.Random(7)
+    amounts = [1.0, 2.5, None, float("nan"), float("inf"), -3.0, 0.1]
+    batches, number = [], 0
+    for _ in range(4):
+        rows = []
+        for _ in range(25):
+            number += 1
+            day = rng.choice([1, 2, 3, 9, 10, 40, 41, 100])
+            time = datetime(2024, 1, 1) + timedelta(days=day, hours=rng.randrange(24), microseconds=rng.randrange(3))
+            rows.append((f"{number:03d}", rng.choice([1, 2, 1 << 60]), rng.choice(amounts), "x", time.isoformat()))
+        batches.append(rows)
+    found = by_id(history_features(spark, tmp_path, batches, slices=2), *ACTIVITY_COLUMNS)
+    for n, rows in enumerate(batches):
+        arrived = table(spark, [row for earlier in batches[: n + 1] for row in earlier])
+        expected = by_id(add_activity(arrived, None), *ACTIVITY_COLUMNS)
+        for key, *_ in rows:
+            assert str(found[key]) == str(expected[key]) or found[key] == pytest.approx(expected[key], nan_ok=True), key
 
 
 def test_a_batch_run_again_gives_the_same(spark, tmp_path):
-    past = UserHistory(spark, str(tmp_path))
-    past.features(table(spark, IN_ORDER[0]), 0).collect()
-    first = by_id(past.features(table(spark, IN_ORDER[1]), 1), *ACTIVITY_COLUMNS)
-    assert by_id(past.features(table(spark, IN_ORDER[1]), 1), *ACTIVITY_COLUMNS) == first
-    third = by_id(past.features(table(spark, IN_ORDER[2]), 2), *ACTIVITY_COLUMNS)
-    everything = by_id(add_activity(table(spark, sum(IN_ORDER[:3], [])), None), *ACTIVITY_COLUMNS)
-    assert_same(third, {k: everything[k] for k in ("e", "f")})
-
-
-def test_a_late_user_does_not_widen_the_days_of_others(spark, tmp_path):
-    """With one row of another user from long ago, the timely user's context is what it was."""
-    past = UserHistory(spark, str(tmp_path))
-    old = [(f"o{i}", 1, 1.0, "x", f"2024-{i + 1:02d}-01T00:00:00") for i in range(6)]
-    old += [(f"r{i}", 1, 1.0, "x", f"2024-06-{20 + i}T00:00:00") for i in range(8)]
-    past.features(table(spark, old + [("p", 2, 5.0, "x", "2024-01-01T00:00:00")]), 0).collect()
-    batch = [("n", 1, 1.0, "x", "2024-06-28T00:00:00"), ("late", 2, 1.0, "x", "2024-01-02T00:00:00")]
-    bounds = spark.createDataFrame(
-        [(1, at("2024-06-28T00:00:00").date(), at("2024-06-21T00:00:00").date()), (2, at("2024-01-02T00:00:00").date(), at("2023-12-26T00:00:00").date())],
-        "user_id long, _first date, _from date",
+    """With its commit gone, as after a crash, the last micro-batch is done again from the same state."""
+    first = by_id(history_features(spark, tmp_path, IN_ORDER), *ACTIVITY_COLUMNS)
+    last = max(int(p.name) for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    done = sorted(p.name for p in (tmp_path / "out").glob("batch=*"))
+    shutil.rmtree(tmp_path / "out" / done[-1])
+    assert by_id(history_features(spark, tmp_path, [[]]), *ACTIVITY_COLUMNS).items() >= first.items()
+
+
+def test_idle_users_start_anew(spark, tmp_path):
+    """While another user is served, the state of the idle one goes; a user with rows in each micro-batch keeps it."""
+    batches = [
+        [("a", 1, 10.0, "x", "2024-01-01T00:00:00"), ("b", 2, 10.0, "x", "2024-01-01T00:00:00")],
+        [("c", 2, 20.0, "x", "2024-01-01T01:00:00")],
+        [("d", 1, 30.0, "x", "2024-01-01T02:00:00"), ("e", 2, 60.0, "x", "2024-01-01T02:00:00")],
+    ]
+    found = by_id(history_features(spark, tmp_path, batches, idle_days=1e-9), *ACTIVITY_COLUMNS)
+    assert found["d"] == (0, 30.0, 1.0, 0.0, None)
+    assert found["e"] == pytest.approx((2, 30.0, 2.0, 3600.0, 15.0))
+
+
+def test_each_message_goes_to_its_own_day_and_calls_the_days_before(spark):
+    rows = spark.createDataFrame(
+        [("day", 1, 10, 0, 10 * DAY + i, f"r{i}", "1.0", "{}") for i in range(20)] + [("none", 0, 0, 5, 0, None, None, "{}")], history._MESSAGE
     )
-    rows = past._recent(1, bounds, at("2024-06-21T00:00:00").date()).collect()
-    assert sorted(r["transaction_id"] for r in rows) == ["p", *[f"r{i}" for i in range(1, 8)]]
-    found = by_id(past.features(table(spark, batch), 1), *ACTIVITY_COLUMNS)
-    assert found["late"][0] == 1 and found["n"][4] == 1.0
-
-
-def test_tails_of_other_users_are_not_grouped(spark, tmp_path):
-    past = UserHistory(spark, str(tmp_path))
-    past.features(table(spark, IN_ORDER[0]), 0).collect()
-    bounds = spark.createDataFrame([(1, at("2024-01-01T00:00:00").date())], "user_id long, _from date")
-    plan = past._tails(1, bounds)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Aggregate") < plan.index("Join Inner") < plan.index("parquet")
-
-
-def test_segments_stay_few_and_complete(spark, tmp_path):
-    """After 40 batches at a fan of 3 there are at most 3 per level; a half-done merge does no harm."""
-    kept = Segments(spark, f"{tmp_path}/t", "n int", fan=3)
-    for number in range(40):
-        kept.merge(number)
-        kept.write(spark.range(1).select(F.lit(number).cast("int").alias("n")).coalesce(1), number)
-        if number == 30:
-            (tmp_path / "t" / "level=3" / "batch=27").mkdir(parents=True, exist_ok=True)
-            kept.write(spark.range(1).select(F.lit(number).cast("int").alias("n")).coalesce(1), number)
-    assert sorted(r["n"] for r in kept.read(40).collect()) == list(range(40))
-    assert sorted(r["n"] for r in kept.read(39).collect()) == list(range(39))
-    folders = [p for p in (tmp_path / "t").glob("level=*/batch=*")]
-    assert len(folders) <= 3 * 4 + 1
+    sent = rows.coalesce(1).mapInPandas(history._wake(2), history._MESSAGE).groupBy("part", "day", "slice").count().collect()
+    found = {(r["part"], r["day"], r["slice"]): r["count"] for r in sent}
+    days = {("day", day, part): 1 + 20 * (day == 10 and part == 0) for day in range(3, 11) for part in (0, 1)}
+    assert found == {**days, ("last", 0, 0): 6, ("none", 0, 5): 1}
 
 
 @pytest.mark.parametrize("combine", [True, False])
@@ -228,7 +223,7 @@ def test_alerts_scored_with_history(spark, tmp_path):
         def write(found, number):
             found.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-        return alerts_with_history(stream, scorer, f"{place}/past", write, f"{place}/check")
+        return alerts_with_history(stream, scorer, write, f"{place}/check")
 
     deliver(spark, place, IN_ORDER[:3], start)
     assert sorted(r["transaction_id"] for r in spark.read.parquet(f"{place}/out").collect()) == ["c", "e"]

@@ -44,9 +44,11 @@ class ScoringConfig:
     threshold: float | str = 0.60
     watermark: str = "24 hours"
     mode: str = "computed"
-    # Folders that all machines share; needed by the streaming jobs.
+    # A folder that all machines share; needed by the streaming jobs, whose state lies there too.
     checkpoint_location: str = ""
-    state_location: str = ""
+    # Days without rows after which a user's state is removed, and the parts of a user's day.
+    idle_days: float = 60.0
+    user_day_slices: int = 1
 
 
 @dataclass(frozen=True)

@@ -94,17 +94,25 @@ def tag_patterns(
     return tagged.drop("_compromised", "_risky").withColumn("pattern", first).withColumn("is_flagged", first.isNotNull())
 
 
+def users_summed(tagged: DataFrame) -> DataFrame:
+    """Rows and amount per (pattern, user); rows without a pattern count as ``none``. For tables and streams."""
+    named = F.coalesce("pattern", F.lit("none"))
+    return tagged.groupBy(named.alias("pattern"), "user_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount")
+    )
+
+
 def pattern_summary(tagged: DataFrame) -> DataFrame:
-    """Rows, amount and users per pattern; rows without a pattern count as ``none``.
+    """Rows, amount and users per pattern.
 
     Users are reduced to one row per (pattern, user) first, which combines on
     the map side, so neither a large pattern nor a large user meets one task.
     """
-    named = F.coalesce("pattern", F.lit("none"))
-    per_user = (
-        tagged.groupBy(named.alias("pattern"), "user_id")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"))
-    )
+    return sum_users(users_summed(tagged))
+
+
+def sum_users(per_user: DataFrame) -> DataFrame:
+    """The sums of ``users_summed`` per pattern."""
     return per_user.groupBy("pattern").agg(
         F.sum("rows").alias("rows"),
         F.sum("amount").alias("amount"),

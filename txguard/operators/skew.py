@@ -40,8 +40,10 @@ class HeavySplit:
     few: bool = True
 
 
-def split_heavy(df: DataFrame, keys: Sequence[str], max_rows: int) -> HeavySplit:
-    """Separate the rows of keys with more than ``max_rows`` rows; null keys count as ordinary.
+def split_heavy(df: DataFrame, keys: Sequence[str], max_rows: int, also: Column | None = None) -> HeavySplit:
+    """Separate the rows of keys with more than ``max_rows`` rows, or with a row for which ``also`` holds.
+
+    Null keys count as ordinary.
 
     Counting combines on the map side, so a heavy key costs one row per input
     task. At most (all rows / max_rows) keys are heavy. Up to ``BROADCAST_KEYS``
@@ -52,8 +54,8 @@ def split_heavy(df: DataFrame, keys: Sequence[str], max_rows: int) -> HeavySplit
     counted = (
         df.where(named)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_rows)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max(F.lit(False) if also is None else also).alias("_also"))
+        .where((F.col("_rows") > max_rows) | F.col("_also"))
         .select(*keys)
     )
     found = counted.limit(BROADCAST_KEYS + 1).collect()

@@ -48,17 +48,17 @@ def scoring_job(messages: DataFrame, score: Scorer, config: Config, sinks: Sinks
 
     In the mode ``computed`` a model gets the users' activity as it was trained on,
     with repeated messages dropped first; ``placeholder`` puts constants there.
-    Checkpoints and the users' history go below the configured folders.
+    Checkpoints, which hold the users' history too, go below the configured folder.
     """
     settings = config.scoring
-    if not settings.checkpoint_location or not settings.state_location:
-        raise ValueError("set checkpoint_location and state_location to folders that all machines share")
+    if not settings.checkpoint_location:
+        raise ValueError("set checkpoint_location to a folder that all machines share")
     checkpoint = f"{settings.checkpoint_location}/alerts"
     risky = config.high_risk_merchants
     if settings.mode == "computed":
         found = alerts_with_history(
-            messages, score, f"{settings.state_location}/users", lambda df, n: sinks.alerts(encode(df), n),
-            checkpoint, risky, settings.watermark,
+            messages, score, lambda df, n: sinks.alerts(encode(df), n), checkpoint, risky, settings.watermark,
+            idle_days=settings.idle_days, slices=settings.user_day_slices,
         )
     elif settings.mode == "placeholder":
         keyed = alert_messages(messages, score, risky, settings.watermark)

@@ -1,179 +1,214 @@
 """Per-user features of a stream, exact against everything that arrived before.
 
-Each micro-batch is put together with what its users did earlier and handed to
-the batch operator, which spreads users with a large share of the rows over many
-tasks. Features of a row are those of the batch operator over all rows that
-arrived so far; rows already written are not revised when a late one arrives.
-
-Two tables below one root hold the past, each in a bounded number of folders
-(``streaming/segments.py``):
-
-- ``history``: all rows, by day; for each user only the days that its frames reach
-  are taken, and days before those of all timely users are read for late users alone
-- ``tails``: per micro-batch the last six rows and the row count of its users, for
-  the frames that count rows however old
-
-A late row may need rows that are neither recent nor among its user's last six;
-the row counts show that, and only then are those users' old days read.
-
-A micro-batch writes below its own number and reads only lower numbers, so one
-that is run again after a failure does the same work again.
+What a user did earlier is kept as keyed state of the stream itself, so it lies in
+the checkpoint, is versioned with it, and a micro-batch that is run again after a
+failure sees the same past. There are two kinds of state:
+
+- the rows of a user's day, in ``slices`` parts, so that a user with a large share of
+  all rows is spread over as many tasks as the stream has days and slices
+- per user the last six rows of each day, for the frames that count rows however old
+
+A new row goes to its own day, and wakes the days that its frames reach back to. Those
+hand out their rows as context. The user's state adds the six rows before, where
+they are older. The micro-batch and its context then go through the batch operator,
+which spreads large users over many tasks. Features of a row are those of the batch
+operator over all rows that arrived so far, also for a late one; rows already written
+are not revised when a late one arrives.
+
+State that no row has touched for ``idle_days`` is removed with the next micro-batch:
+after such a pause, a user starts anew. The timers go by the clock, as those of event
+time would drop late rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-from datetime import date
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from txguard.operators.activity import MAX_USER_ROWS, ROWS, add_activity
-from txguard.operators.patterns import BROADCAST_MEMBERS, MAX_KEY_ROWS, flag_members
-from txguard.operators.skew import fits_broadcast, left_join_skewed
+from txguard.operators.activity import DAY, MAX_USER_ROWS, ROWS, add_activity
 from txguard.session import reliable
-from txguard.streaming.segments import FAN, Segments
 
 BACK = ROWS - 1
 REACH_DAYS = 7
-HISTORY = "transaction_id string, user_id long, amount double, timestamp timestamp, day date"
-TAILS = "user_id long, total long, rows array<struct<timestamp:timestamp,transaction_id:string,amount:double>>"
-_PAST_COLUMNS = ["transaction_id", "user_id", "amount", "timestamp"]
-
-
-def _newest(tails: DataFrame) -> DataFrame:
-    """The newest entry per user, which has the highest count and includes the older ones."""
-    newest = F.max_by(F.struct("total", "rows"), "total").alias("_t")
-    return tails.groupBy("user_id").agg(newest).select("user_id", "_t.*")
-
-
-@dataclass(frozen=True)
-class UserHistory:
-    spark: SparkSession
-    root: str
-    max_user_rows: int | None = MAX_USER_ROWS
-    rewrite_every: int = FAN
-
-    @property
-    def _history(self) -> Segments:
-        return Segments(self.spark, f"{self.root}/history", HISTORY, ["day"], self.rewrite_every)
-
-    @property
-    def _tail_table(self) -> Segments:
-        return Segments(self.spark, f"{self.root}/tails", TAILS, fan=self.rewrite_every)
-
-    def features(self, batch: DataFrame, number: int) -> DataFrame:
-        """The micro-batch with its per-user features; also stores it for later ones."""
-        self._history.merge(number)
-        self._tail_table.merge(number, _newest)
-        batch = reliable(batch)
-        bounds = (
-            batch.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
-            .groupBy("user_id")
-            .agg(F.min("timestamp").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        )
-        bounds = reliable(bounds.withColumn("_from", F.date_sub(F.to_date("_first"), REACH_DAYS)))
-        latest = bounds.agg(F.max("_from").alias("d")).first()["d"]
-        if latest is None:
-            return add_activity(batch, None)
-        tails = reliable(self._tails(number, bounds))
-        context = self._recent(number, bounds, latest)
-        kept = tails.select("user_id", F.inline("rows")).select(*_PAST_COLUMNS)
-        older = _of_users(kept, bounds).where(F.to_date("timestamp") < F.col("_from")).select(*_PAST_COLUMNS)
-        context = reliable(context.unionByName(older))
-
-        lacking = reliable(self._lacking(bounds, tails, context))
-        if not lacking.isEmpty():
-            context = flag_members(context, lacking, "user_id", "_lacking")
-            stays = ~F.col("_lacking") | (F.to_date("timestamp") >= F.col("_from"))
-            context = _of_users(context, bounds).where(stays).select(*_PAST_COLUMNS)
-            old_days = _of_users(self._history.read(number), lacking.join(bounds, "user_id"))
-            context = context.unionByName(old_days.where(F.col("day") < F.col("_from")).select(*_PAST_COLUMNS))
-
-        together = batch.withColumn("_new", F.lit(True)).unionByName(
-            context.withColumn("_new", F.lit(False)), allowMissingColumns=True
-        )
-        done = add_activity(together, self.max_user_rows).where("_new").drop("_new")
-        self._store(batch, bounds, tails, kept, number)
-        return done
-
-    def _recent(self, number: int, bounds: DataFrame, latest: date) -> DataFrame:
-        """The days that the frames of each user's new rows reach."""
-        timely = F.col("_from") >= F.date_sub(F.lit(latest), REACH_DAYS)
-        past = self._history.read(number)
-        found = _of_users(past.where(F.col("day") >= F.date_sub(F.lit(latest), REACH_DAYS)), bounds.where(timely))
-        late = bounds.where(~timely)
-        since = late.agg(F.min("_from").alias("d")).first()["d"]
-        if since is not None:
-            found = found.unionByName(_of_users(past.where(F.col("day") >= F.lit(since)), late))
-        return found.where(F.col("day") >= F.col("_from")).select(*_PAST_COLUMNS)
-
-    def _tails(self, number: int, bounds: DataFrame) -> DataFrame:
-        """The last rows and the row count before micro-batch ``number``, of the given users alone."""
-        mine = _of_users(self._tail_table.read(number), bounds.select("user_id", "_from"))
-        return _newest(mine.drop("_from"))
-
-    def _lacking(self, bounds: DataFrame, tails: DataFrame, context: DataFrame) -> DataFrame:
-        """Users whose earliest new row has fewer known predecessors than a frame takes, though more exist."""
-        known = (
-            _of_users(context, bounds)
-            .groupBy("user_id")
-            .agg(F.count(F.lit(1)).alias("known"), F.count_if(F.col("timestamp") < F.col("_first")).alias("before"))
-        )
-        return (
-            tails.select("user_id", "total")
-            .join(known, "user_id", "left")
-            .where(F.coalesce("before", F.lit(0)) < BACK)
-            .where(F.col("total") > F.coalesce("known", F.lit(0)))
-            .select("user_id")
-        )
-
-    def _store(self, batch: DataFrame, bounds: DataFrame, tails: DataFrame, kept: DataFrame, number: int) -> None:
-        owned = batch.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()).select(*_PAST_COLUMNS)
-        self._history.write(owned.withColumn("day", F.to_date("timestamp")), number)
-        latest = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
-        last = (
-            owned.unionByName(kept)
-            .withColumn("_nth", F.row_number().over(latest))
-            .where(F.col("_nth") <= BACK)
-            .groupBy("user_id")
-            .agg(F.sort_array(F.collect_list(F.struct("timestamp", "transaction_id", "amount"))).alias("rows"))
-        )
-        before = tails.select("user_id", F.col("total").alias("_before"))
-        entries = (
-            last.join(bounds, "user_id")
-            .join(before, "user_id", "left")
-            .select("user_id", (F.coalesce("_before", F.lit(0)) + F.col("_rows")).alias("total"), "rows")
-        )
-        self._tail_table.write(entries, number)
-
-
-def _of_users(rows: DataFrame, users: DataFrame) -> DataFrame:
-    """The rows of the given users, with the users' columns; a user's rows stay where they are if users are few."""
-    if fits_broadcast(users, BROADCAST_MEMBERS):
-        return rows.join(F.broadcast(users), "user_id")
-    return left_join_skewed(rows, users.withColumn("_member", F.lit(True)), ["user_id"], MAX_KEY_ROWS).where(
-        "_member"
-    ).drop("_member")
+#: Days without rows after which a user's state is removed.
+IDLE_DAYS = 60
+#: Groups for rows without a user or a time, which have no state.
+LOOSE = 64
+#: Micro-batches with fewer rows, context included, are not searched for large users.
+SMALL_BATCH = 200_000
+
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_MESSAGE = "part string, user long, day long, slice long, t long, id string, amount string, payload string"
+_GIVEN = "fresh boolean, user long, t long, id string, amount string, payload string"
+_STATE = "t array<bigint>, id array<string>, amount array<string>"
+
+Row = tuple[int, str | None, str | None]
+
+
+def _order(row: Row) -> tuple:
+    """By time, then id, null first: the order of the batch operator."""
+    return row[0], row[1] is not None, row[1] or ""
+
+
+def _last_per_day(rows: Iterable[Row]) -> dict[int, list[Row]]:
+    """The last six rows of each day, in order."""
+    days: dict[int, list[Row]] = {}
+    for row in sorted(rows, key=_order):
+        days.setdefault(row[0] // DAY, []).append(row)
+    return {day: found[-BACK:] for day, found in days.items()}
+
+
+def _wake(slices: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows as messages to the state: each to its day, and once per user and day to what its frames reach."""
+    columns = [c.split()[0] for c in _MESSAGE.split(", ")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[columns]
+            owned = batch[batch["part"] == "day"]
+            if owned.empty:
+                continue
+            calls, last = [], []
+            for user, rows in owned.groupby("user", sort=False):
+                by_day = _last_per_day(zip(rows["t"].tolist(), rows["id"].tolist(), rows["amount"].tolist(), strict=True))
+                last += [("last", user, 0, 0, *row, None) for found in by_day.values() for row in found]
+                reached = {day - back for day in by_day for back in range(REACH_DAYS + 1)}
+                calls += [("day", user, day, part, -1, None, None, None) for day in reached for part in range(slices)]
+            yield pd.DataFrame(calls + last, columns=columns)
+
+    return work
+
+
+def _remember(idle_ms: int) -> Callable:
+    """The state function: hands out new rows, and the old ones that they need."""
+
+    def given(fresh: bool, user: int, rows: list[Row], payloads: list[str] | None = None) -> pd.DataFrame:
+        t, ids, amounts = zip(*rows, strict=True) if rows else ((), (), ())
+        kept = payloads if fresh else [None] * len(rows)
+        return pd.DataFrame({"fresh": fresh, "user": user, "t": list(t), "id": list(ids), "amount": list(amounts), "payload": kept})
+
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        part, user, _, _ = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, payloads = [], []
+        for batch in batches:
+            mine = batch[batch["t"] >= 0] if part == "day" else batch
+            seen += zip(mine["t"].tolist(), mine["id"].tolist(), mine["amount"].tolist(), strict=True)
+            payloads += mine["payload"].tolist()
+        old = list(zip(*state.get, strict=True)) if state.exists else []
+        if part == "day":
+            yield given(False, user, old)
+        if part != "last":
+            yield given(True, user, seen, payloads)
+        if part == "none":
+            return
+        if part == "last":
+            yield given(False, user, _before(_last_per_day(old), {t // DAY for t, _, _ in seen}))
+            seen = [row for found in _last_per_day([*old, *seen]).values() for row in found]
+        else:
+            seen = old + seen
+        if seen:
+            state.update(tuple(map(list, zip(*seen, strict=True))))
+            state.setTimeoutDuration(idle_ms)
+
+    return work
+
+
+def _before(days: dict[int, list[Row]], touched: set[int]) -> list[Row]:
+    """The six rows before each touched day, but for those of days that are handed out whole."""
+    whole = {day - back for day in touched for back in range(REACH_DAYS + 1)}
+    found: dict[Row, None] = {}
+    for day in touched:
+        missing = BACK
+        for earlier in sorted((d for d in days if d < day), reverse=True):
+            if missing <= 0:
+                break
+            rows = days[earlier][-missing:]
+            missing -= len(rows)
+            if earlier not in whole:
+                found.update(dict.fromkeys(rows))
+    return list(found)
+
+
+def with_context(stream: DataFrame, idle_days: float = IDLE_DAYS, slices: int = 1) -> DataFrame:
+    """New rows of a stream (``fresh``, as JSON in ``payload``) and the earlier rows that their features need."""
+    t, user = F.unix_micros("timestamp"), F.col("user_id").cast("long")
+    owned = t.isNotNull() & user.isNotNull()
+    day = F.floor(t / F.lit(DAY)).cast("long")
+
+    def known(value: Column) -> Column:
+        return F.coalesce(value, F.lit(0)).cast("long")
+
+    rows = stream.select(
+        F.when(owned, "day").otherwise("none").alias("part"),
+        F.when(owned, user).otherwise(F.lit(0)).cast("long").alias("user"),
+        known(F.when(owned, day)).alias("day"),
+        F.when(owned, F.pmod(F.xxhash64("transaction_id"), F.lit(slices))).otherwise(F.pmod(F.xxhash64("transaction_id", "amount", t), F.lit(LOOSE))).alias("slice"),
+        known(F.when(owned, t)).alias("t"),
+        F.col("transaction_id").alias("id"),
+        F.col("amount").cast("string").alias("amount"),
+        F.to_json(F.struct(*stream.columns), _JSON).alias("payload"),
+    )
+    messages = rows.mapInPandas(_wake(slices), _MESSAGE)
+    idle = max(1, int(idle_days * 86_400_000))
+    return messages.groupBy("part", "user", "day", "slice").applyInPandasWithState(
+        _remember(idle), _GIVEN, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def batch_features(found: DataFrame, schema: str, max_user_rows: int | None = MAX_USER_ROWS) -> DataFrame:
+    """The new rows among ``found``, a micro-batch of ``with_context``, with their per-user features."""
+    kept = reliable(found)
+    rows = kept.where("fresh").select(F.from_json("payload", schema, _JSON).alias("row")).select("row.*")
+    context = kept.where("not fresh").select(
+        F.col("user").alias("user_id"),
+        F.timestamp_micros("t").alias("timestamp"),
+        F.col("id").alias("transaction_id"),
+        F.col("amount").cast("double").alias("amount"),
+    )
+    together = rows.withColumn("_new", F.lit(True)).unionByName(context.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    if max_user_rows == MAX_USER_ROWS and kept.count() < SMALL_BATCH:
+        max_user_rows = None
+    return add_activity(together, max_user_rows).where("_new").drop("_new")
+
+
+class _Writer(DataStreamWriter):
+    """Starts a query whose micro-batches all have rows: timers by the clock would ask for empty ones for ever."""
+
+    def start(self, *args, **options) -> StreamingQuery:
+        conf, name = self._spark.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            # A query keeps the settings that it is started with.
+            return super().start(*args, **options)
+        finally:
+            conf.set(name, before)
 
 
 def with_history(
     stream: DataFrame,
-    root: str,
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
     max_user_rows: int | None = MAX_USER_ROWS,
-    rewrite_every: int = FAN,
+    idle_days: float = IDLE_DAYS,
+    slices: int = 1,
 ) -> DataStreamWriter:
     """A writer that hands every micro-batch with its per-user features to ``sink(df, number)``.
 
-    ``sink`` may be called twice for the same number after a failure.
+    ``sink`` may be called twice for the same number after a failure. Rows without a
+    user or a time pass with the features that the batch operator gives them.
     """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
 
     def handle(batch: DataFrame, number: int) -> None:
-        past = UserHistory(batch.sparkSession, root, max_user_rows, rewrite_every)
-        sink(past.features(batch, number), number)
+        sink(batch_features(batch, schema, max_user_rows), number)
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return _Writer(with_context(stream, idle_days, slices)).foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -15,8 +15,7 @@ from txguard.plans.scoring import alerts
 from txguard.schemas import RISKY_MERCHANTS
 from txguard.sources.codec import encode, split_decodable
 from txguard.streaming.dedup import drop_repeats
-from txguard.streaming.history import with_history
-from txguard.streaming.segments import FAN
+from txguard.streaming.history import IDLE_DAYS, with_history
 
 # Adds ``prediction`` to rows with features.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -51,13 +50,13 @@ def alert_messages(
 def alerts_with_history(
     messages: DataFrame,
     scorer: Scorer,
-    root: str,
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
     risky: Sequence[str] | DataFrame = RISKY_MERCHANTS,
     watermark: str = "24 hours",
     max_user_rows: int | None = MAX_USER_ROWS,
-    rewrite_every: int = FAN,
+    idle_days: float = IDLE_DAYS,
+    slices: int = 1,
 ) -> DataStreamWriter:
     """Score with the users' real activity, the features that a model is trained on.
 
@@ -72,4 +71,4 @@ def alerts_with_history(
     def sink(features: DataFrame, number: int) -> None:
         write(alerts(scorer(features)), number)
 
-    return with_history(rows, root, sink, checkpoint, max_user_rows, rewrite_every)
+    return with_history(rows, sink, checkpoint, max_user_rows, idle_days, slices)

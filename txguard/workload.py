@@ -7,9 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from txguard.config import Config, ModelConfig, ScoringConfig
 from txguard.functions.scalar import add_calendar, iso_timestamp, merchant_risk
@@ -17,7 +19,7 @@ from txguard.operators import evaluate, quality
 from txguard.operators.activity import add_activity
 from txguard.operators.encode import fit_codes
 from txguard.operators.oversample import nearest_neighbours, oversample
-from txguard.operators.patterns import PATTERNS, PatternRules, pattern_summary, tag_patterns
+from txguard.operators.patterns import PATTERNS, PatternRules, pattern_summary, sum_users, tag_patterns, users_summed
 from txguard.operators.quality import Limits, split_valid, validate, validate_messages, violation_report
 from txguard.operators.split import split_stats, stratified_folds, stratified_split
 from txguard.plans.features import add_features, scoring_rows, training_rows
@@ -31,7 +33,9 @@ from txguard.session import reliable, scratch_path
 from txguard.sources import files
 from txguard.sources.codec import decode, encode
 from txguard.sources.tables import events_as_transactions, orders_as_transactions
+from txguard.streaming.committed import Committed, changed_groups
 from txguard.streaming.dedup import drop_repeats
+from txguard.streaming.figures import counted_rows, figures
 from txguard.streaming.history import with_history
 from txguard.streaming.scorer import alert_rows
 
@@ -529,15 +533,25 @@ def _arrivals(events: DataFrame, parts: int, repeats: bool = False) -> list[Data
     return [delivery(n) for n in range(parts)]
 
 
-def _deliver(spark: SparkSession, arrivals: list[DataFrame], start: Callable[[DataFrame, str], object]) -> str:
-    """Put each delivery in place, then run the stream over what is new, from the same checkpoint."""
+def _deliver(spark: SparkSession, arrivals: list[DataFrame], start: Callable[[DataFrame, str], object], again: bool = False) -> str:
+    """Put each delivery in place, then run the stream over what is new, from the same checkpoint.
+
+    ``start`` gives a writer, several, or a function that starts the query. With
+    ``again`` a run that fails is started once more.
+    """
     place = scratch_path(spark, "stream")
     for delivery in arrivals:
         delivery.write.mode("append").parquet(f"{place}/in")
         messages = files.read_stream(spark, f"{place}/in", files_per_batch=1000)
         started = start(messages, place)
         for writer in started if isinstance(started, list) else [started]:
-            writer.trigger(availableNow=True).start().awaitTermination()
+            run = writer if callable(writer) else writer.trigger(availableNow=True).start
+            try:
+                run().awaitTermination()
+            except StreamingQueryException:
+                if not again:
+                    raise
+                run().awaitTermination()
     return place
 
 
@@ -548,7 +562,7 @@ def stream_features(spark: SparkSession, folder: str) -> DataFrame:
         def write(features: DataFrame, number: int) -> None:
             features.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-        return with_history(decode(messages), f"{place}/past", write, f"{place}/checkpoint")
+        return with_history(decode(messages), write, f"{place}/checkpoint")
 
     place = _deliver(spark, _arrivals(_events(spark, folder), 3), start)
     return _all_activity(spark.read.parquet(f"{place}/out"))
@@ -580,6 +594,66 @@ def stream_without_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{place}/out").select("transaction_id", "user_id", "amount", _micros())
 
 
+def running_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Pattern sums of three deliveries of orders, kept up to date by the groups that each delivery changes."""
+    indebted, store = _indebted(spark, folder), []
+
+    def start(messages: DataFrame, place: str):
+        groups = users_summed(tag_patterns(decode(messages), indebted, ORDER_RULES))
+        store.append(Committed(spark, f"{place}/sums"))
+        return changed_groups(groups, store[-1].write, f"{place}/checkpoint")
+
+    _deliver(spark, _arrivals(_orders(spark, folder), 3), start)
+    newest = store[-1].newest("pattern string, user_id long, rows long, amount double", ["pattern", "user_id"])
+    return sum_users(newest).withColumn("amount", F.round("amount", 2))
+
+
+def alerts_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of a job that is stopped after it wrote a delivery, before Spark noted that, and started again."""
+    store, failed = [], []
+
+    def start(messages: DataFrame, place: str):
+        store.append(Committed(spark, f"{place}/alerts"))
+
+        def write(found: DataFrame, number: int) -> None:
+            store[-1].write(found, number)
+            if not failed:
+                failed.append(number)
+                raise RuntimeError("stopped after the rows were written")
+
+        found = alert_rows(messages, _foreign_scorer, EVENT_RISKY)
+        return found.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint")
+
+    _deliver(spark, _arrivals(_events(spark, folder), 2), start, again=True)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alert_rows(encode(_events(spark, folder)), _foreign_scorer, EVENT_RISKY).schema)
+    return _alert_columns(store[-1].read(schema))
+
+
+def delivery_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages rejected, late, repeated and passed in each of three deliveries; every 50th of the first comes with the third."""
+    events, queries = _events(spark, folder), []
+    malformed = spark.createDataFrame([("bad", "no json"), ("none", None)], files.MESSAGE)
+    first, second, third = _arrivals(events, 3, repeats=True)
+    slow = F.col("key").cast("long") % 50 == 0
+    early = first.where(slow)
+    arrivals = [first.where(~slow), second.join(early.select("key"), "key", "left_anti").select("key", "value"), third.union(early)]
+
+    def start(messages: DataFrame, place: str):
+        rows = counted_rows(messages)
+
+        def run() -> StreamingQuery:
+            query = files.alert_writer(rows, f"{place}/out", f"{place}/checkpoint").trigger(availableNow=True).start()
+            queries.append(query)
+            return query
+
+        return run
+
+    _deliver(spark, [part.union(malformed) for part in arrivals], start)
+    parts = [figures(spark, [query]).withColumn("delivery", F.lit(n).cast("long")) for n, query in enumerate(queries)]
+    counts = ["arrived", "rejected", "late", "repeated", "passed"]
+    return reduce(DataFrame.unionByName, parts).groupBy("delivery").agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def _served(spark: SparkSession, folder: str) -> tuple[DataFrame, FraudModel, str]:
     """Events with odd ids, streamed in three deliveries that bring messages twice, to a model of the others."""
     events, odd = _labelled(spark, folder), F.col("transaction_id").cast("long") % 2 == 1
@@ -589,7 +663,7 @@ def _served(spark: SparkSession, folder: str) -> tuple[DataFrame, FraudModel, st
     arrivals = [part.unionByName(malformed) for part in _arrivals(streamed, 3, repeats=True)]
 
     def start(messages: DataFrame, place: str) -> list:
-        scoring = ScoringConfig(threshold=0.5, checkpoint_location=f"{place}/checks", state_location=f"{place}/state")
+        scoring = ScoringConfig(threshold=0.5, checkpoint_location=f"{place}/checks")
         config = Config(scoring=scoring, high_risk_merchants=tuple(EVENT_RISKY))
 
         def into(name: str) -> Callable[[DataFrame, int], None]:
@@ -698,6 +772,9 @@ QUERIES: dict[str, Query] = {
         stream_features,
         stream_alerts,
         stream_without_repeats,
+        running_patterns,
+        alerts_once,
+        delivery_figures,
         served_alerts,
         rejected_by_job,
         training_from_messages,

@@ -333,6 +333,24 @@ turns AS (SELECT *, CAST(transaction_id AS BIGINT) % 13 = 0 AS nameless,
 SELECT transaction_id, user_id, amount, event_us FROM (
   SELECT CASE WHEN NOT nameless THEN transaction_id END AS transaction_id, user_id, amount, event_us,
     unnest(range(CASE WHEN nameless AND turn < 2 THEN 2 ELSE 1 END)) AS time FROM turns)""",
+    "running_patterns": f"""WITH {_TAGGED_ORDERS}
+        SELECT coalesce(pattern, 'none') AS pattern, count(*) AS rows, round(sum(amount), 2) AS amount,
+          count(DISTINCT user_id) AS users
+        FROM tagged GROUP BY 1""",
+    "alerts_once": f"WITH {_EVENTS} {_ALERT}",
+    "delivery_figures": f"""WITH {_EVENTS}, bounds AS (SELECT min(event_us) AS low, max(event_us) AS high FROM events_tx),
+turns AS (SELECT transaction_id, event_us, coalesce((event_us - low) // ((high - low) // 3 + 1), 0) AS turn FROM events_tx, bounds),
+known AS (SELECT *, turn = 0 AND CAST(transaction_id AS BIGINT) % 50 = 0 AS slow FROM turns),
+delivered AS (
+  SELECT *, turn AS delivery FROM known WHERE NOT slow
+  UNION ALL SELECT *, turn + 1 FROM known WHERE NOT slow AND turn < 2
+  UNION ALL SELECT *, 2 FROM known WHERE slow),
+marks AS (SELECT delivery + 1 AS delivery, max(event_us) - 86400000000 AS mark FROM delivered GROUP BY 1),
+judged AS (SELECT d.*, coalesce(event_us // 1000 <= mark // 1000, false) AS late,
+    row_number() OVER (PARTITION BY transaction_id, coalesce(event_us // 1000 <= mark // 1000, false) ORDER BY delivery) > 1 AS repeated
+  FROM delivered d LEFT JOIN marks USING (delivery))
+SELECT CAST(delivery AS BIGINT) AS delivery, count(*) + 2 AS arrived, CAST(2 AS BIGINT) AS rejected, count_if(late) AS late, count_if(NOT late AND repeated) AS repeated,
+  count_if(NOT late AND NOT repeated) AS passed FROM judged GROUP BY delivery""",
     "served_alerts": f"""WITH {_EVENTS}, chosen AS (SELECT * FROM events_tx WHERE CAST(transaction_id AS BIGINT) % 2 = 1),
 {_activity('chosen')} SELECT transaction_id, user_activity_24h, rolling_avg_7rows, amount_to_avg_ratio, time_since_last_txn,
   rolling_avg_7d, true AS agrees FROM activity""",
