@@ -5,19 +5,15 @@ from __future__ import annotations
 import json
 import re
 import sys
-from array import array
-from collections.abc import Callable
 
 import numpy as np
-import regex
+import tiktoken
 import tokenizers
 
-#: Remembered pieces of text in a worker, twice as many at most (about 200 bytes each), and their greatest length.
-REMEMBERED = 250_000
-LONGEST = 48
-
 # Fixed value: the pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer runs of white space, and longer words, are left to the file's own library.
+LONGEST_RUN = 10_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -27,72 +23,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class _Pieces(dict):
-    """Ids, as bytes, of a text's pieces: white space and what follows up to the next white space, and their parts."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.encode = encode
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            found = self.encode(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                # What is used again comes back from the older ones.
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Encoder:
-    """Encodes texts with a tokenizer file; special tokens' strings in a text are ordinary text.
-
-    A byte-level tokenizer with its usual pattern never joins white space to what
-    stands before it, so a text's ids are those of its pieces, which repeat and are
-    remembered. A new piece is cut by the pattern, and the file's model encodes it. (The separators 1C to 1F are white space to Python alone; texts
-    with them, and all texts under another kind of tokenizer, are encoded whole.)
+    """Encodes texts with a tokenizer file, with the same ids as its ``encode(text, add_special_tokens=False)``.
+
+    A byte-level file with the usual pattern is also given to a second library, which
+    merges by the ids of the results instead of a list of pairs, and faster. Both give the
+    same ids if the results' ids rise along the list and every piece of the vocabulary,
+    encoded alone, is itself: then no two neighbours can make up a piece other than
+    by its pair. Both are checked here. Texts that hold an added token or one of the
+    separators 1C to 1F, on which the two disagree, or a very long run without or of
+    white space are encoded by the file's own library, and so are all texts under
+    another kind of file.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         described = json.loads(self.tokenizer.to_str())
-        split = described["pre_tokenizer"] or {}
-        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.cut = usual.items() <= split.items() and not described["normalizer"] and not described["post_processor"]
-        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
-        self.pieces = _Pieces(self._piece)
-        self.parts = regex.compile(PATTERN).findall
-        self.letters = _byte_letters()
-        self.model = self.tokenizer.model.tokenize
-        self.find = re.compile(r"\s*\S+|\s+").findall
-        self.odd = re.compile("[\x1c-\x1f]").search
+        self.added = [token["content"] for token in described["added_tokens"]]
+        self.apart = re.compile(rf"[\x1c-\x1f]|\s{{{LONGEST_RUN}}}|\S{{{LONGEST_RUN}}}").search
+        self.quick = self._second(described)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece from those of its parts, which the model encodes one by one."""
-        parts = self.parts(piece)
-        if len(parts) > 1:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        tokens = self.model(piece.encode().decode("latin-1").translate(self.letters))
-        return array(self.code, [token.id for token in tokens]).tobytes()
+    def _second(self, described: dict) -> tiktoken.Encoding | None:
+        """The file for the second library, if both must agree."""
+        split, model = described["pre_tokenizer"] or {}, described["model"]
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        if not usual.items() <= split.items() or described["normalizer"] or described["post_processor"]:
+            return None
+        plain = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        if model["type"] != "BPE" or any(model.get(rule) for rule in plain):
+            return None
+        vocabulary = {piece: n for piece, n in model["vocab"].items() if piece not in self.added}
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+        made = [vocabulary[left + right] for left, right in pairs]
+        byte = {letter: b for b, letter in _byte_letters().items()}
+        single = [n for piece, n in vocabulary.items() if len(piece) == 1]
+        alone = all([token.id for token in self.tokenizer.model.tokenize(piece)] == [n] for piece, n in vocabulary.items())
+        if len(single) != 256 or max(single) > min(made) or sorted(set(made)) != made or not alone:
+            return None
+        ranks = {bytes(byte[letter] for letter in piece): n for piece, n in vocabulary.items()}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of a text; null is empty."""
         if not text:
             return np.empty(0, self.dtype)
-        if not self.cut or self.odd(text):
-            found = self._whole(text)
-        else:
-            found = b"".join(map(self.pieces.__getitem__, self.find(text)))
-        return np.frombuffer(found, self.dtype)
+        if self.quick is None or any(token in text for token in self.added) or self.apart(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return self.quick.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
 
 
 def encoder(path: str) -> Encoder:
