@@ -8,7 +8,8 @@ brought to the same shard by an anchor: the least k-gram hash of a window, which
 equal windows share. A document's windows with the same anchor make a segment.
 
 - An anchor that occurs once in the corpus has no repeated window.
-- Equal segments stand for one another: all but the first are repeated throughout.
+- Equal segments (by anchor and two hashes, 159 bits) stand for one another: all but the
+  first are repeated throughout.
 - The first ones of different segments under an anchor are a shard's reference
   passages. In corpus order each is streamed through the suffix automaton of those
   before it; where the matching statistic reaches WINDOW, a window is repeated.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -33,26 +35,42 @@ WINDOW = 20
 GRAM = 8
 SEGMENTS = 2000
 BASE = 0x9E3779B97F4A7C15
+#: A second hash of runs has another modulus, since some texts collide under every base modulo a power of two.
+PRIME, REST_BASE = (1 << 31) - 1, 0x2545F491
+SEED = 42
+#: Words whose hash a task remembers.
+REMEMBERED = 300_000
+
+
+class _Known(dict):
+    """XXH64 of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
 
 
 class WordHashes:
-    """64-bit hashes of words and of runs of words, by powers of an odd base modulo 2^64."""
+    """Hashes of words, and of runs of words by powers of a base modulo 2^64 and, apart from that, modulo a prime."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-        self.separator = np.zeros(256, bool)
-        self.separator[[9, 10, 11, 12, 13, 32]] = True
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            both = []
-            for base in (BASE, pow(BASE, -1, 1 << 64)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                both.append(np.cumprod(steps))
-            self.up, self.down = both
-        return self.up, self.down
+        self.up = self.down = self.rest_up = self.rest_down = np.ones(1, np.uint64)
+        self.known = _Known()
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) >= n:
+            return
+        size = 1 << n.bit_length()
+        self.up, self.down = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]) for base in (BASE, pow(BASE, -1, 1 << 64)))
+        both = []
+        for base in (REST_BASE, pow(REST_BASE, -1, PRIME)):
+            powers = np.ones(1, np.uint64)
+            while len(powers) < size:
+                powers = np.concatenate([powers, powers * np.uint64(pow(base, len(powers), PRIME)) % np.uint64(PRIME)])
+            both.append(powers)
+        self.rest_up, self.rest_down = both
 
     @staticmethod
     def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,38 +79,41 @@ class WordHashes:
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return x ^ (x >> np.uint64(31))
 
-    def words(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, start and end of each word."""
-        raw = np.frombuffer(text, np.uint8)
-        inside = np.concatenate([[False], ~self.separator[raw], [False]])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[::2], edge[1::2]
-        up, down = self._powers(len(raw) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
-        return self.mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+    def words(self, text: bytes) -> np.ndarray:
+        """XXH64 of each word."""
+        found = text.split()
+        return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
 
     def sums(self, hashes: np.ndarray) -> np.ndarray:
-        up, _ = self._powers(len(hashes) + 1)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+        self._powers(len(hashes) + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.up[: len(hashes)])])
 
     def runs(self, sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         """Hashes of the runs of ``size`` words from ``start`` on."""
-        down = self._powers(len(sums))[1]
-        return self.mixed((sums[start + size] - sums[start]) * down[start] + np.asarray(size).astype(np.uint64))
+        return self.mixed((sums[start + size] - sums[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
+
+    def rests(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Second hashes of the same runs, modulo PRIME, of the upper bits of the words' hashes."""
+        self._powers(len(hashes) + 1)
+        prime = np.uint64(PRIME)
+        # Each term is below 2^31, so sums of 2^32 of them fit.
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((hashes >> np.uint64(33)) * self.rest_up[: len(hashes)] % prime)])
+        return (sums[start + size] - sums[start]) % prime * self.rest_down[start] % prime
 
 
 def segments(hashes: np.ndarray, maker: WordHashes, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor, segment hash, first window and number of windows of a document's segments."""
+    """Anchor, both segment hashes, first window and number of windows of a document's segments."""
     n = len(hashes)
     if n < window:
-        return tuple(np.empty(0, kind) for kind in (np.int64, np.int64, np.int32, np.int32))
+        return tuple(np.empty(0, kind) for kind in (np.int64, np.int64, np.int32, np.int32, np.int32))
     sums = maker.sums(hashes)
     grams = maker.runs(sums, np.arange(n - gram + 1), gram)
     least = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(1) + np.arange(n - window + 1)
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     count = np.diff(np.r_[first, len(least)])
     whole = maker.runs(sums, first, count + window - 1)
-    return grams[least[first]].view(np.int64), whole.view(np.int64), first.astype(np.int32), count.astype(np.int32)
+    rest = maker.rests(hashes, first, count + window - 1)
+    return grams[least[first]].view(np.int64), whole.view(np.int64), rest.astype(np.int32), first.astype(np.int32), count.astype(np.int32)
 
 
 class SuffixAutomaton:
@@ -168,20 +189,20 @@ def _occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = WordHashes()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for text in batch.column("text"):
-                found = segments(maker.words(text.as_buffer() if text.is_valid else b"")[0], maker, window, gram)
+                found = segments(maker.words(text.as_py() or b""), maker, window, gram)
                 for column, values in zip(columns, found, strict=True):
                     column.append(values)
             ends = np.cumsum([0, *map(len, columns[0])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(c))) for c in columns] if columns[0] else []
             if lists:
-                names = [ROW, "doc_id", "anchor", "segment", "start", "windows"]
+                names = [ROW, "doc_id", "anchor", "segment", "rest", "start", "windows"]
                 yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), *lists], names)
 
-    kind = f"{ROW} long, doc_id long, anchor array<long>, segment array<long>, start array<int>, windows array<int>"
+    kind = f"{ROW} long, doc_id long, anchor array<long>, segment array<long>, rest array<int>, start array<int>, windows array<int>"
     lists = stored(docs.mapInArrow(work, kind), "segments")
-    return lists.select(ROW, "doc_id", F.inline(F.arrays_zip("anchor", "segment", "start", "windows")))
+    return lists.select(ROW, "doc_id", F.inline(F.arrays_zip("anchor", "segment", "rest", "start", "windows")))
 
 
 def _passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -263,9 +284,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     # Kept apart, so that the join below starts from plain shuffles, whose large partitions can be split.
     again = stored(seen.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     shared = stored(seen.join(again, "anchor"), "shared")
-    first = shared.groupBy("anchor", "segment", "windows").agg(F.min(place).alias("first"))
+    first = shared.groupBy("anchor", "segment", "rest", "windows").agg(F.min(place).alias("first"))
     first = stored(first, "first")
-    copied = shared.join(first, ["anchor", "segment", "windows"]).where(place != F.col("first")).select(ROW, "start", "windows")
+    copied = shared.join(first, ["anchor", "segment", "rest", "windows"]).where(place != F.col("first")).select(ROW, "start", "windows")
     many = first.groupBy("anchor").count().where("count > 1").select("anchor", F.col("count").alias("different"))
     wanted = first.join(many, "anchor").select(
         F.col("first")[ROW].alias(ROW), F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "anchor", "windows", "different"
