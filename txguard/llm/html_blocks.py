@@ -24,11 +24,12 @@ ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th tr",
 #: Elements that hold a list or table, beyond which a new item ends nothing.
 HOLDERS = frozenset("ul ol menu dl table select body html".split())
 
-_MARKUP = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^a-zA-Z][^>]*>?", re.S
-)
+#: Attributes as browsers read them: a quote opens a value only right after the equals sign, and only if it is closed.
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+_INSIDE = rf"(?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
+_MARKUP = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)({_INSIDE})>|</[^a-zA-Z][^>]*>?", re.S)
 _DRAWN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?</\1(?=[\s/>])|<(/?)(svg|template)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I
+    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(script|style)(?=[\s/>]).*?</\1(?=[\s/>])|<(/?)(svg|template)(?=[\s/>])({_INSIDE})>", re.S | re.I
 )
 #: A slash that ends an attribute's value closes nothing.
 _VALUE_SLASH = re.compile(r"=\s*[^\s\"'][^\s\"']*/\Z")
