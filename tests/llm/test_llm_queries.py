@@ -132,7 +132,6 @@ def test_removed_words(spark):
 @pytest.fixture(scope="module")
 def ids():
     tokenizer = Tokenizer.from_file(byte_bpe())
-    tokenizer.encode_special_tokens = True
     return {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in GIVEN.items()}
 
 
@@ -170,6 +169,79 @@ def test_packing(spark, ids):
     assert sorted(sequences.values())[1:] == [2048] * (len(sequences) - 1)
 
 
+def _winnowed(text: str, gram: int = 4, window: int = 8) -> list[tuple[int, int]]:
+    """(hash, place) of the chosen grams, by their definition: cyclic polynomials of word hashes, rightmost least per window."""
+    mask = (1 << 64) - 1
+
+    def turned(x: int, by: int) -> int:
+        return (x << by | x >> 64 - by) & mask if by else x
+
+    words = [xxhash.xxh64_intdigest(w, 42) for w in text.encode().split()]
+    if len(words) < gram:
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), seed)
+        grams = [seed] if words else []
+    else:
+        grams = []
+        for i in range(len(words) - gram + 1):
+            x = 0
+            for w in words[i : i + gram]:
+                x = turned(x, 1) ^ w
+            grams.append(x)
+    low = [xxhash.xxh64_intdigest(x.to_bytes(8, "little"), 42) & 0xFFFFFFFF for x in grams]
+    chosen: dict[tuple[int, int], None] = {}
+    for i in range(max(1, len(low) - window + 1) if low else 0):
+        best = min(range(i, min(i + window, len(low))), key=lambda j: (low[j], -j))
+        chosen[low[best], best] = None
+    return list(chosen)
+
+
+def test_winnowing_by_brute_force(spark):
+    """Every fingerprint of the small table, and of its edited texts, from the grams' definition."""
+    rows = {r["doc_id"]: r for r in QUERIES["op8_winnowing"](spark, SMALL).collect()}
+    order = sorted(GIVEN)
+    for doc_id, after in zip(order, [*order[1:], order[0]], strict=True):
+        cut = len(GIVEN[doc_id]) // 4
+        edited = GIVEN[doc_id][: len(GIVEN[doc_id]) - cut] + GIVEN[after][:cut]
+        for name, text in (("fingerprint", GIVEN[doc_id]), ("edited_fingerprint", edited)):
+            assert rows[doc_id][name] == "".join(f"{h:08x}" for h, _ in _winnowed(text)), (doc_id, name)
+
+
+@pytest.mark.parametrize("column", ["near_edited", "near_next", "fingerprint", "edited_fingerprint", "n_chars"])
+def test_fingerprints_can_be_filtered(spark, column):
+    """A filter on any column leaves the plan small."""
+    found = QUERIES["op8_winnowing"](spark, SMALL)
+    value = "'a'" if "finger" in column else "0.3"
+    few = found.where(f"{column} < {value}")
+    assert len(few._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert few.count() == sum(r[column] < (0.3 if column.startswith("n") else "a") for r in found.collect())
+
+
+def test_quality_scores_by_hand(spark):
+    """Every score of the small table, from the statistics and the labels alone."""
+    from txguard.llm import quality
+
+    taught = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SMALL}/labels.parquet").to_pylist() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    values = {r["doc_id"]: np.array([r[s] for s in quality.STATISTICS]) for r in quality.document_statistics(docs).collect()}
+    d = len(quality.STATISTICS)
+    of = {c: np.array([values[i] for i, q in taught.items() if q == c]) for c in (0, 1)}
+    spread = {c: np.cov(x.T, bias=True) for c, x in of.items()}
+    pooled = sum(len(x) * spread[c] for c, x in of.items()) / len(taught)
+    logs = {}
+    for c, x in of.items():
+        own = quality.TOWARDS_POOLED + (1 - quality.TOWARDS_POOLED) * d / (d + len(x))
+        shrunk = (1 - own) * spread[c] + own * pooled
+        shrunk = (1 - quality.TOWARDS_DIAGONAL) * shrunk + quality.TOWARDS_DIAGONAL * np.diag(np.diag(shrunk)) + quality.FLOOR * np.eye(d)
+        whole, inverse = np.linalg.slogdet(shrunk)[1], np.linalg.inv(shrunk)
+        prior = np.log((len(x) + 1) / (len(taught) + 2))
+        logs[c] = {i: prior - 0.5 * whole - 0.5 * (v - x.mean(0)) @ inverse @ (v - x.mean(0)) for i, v in values.items()}
+    for r in QUERIES["op1_quality_classifier"](spark, SMALL).collect():
+        want = 1 / (1 + np.exp(np.clip(logs[0][r["doc_id"]] - logs[1][r["doc_id"]], -700, 700)))
+        assert r["score"] == pytest.approx(want, abs=1e-6)
+
+
 def test_fingerprints(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op8_winnowing"](spark, SMALL).collect()}
     order = sorted(GIVEN)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from conftest import SMALL
 from odd_rows import empty_folder, folder, none, odd  # noqa: F401
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from txguard.llm import ann, chat, html_extract, mixing, packing, quality, simhash, simple8b, substrings, token_files, tokens, winnow
@@ -31,14 +33,52 @@ def test_simple8b_round_trip():
     assert 0 < len(later) < len(ids) and (later == ids[-len(later) :]).all()
 
 
-def test_pieces_encode_like_whole_texts():
+def test_both_libraries_encode_alike(monkeypatch):
+    """Random texts, and runs beyond the limits, have the ids of the file as it is, added tokens included."""
+    plain = Tokenizer.from_file(byte_bpe())
     encode = tokens.Encoder(byte_bpe())
-    assert encode.cut
-    letters = "ab Z\n\t\r\x0b\x0c \x1c\x1f\x85\xa0　é漢字'sll've12٣!?.,-…​\U0001f600<|endoftext|>"
+    assert encode.quick is not None
+    letters = list("ab Z\n\t\r\x0b\x0c \x1c\x1f\x85\xa0　é漢字'sll've12٣!?.,-…​\U0001f600") + ["<|endoftext|>", "<|endof", " the", "ing"]
     rng = random.Random(1)
-    for _ in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
-        assert encode(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    texts += ["x <|endoftext|>y", " " * 30_000, "a" * 30_000, "\n" * 9_999 + "b", "ab " * 9_000, ""]
+    for text in texts:
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:99])
+    assert encode("x <|endoftext|>y").tolist() == [87, 220, 50256, 88] and encode(None).tolist() == []
+
+
+def test_other_kinds_of_files_are_encoded_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert encode.quick is None
+    assert encode("Some Words, and <|endoftext|>").tolist() == plain.encode("Some Words, and <|endoftext|>", add_special_tokens=False).ids
+
+
+def _doubling(n: int, one: str, two: str) -> str:
+    """A word whose letters follow the Thue-Morse sequence, for which hashes modulo 2^64 collide under every base."""
+    return "".join(one if i.bit_count() % 2 else two for i in range(n))
+
+
+def test_words_that_some_hashes_confuse_are_told_apart(spark):
+    common = " ".join(f"w{i}" for i in range(19))
+    texts = [f"{common} {_doubling(1024, 'a', 'b')}", f"{common} {_doubling(1024, 'b', 'a')}", f"{common} {_doubling(1024, 'a', 'b')}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), KIND)
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.without_repeats(rows).collect()} == {0: 0, 1: 0, 2: 20}
+
+
+def test_second_hash_of_runs():
+    """Equal runs have equal hashes wherever they stand; runs of two words in doubling order differ."""
+    maker = substrings.WordHashes()
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    for at in (1, 7, 900):
+        moved = np.concatenate([rng.integers(0, 1 << 63, at, dtype=np.uint64), words])
+        whole, size = np.array([0]), np.array([40])
+        assert maker.rests(words, whole, size) == maker.rests(moved, whole + at, size)
+    one, two = (np.array([words[(i.bit_count() + k) % 2] for i in range(2048)]) for k in (0, 1))
+    at, size = np.array([0]), np.array([2048])
+    assert maker.runs(maker.sums(one), at, size) == maker.runs(maker.sums(two), at, size)
+    assert maker.rests(one, at, size) != maker.rests(two, at, size)
 
 
 def test_suffix_automaton_against_search():
@@ -294,6 +334,14 @@ def test_conversations_come_back(spark):
     assert found[99]["valid"] and not found[None]["valid"]
 
 
+def test_roles_and_texts_of_any_length(spark):
+    rows = [(1, 0, "r" * 100_000, "x"), (1, 1, "user", "[INST]" * 20_000), (2, 0, "a\\b>" * 30_000, "y" * 100_000), (2, 1, "\\" * 3_000, "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: r["turns"] for r in chat.parsed(chat.formatted(table)).collect()}
+    for conv in (1, 2):
+        assert [(t["role"], t["text"]) for t in found[conv]] == [(role, text) for c, _, role, text in rows if c == conv]
+
+
 def test_winnowing_by_hand(spark):
     """The chosen grams are the rightmost least ones of each window, and shared runs share a gram."""
     rng = random.Random(9)
@@ -363,3 +411,56 @@ def test_nothing_unbounded_comes_to_the_driver():
         assert found <= {"quality.py": 1, "phrases.py": 3}.get(path.name, 0), path.name
         for word in ("localCheckpoint", "crossJoin", ".rdd", "F.udf(", "repartition(1)", "tempfile"):
             assert word not in text, (path.name, word)
+
+
+def _tag_end(page: str, at: int) -> int | None:
+    """Where a tag whose name ends at ``at`` is over, by the steps that browsers take; None if it never is."""
+    state, quote = "before", ""
+    while at < len(page):
+        c = page[at]
+        if state == "quoted":
+            if c == quote:
+                state = "before"
+        elif c == ">":
+            return at + 1
+        elif state == "value" and not c.isspace():
+            quote = c
+            state = "quoted" if c in "\"'" else "plain"
+        elif state == "plain":
+            state = "before" if c.isspace() else "plain"
+        elif state == "before":
+            state = "before" if c.isspace() or c == "/" else "name"
+        elif state in ("name", "after") and c == "=":
+            state = "value"
+        elif state == "name":
+            state = "before" if c == "/" else "after" if c.isspace() else "name"
+        elif state == "after" and not c.isspace():
+            state = "before" if c == "/" else "name"
+        at += 1
+    return None
+
+
+def test_tags_end_where_browsers_end_them():
+    assert [b.text for b in blocks("<p>one</p><img alt=don't><p>two</p><p>it's three</p><p>four</p>")] == ["one", "two", "it's three", "four"]
+    assert [b.text for b in blocks('<p class="a" b">two</p>')] == ["two"]
+    rng = random.Random(10)
+    ended = 0
+    for _ in range(20_000):
+        inside = "".join(rng.choice(["a", "b", "=", "=", '"', '"', "'", " ", "/", ">", "x=y"]) for _ in range(rng.randrange(14)))
+        page = f"<img {inside}>rest"
+        end = _tag_end(page, 4)
+        if end is not None:
+            ended += 1
+            from html import unescape
+
+            text = " ".join(page[end:].split())
+            assert [b.text for b in blocks(page)] == ([unescape(text)] if text else []), page
+    assert ended > 15_000
+
+
+def test_a_very_long_page_and_open_quotes():
+    """No text goes where a quote is never closed: such a value ends like one without quotes."""
+    assert [b.text for b in blocks('<p a="b>r</p>s')] == ["r", "s"]
+    page = "".join(f"<p class=x{i} title='t'>word {i}</p>" for i in range(50_000))
+    assert len(blocks(page)) == 50_000
+    assert len(blocks("<p a='>x</p>" * 5_001)) > 0

@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txguard.functions.scalar import computed_once
 from txguard.llm.text import ROW, identified, words
 
 GRAM = 4
@@ -49,7 +50,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str, gram: int = GRAM, wind
     for s in (1 << i for i in range(window.bit_length() - 1)):
         df = df.withColumn(g, _shifted(g, s, "least(a, b)"))
     chosen = F.coalesce(F.col(f"{g}_few"), F.array_distinct(g))
-    return df.withColumn(name, chosen).drop(g, f"{g}_short", f"{g}_few")
+    # A filter on the fingerprint must not be written out through all these steps.
+    return df.withColumn(name, computed_once(chosen)).drop(g, f"{g}_short", f"{g}_few")
 
 
 def hashes(grams: Column) -> Column:
