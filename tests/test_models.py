@@ -4,6 +4,8 @@ import sys
 
 import numpy as np
 import pandas as pd
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from conftest import MIDDLE, SMALL, by_id
 from pyspark import cloudpickle
@@ -170,3 +172,14 @@ def test_prediction_shapes():
     assert positive_share([[0.9, 0.1]]).tolist() == [0.1]
     with pytest.raises(ValueError):
         positive_share([[[0.1]]])
+
+
+def test_writers_at_the_same_time_get_versions_of_their_own(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path))
+    run = registry.log_run({}, {"auc_pr": 0.5})
+    with ThreadPoolExecutor(20) as pool:
+        given = list(pool.map(lambda n: registry.register("m/é", run, f"u{n}"), range(20)))
+    assert sorted(given) == list(range(1, 21))
+    found = {r["version"]: r["uri"] for r in registry.versions().collect()}
+    assert found == {version: f"u{n}" for n, version in enumerate(given)}
+    assert registry.register("other", run, "x") == 1 and registry.register("m/é", run, "y") == 21

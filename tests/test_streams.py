@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 import shutil
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -15,7 +16,9 @@ from txguard.schemas import ALERT_COLUMNS, TRANSACTION
 from txguard.sources import files
 from txguard.sources.codec import decode, encode
 from txguard.streaming import history
+from txguard.streaming.committed import Committed, changed_groups
 from txguard.streaming.dedup import drop_repeats
+from txguard.streaming.figures import FigureLog, counted_rows, figures
 from txguard.streaming.history import with_history
 from txguard.streaming.scorer import alert_messages, alert_rows, alerts_with_history, rejected_messages
 
@@ -227,3 +230,58 @@ def test_alerts_scored_with_history(spark, tmp_path):
 
     deliver(spark, place, IN_ORDER[:3], start)
     assert sorted(r["transaction_id"] for r in spark.read.parquet(f"{place}/out").collect()) == ["c", "e"]
+
+
+def test_committed_batches_count_once_and_whole(spark, tmp_path):
+    """A batch written again replaces itself; one without a commit is not seen; groups show their last value."""
+    kept = Committed(spark, str(tmp_path))
+    assert kept.read("k string, v long").collect() == []
+    for number, rows in ((0, [("a", 1), ("b", 2)]), (1, [("a", 5)]), (1, [("a", 6)]), (10, [("b", 7), ("c", None)])):
+        kept.write(spark.createDataFrame(rows, "k string, v long"), number)
+    spark.createDataFrame([("a", 99)], "k string, v long").write.parquet(f"{tmp_path}/rows/batch=11")
+    assert sorted((r["batch"], r["k"], r["v"]) for r in kept.read("k string, v long").collect()) == [
+        (0, "a", 1), (0, "b", 2), (1, "a", 6), (10, "b", 7), (10, "c", None),
+    ]
+    assert {r["k"]: r["v"] for r in kept.newest("k string, v long", ["k"]).collect()} == {"a": 6, "b": 7, "c": None}
+    assert kept.commits().count() == 3
+
+
+def test_figures_of_each_batch_reach_a_listener(spark, tmp_path):
+    """A repeat, a late row and a malformed message, in the listener and in the query's own progress."""
+    seen: list[tuple] = []
+    log = FigureLog(seen.append)
+    spark.streams.addListener(log)
+    batches = [
+        [("a", 1, 1.0, "x", "2024-03-05T00:00:00"), ("a", 1, 1.0, "x", "2024-03-05T00:00:00"), ("b", 1, 1.0, "x", "2024-03-05T00:00:00")],
+        [("old", 1, 1.0, "x", "2024-02-01T00:00:00"), ("b", 1, 1.0, "x", "2024-03-05T00:00:00"), ("c", 1, 1.0, "x", "2024-03-05T00:00:00")],
+    ]
+    found = []
+    try:
+        for rows in batches:
+            messages = encode(table(spark, rows)).union(spark.createDataFrame([("bad", "oops")], files.MESSAGE))
+            messages.write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(files.MESSAGE).parquet(f"{tmp_path}/in")
+            writer = files.alert_writer(counted_rows(stream), f"{tmp_path}/out", f"{tmp_path}/check")
+            query = writer.trigger(availableNow=True).start()
+            query.awaitTermination()
+            found.append([sum(c) for c in zip(*(tuple(r)[2:] for r in figures(spark, [query]).collect()), strict=True)])
+        for _ in range(50):
+            if sum(r[2] for r in seen) == 8:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    assert found == [[4, 1, 0, 1, 2], [4, 1, 1, 1, 1]]
+    assert [sum(c) for c in zip(*(r[2:] for r in seen), strict=True)] == [8, 2, 1, 2, 3]
+
+
+def test_only_changed_groups_are_written(spark, tmp_path):
+    kept = Committed(spark, f"{tmp_path}/sums")
+
+    def start(stream):
+        return changed_groups(decode(stream).groupBy("user_id").agg(F.sum("amount").alias("v")), kept.write, f"{tmp_path}/check")
+
+    deliver(spark, str(tmp_path), IN_ORDER, start)
+    rows = [(r["batch"], r["user_id"], r["v"]) for r in kept.read("user_id long, v double").collect()]
+    assert {r[:2]: r[2] for r in rows if r[1] == 3} == {(1, 3): 7.0}
+    assert {r["user_id"]: r["v"] for r in kept.newest("user_id long, v double", ["user_id"]).collect()} == {1: 150.0, 2: 11.0, 3: 7.0, None: 7.0}

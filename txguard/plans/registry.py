@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ VERSIONS = "name string, version int, stage string, run_id string, uri string"
 
 # The stages a model may be served from.
 SERVED_STAGES = ("Production", "None")
+_CLAIMING = threading.Lock()
 
 
 def candidate_versions(
@@ -55,7 +59,11 @@ def best_model(candidates: DataFrame, runs: DataFrame, metric: str = "auc_pr") -
 
 @dataclass(frozen=True)
 class Registry:
-    """Two parquet tables below ``root``. One writer at a time; readers need no lock."""
+    """Two parquet tables below ``root``, for any number of writers and readers.
+
+    A writer claims a version by making a file that must not exist yet, and takes the
+    next number if another one was faster. A claim whose writer fails leaves a gap.
+    """
 
     spark: SparkSession
     root: str
@@ -75,9 +83,26 @@ class Registry:
     def register(self, name: str, run_id: str, uri: str, stage: str = "None") -> int:
         last = self.versions().where(F.col("name") == name).agg(F.max("version").alias("v")).first()["v"]
         version = (last or 0) + 1
+        while not self._claim(name, version):
+            version += 1
         self._append("model_versions", (name, version, stage, run_id, uri), VERSIONS)
         return version
 
+    def _claim(self, name: str, version: int) -> bool:
+        """Whether this writer is the first to take ``version``."""
+        folder = hashlib.sha256(name.encode()).hexdigest()
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{folder}/{version}")
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        # The store decides between processes; a local disk's check and creation are two steps, so threads wait.
+        with _CLAIMING:
+            try:
+                files.create(place, False).close()
+            except Py4JJavaError as error:
+                if "AlreadyExists" not in error.java_exception.getClass().getName():
+                    raise
+                return False
+        return True
+
     def best(self, name: str, metric: str = "auc_pr", policy: str = "latest_per_stage") -> dict:
         candidates = candidate_versions(self.versions(), name, policy)
         if candidates.isEmpty():
@@ -88,8 +113,10 @@ class Registry:
         return found.asDict()
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.root}/{table}", schema)
+        found = read_or_empty(self.spark, f"{self.root}/{table}", schema)
+        return found.drop("entry")
 
     def _append(self, table: str, row: tuple, schema: str) -> None:
         one = self.spark.createDataFrame([row], schema).coalesce(1)
-        one.write.mode("append").parquet(f"{self.root}/{table}")
+        # Writers that share a folder would remove each other's unfinished files.
+        one.write.parquet(f"{self.root}/{table}/entry={uuid.uuid4().hex}")
