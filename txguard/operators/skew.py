@@ -24,9 +24,9 @@ CHUNK = "_chunk"
 
 
 def fits_broadcast(table: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
-    """Whether ``table`` has at most ``max_rows`` rows and ``max_bytes`` bytes of values."""
+    """Whether ``table`` has at most ``max_rows`` rows and ``max_bytes`` bytes of values; rows are counted where they are."""
     width = reduce(Column.__add__, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns])
-    size = table.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(width.cast("long")).alias("bytes")).first()
+    size = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(width.cast("long")).alias("bytes")).first()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= (max_bytes or BROADCAST_BYTES)
 
 
