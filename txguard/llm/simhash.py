@@ -227,8 +227,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = reliable(components(links(distinct)))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left")
     named = named.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    named = reliable(named.join(least, "root").select("fp", "least"))
+    named = reliable(named)
+    least = reliable(named.groupBy("root").agg(F.min("first").alias("least")))
+    # A root may have many fingerprints.
+    named = reliable(with_decisions(named, least, ["root"], "left").select("fp", "least"))
     rows = found.join(named, "fp")
     return rows.select(
         ROW, "doc_id", "fp", F.col("least.doc_id").alias("component_id"), (F.col("least")[ROW] == F.col(ROW)).alias("kept")
