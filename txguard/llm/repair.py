@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 BLOCK = 64
 #: Audits that a task remembers, for conversations of at most so many turns.
 REMEMBERED, SHORT = 50_000, 24
+#: Rows of results that are handed on together.
+LOT = 5_000
 BLANK = " \t\n\x0b\x0c\r"
 #: Faults of a turn: none, truncated, and those that only deletion mends.
 FINE, CUT, DUPLICATE, EMPTY = range(4)
@@ -195,45 +198,41 @@ def faults(conversations: DataFrame) -> DataFrame:
 def edits(coded: DataFrame) -> DataFrame:
     """The edits of each conversation of ``faults``, in order, and one row (``place`` -1) of its figures and audit."""
 
-    def rows_of(
-        conv: int | None, solved: tuple[int, str], codes: bytes, turns: pa.Array, rows: np.ndarray, copies: np.ndarray
-    ) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _KIND.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types = [kinds[c.split()[1]] for c in _KIND.split(", ")]
+    blank = (None,) * (len(SUMMARY) + 1)
+
+    def rows_of(conv: int | None, solved: tuple[int, str], codes: bytes, turns: pa.Array, rows: list, copies: list) -> Iterator[tuple]:
         cost, letters = solved
         known = turns.drop_null().to_numpy()
-        gaps = int(known[-1] - known[0] + 1 - 1 - np.count_nonzero(np.diff(known))) if len(known) else 0
-        code = np.frombuffer(codes, np.uint8)
-        count = np.bincount(code % 4, minlength=4).tolist()
-        pairs = code[:-1] // 4 * 4 + code[1:] // 4
-        illegal = int((~np.isin(pairs, [1 * 4 + 2, 2 * 4 + 3, 3 * 4 + 2])).sum())
-        done = list(_roles(codes, letters))
-        n = len(done)
-        at = np.array([-1 if turn is None else turn for _, turn, _ in done], np.int64)
-        inserted = at < 0
-        figures = [gaps, count[EMPTY], count[DUPLICATE], count[CUT], illegal, cost]
-        columns = [
-            pa.array([conv] * (n + 1), pa.int64()),
-            pa.array(np.arange(-1, n)),
-            pa.array([None, *letters], pa.string()),
-            pa.array(np.r_[0, rows[at]], mask=np.r_[True, inserted]),
-            pa.array(np.r_[0, copies[at]].astype(np.int32), mask=np.r_[True, inserted]),
-            pa.array([None, *(role for _, _, role in done)], pa.string()),
-            *(pa.array([f] + [None] * n, pa.int64()) for f in figures),
-            pa.array([letters] + [None] * n, pa.string()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _KIND.split(", ")])
+        gaps = int(known[-1] - known[0] - np.count_nonzero(np.diff(known))) if len(known) else 0
+        faults = [code % 4 for code in codes]
+        legal = {(1, 2), (2, 3), (3, 2)}
+        illegal = sum((a // 4, b // 4) not in legal for a, b in pairwise(codes))
+        counts = [faults.count(f) for f in (EMPTY, DUPLICATE, CUT)]
+        yield (conv, -1, None, None, None, None, gaps, *counts, illegal, cost, letters)
+        for place, (letter, at, role) in enumerate(_roles(codes, letters)):
+            yield (conv, place, letter, *((None, None) if at is None else (rows[at], copies[at])), role, *blank)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        ready: list[tuple] = []
         remembered = lru_cache(REMEMBERED)(audit)
 
-        def settle() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            codes = whole.column("code").to_numpy().astype(np.uint8).tobytes()
-            turns = whole.column("turn").combine_chunks()
+        def settle() -> None:
+            whole = pa.Table.from_batches(held) if len(held) > 1 else held[0]
+            codes = bytes(whole.column("code").to_pylist())
             solved = (remembered if len(codes) <= SHORT else audit)(codes)
-            found = rows_of(whole.column("conv_id")[0].as_py(), solved, codes, turns, *(whole.column(c).to_numpy() for c in (ROW, "copy")))
+            turns = whole.column("turn")
+            rows, copies = (whole.column(c).to_pylist() for c in (ROW, "copy"))
+            ready.extend(rows_of(whole.column("conv_id")[0].as_py(), solved, codes, turns, rows, copies))
             held.clear()
-            return found
+
+        def handed_on() -> pa.RecordBatch:
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*ready, strict=True), types, strict=True)]
+            ready.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -242,13 +241,17 @@ def edits(coded: DataFrame) -> DataFrame:
             mark = np.stack([ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()])
             begins = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             if held and held[-1].column("conv_id")[0].as_py() != ids[0].as_py():
-                yield settle()
+                settle()
             for begin, end in zip(begins, begins[1:], strict=False):
                 if begin:
-                    yield settle()
+                    settle()
                 held.append(batch.slice(begin, end - begin))
+            if len(ready) >= LOT:
+                yield handed_on()
         if held:
-            yield settle()
+            settle()
+        if ready:
+            yield handed_on()
 
     order = [F.col("turn").asc_nulls_first(), "role", "digest", ROW, "copy"]
     placed = coded.select("conv_id", "turn", "role", "digest", ROW, "copy", "code").repartition("conv_id")
