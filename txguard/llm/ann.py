@@ -4,9 +4,11 @@ For largest inner products, a vector x becomes the unit vector (x / M, rest), wi
 M the largest norm of its band of norms, and a query its unit vector (q / |q|, 0).
 A table turns them by three rounds of random signs and a fast Hadamard transform,
 and files a vector under its nearest signed axis. A query visits, in each table, the
-axes it is nearest to. Candidates are ranked by their exact inner product. A query
-that found too few, or whose last score does not exceed what a vector on another axis
-can reach by its norm, is compared with all vectors of such norms.
+axes it is nearest to. The longest vectors, up to HEAD of all, need not point the same
+way to score high, so they are filed under several axes. Candidates are ranked by their
+exact inner product. Only a query that found too few is compared with all vectors. The
+exact mode also does so for queries whose last score does not exceed what a vector on
+another axis can reach by its norm.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BLOCK = 256
 SPREAD = 32
 #: Bands of norms for each factor of two.
 BANDS = 4
+#: Bands that together hold at most this share of the vectors, the longest ones, are filed under so many axes.
+HEAD, FILED = 0.125, 8
 #: Rounding of an inner product, as a share of the product of both norms.
 TIE = 1e-9
 
@@ -115,7 +119,9 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield int(dim), batch.take(pa.array(np.flatnonzero(dims == dim)))
 
 
-def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: float = PROBES) -> DataFrame:
+def neighbours(
+    vectors: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: float = PROBES, exact: bool = False
+) -> DataFrame:
     """The ``k`` nearest found of every row whose ``vec_id`` is divisible by ``every``, among all other rows.
 
     Columns ``query_id``, ``rank`` from 1, ``vec_id``, ``score``: the inner product
@@ -124,11 +130,14 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
     own: each is a candidate for the others and, with such an id, a query.
 
     The axes of a table are dealt to cells; a cell with more rows or queries than
-    SLICE is cut into slices of both, so a frequent vector fills no task. No axis is
-    left out unseen: the queries that ``_open`` keeps go on to all rows.
+    SLICE is cut into slices of both, so a frequent vector fills no task. The queries
+    that ``_open`` keeps go on to all rows; with ``exact`` the result is that of a full search.
     """
     rows = searchable(vectors).withColumn("band", F.floor(F.log2("norm") * BANDS))
     longest = rows.groupBy("dim", "band").agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("size"))
+    # One row per length of vectors and band of norms.
+    above = Window.partitionBy("dim").orderBy(F.desc("band"))
+    longest = longest.withColumn("axes", F.when(F.sum("size").over(above) <= HEAD * F.sum("size").over(Window.partitionBy("dim")), FILED).otherwise(1))
     longest = reliable(longest)
     index = rows.join(F.broadcast(longest.drop("size")), ["dim", "band"])
     asked = rows.where(F.col("vec_id") % every == 0)
@@ -137,10 +146,16 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
         for batch in batches:
             for dim, part in _by_dim(batch):
                 units = _units(part, dim, False)
+                many = part.column("axes").to_numpy()
                 for t in range(tables):
-                    axis = turned(units, t).argmax(1)
-                    fields = [part.column("dim"), pa.array(t * CELLS + axis % CELLS), pa.array(axis), part.column(ROW), part.column("vec_id"), part.column("vec")]
-                    yield pa.RecordBatch.from_arrays(fields, ["dim", "cell", "axis", ROW, "vec_id", "vec"])
+                    near = turned(units, t)
+                    for n in np.unique(many).tolist():
+                        here = np.flatnonzero(many == n)
+                        n = min(n, near.shape[1])
+                        axes = near[here].argmax(1)[:, None] if n == 1 else np.argpartition(-near[here], n - 1, axis=1)[:, :n]
+                        filed, axis = part.take(pa.array(np.repeat(here, n))), axes.ravel()
+                        fields = [filed.column("dim"), pa.array(t * CELLS + axis % CELLS), pa.array(axis), filed.column(ROW), filed.column("vec_id"), filed.column("vec")]
+                        yield pa.RecordBatch.from_arrays(fields, ["dim", "cell", "axis", ROW, "vec_id", "vec"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,22 +208,22 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = T
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     best = reliable(first(best))
-    more = _among_all(rows, reliable(_open(asked, best, longest, k)), k)
+    more = _among_all(rows, reliable(_open(asked, best, longest, k, exact)), k)
     ranked = first(best.drop("rank").unionByName(more))
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _open(asked: DataFrame, best: DataFrame, longest: DataFrame, k: int) -> DataFrame:
-    """The queries that may lack a neighbour, with ``reach``, the least norm of a row that can still be one.
+def _open(asked: DataFrame, best: DataFrame, longest: DataFrame, k: int, exact: bool) -> DataFrame:
+    """The queries that go on to all rows, with ``reach``, the least norm of a row that can still be a neighbour.
 
     A query that has fewer than ``k`` rows, though there are more, can use any row.
-    The others are open while the longest vector could reach their last score.
+    With ``exact`` the others go on too, while the longest vector could reach their last score.
     """
     per_dim = longest.groupBy("dim").agg(F.max("most").alias("most"), F.sum("size").alias("size"))
     have = best.groupBy("asker").agg(F.count(F.lit(1)).alias("have"), F.min("score").alias("last"))
     known = asked.join(F.broadcast(per_dim), "dim").join(have, F.col(ROW) == F.col("asker"), "left")
     had = F.coalesce("have", F.lit(0))
-    known = known.where((had >= k) | (had < F.col("size") - 1))
+    known = known.where((had >= k) & F.lit(exact) | (had < F.least(F.lit(k), F.col("size") - 1)))
     known = known.withColumn("reach", F.when(had >= k, F.col("last") / F.col("norm") - TIE * F.col("most")).otherwise(0.0))
     known = known.where(F.col("reach") <= F.col("most")).select("dim", ROW, "vec_id", "vec", "reach")
     # New columns, so that the queries can meet the rows they come from.
@@ -267,7 +282,9 @@ def _nearest(query: np.ndarray, vec: np.ndarray, asker: np.ndarray, row: np.ndar
 def _found(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], asker: np.ndarray, query_id: np.ndarray, row: np.ndarray, vec_id: np.ndarray, k: int) -> pa.Table:
     """The k best of each query over all blocks, as rows of FOUND."""
     q, v, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
-    q, v, score = _first(q, v, score, vec_id, k)
+    # A row that is filed under several axes counts once.
+    once = np.unique(np.stack([q, row[v]]), axis=1, return_index=True)[1] if len(q) else q
+    q, v, score = _first(q[once], v[once], score[once], vec_id, k)
     values = [asker[q], query_id[q], row[v], vec_id[v], score]
     return pa.table([pa.array(x, f.type) for x, f in zip(values, FOUND, strict=True)], FOUND)
 
