@@ -37,19 +37,8 @@ SEGMENTS = 2000
 BASE = 0x9E3779B97F4A7C15
 #: A second hash of runs has another modulus, since some texts collide under every base modulo a power of two.
 PRIME, REST_BASE = (1 << 31) - 1, 0x2545F491
-SEED = 42
-#: Words whose hash a task remembers.
-REMEMBERED = 300_000
-
-
-class _Known(dict):
-    """XXH64 of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return found
+#: Longer words are hashed one by one; up to this length no two words that only differ in such an order collide.
+LONG_WORD, SEED = 32, 42
 
 
 class WordHashes:
@@ -57,7 +46,8 @@ class WordHashes:
 
     def __init__(self) -> None:
         self.up = self.down = self.rest_up = self.rest_down = np.ones(1, np.uint64)
-        self.known = _Known()
+        self.separator = np.zeros(256, bool)
+        self.separator[[9, 10, 11, 12, 13, 32]] = True
 
     def _powers(self, n: int) -> None:
         if len(self.up) >= n:
@@ -80,9 +70,17 @@ class WordHashes:
         return x ^ (x >> np.uint64(31))
 
     def words(self, text: bytes) -> np.ndarray:
-        """XXH64 of each word."""
-        found = text.split()
-        return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
+        """A hash of each word: by powers of the base, or XXH64 if it is long."""
+        raw = np.frombuffer(text, np.uint8)
+        self._powers(len(raw) + 1)
+        inside = np.concatenate([[False], ~self.separator[raw], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)])])
+        found = self.mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+            found[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes(), SEED)
+        return found
 
     def sums(self, hashes: np.ndarray) -> np.ndarray:
         self._powers(len(hashes) + 1)
@@ -191,7 +189,7 @@ def _occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for text in batch.column("text"):
-                found = segments(maker.words(text.as_py() or b""), maker, window, gram)
+                found = segments(maker.words(text.as_buffer() if text.is_valid else b""), maker, window, gram)
                 for column, values in zip(columns, found, strict=True):
                     column.append(values)
             ends = np.cumsum([0, *map(len, columns[0])]).astype(np.int32)
