@@ -285,3 +285,30 @@ def test_only_changed_groups_are_written(spark, tmp_path):
     rows = [(r["batch"], r["user_id"], r["v"]) for r in kept.read("user_id long, v double").collect()]
     assert {r[:2]: r[2] for r in rows if r[1] == 3} == {(1, 3): 7.0}
     assert {r["user_id"]: r["v"] for r in kept.newest("user_id long, v double", ["user_id"]).collect()} == {1: 150.0, 2: 11.0, 3: 7.0, None: 7.0}
+
+
+def test_state_is_kept_by_buckets_of_users(spark, tmp_path):
+    """The calls of the state function do not grow with the users; each user has its own history."""
+    users, days = 3_000, ["2024-01-01", "2024-01-02"]
+    batches = [[(f"{d}-{u}", u, float(u), "x", f"{day}T00:00:00") for u in range(users)] for d, day in enumerate(days)]
+    queries = []
+
+    def start(stream):
+        writer = with_history(decode(stream), lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"), f"{tmp_path}/check")
+        started = writer.trigger(availableNow=True).start
+        writer.trigger = lambda **_: writer
+        writer.start = lambda: queries.append(started()) or queries[-1]
+        return writer
+
+    deliver(spark, str(tmp_path), batches, start)
+    for n, query in enumerate(queries, 1):
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= n * history.DAY_BUCKETS + history.USER_BUCKETS
+    found = by_id(spark.read.parquet(f"{tmp_path}/out"), *ACTIVITY_COLUMNS)
+    assert len(found) == users * len(days)
+    assert all(found[f"1-{u}"] == (1, float(u), 1.0, 86400.0, float(u)) for u in range(users))
+
+
+def test_rows_before_1970_are_no_calls(spark, tmp_path):
+    batches = [[("a", 1, 10.0, "x", "1969-12-30T00:00:00")], [("b", 1, 20.0, "x", "1969-12-30T12:00:00")]]
+    found = by_id(history_features(spark, tmp_path, batches), *ACTIVITY_COLUMNS)
+    assert found == {"a": (0, 10.0, 1.0, 0.0, None), "b": (1, 15.0, 20.0 / 15.0, 43200.0, 10.0)}

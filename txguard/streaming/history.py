@@ -1,30 +1,34 @@
 """Per-user features of a stream, exact against everything that arrived before.
 
-What a user did earlier is kept as keyed state of the stream itself, so it lies in
+What users did earlier is kept as keyed state of the stream itself, so it lies in
 the checkpoint, is versioned with it, and a micro-batch that is run again after a
 failure sees the same past. There are two kinds of state:
 
-- the rows of a user's day, in ``slices`` parts, so that a user with a large share of
-  all rows is spread over as many tasks as the stream has days and slices
-- per user the last six rows of each day, for the frames that count rows however old
-
-A new row goes to its own day, and wakes the days that its frames reach back to. Those
-hand out their rows as context. The user's state adds the six rows before, where
-they are older. The micro-batch and its context then go through the batch operator,
-which spreads large users over many tasks. Features of a row are those of the batch
-operator over all rows that arrived so far, also for a late one; rows already written
-are not revised when a late one arrives.
-
-State that no row has touched for ``idle_days`` is removed with the next micro-batch:
-after such a pause, a user starts anew. The timers go by the clock, as those of event
-time would drop late rows.
+- the rows of a day, of a bucket of users, in ``slices`` parts, so that a user with a
+  large share of all rows is spread over as many tasks as the stream has days and slices
+- of a smaller bucket of users the last six rows of each user's days, for the frames
+  that count rows however old
+
+A bucket is one call of the state function, which works on whole columns: the calls
+do not grow with the users. A new row goes to its own day, and wakes its user in the
+days that its frames reach back to. Those hand out the user's rows as context. The other
+state adds the six rows before, where they are older. The micro-batch and its context
+then go through the batch operator, which spreads large users over many tasks. Features
+of a row are those of the batch operator over all rows that arrived so far, also for a
+late one; rows already written are not revised when a late one arrives.
+
+What no row has touched for ``idle_days`` is removed, user by user, with the next
+micro-batch: after such a pause, a user starts anew. The timers go by the clock, as those
+of event time would drop late rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -39,102 +43,128 @@ REACH_DAYS = 7
 IDLE_DAYS = 60
 #: Groups for rows without a user or a time, which have no state.
 LOOSE = 64
+#: Buckets of users, of a day's rows and of the last rows of their days. A checkpoint keeps the numbers it began with.
+DAY_BUCKETS, USER_BUCKETS = 64, 1_024
+#: Rows whose calls are put together before they are sent.
+CALL_ROWS = 200_000
 #: Micro-batches with fewer rows, context included, are not searched for large users.
 SMALL_BATCH = 200_000
 
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _MESSAGE = "part string, user long, day long, slice long, t long, id string, amount string, payload string"
 _GIVEN = "fresh boolean, user long, t long, id string, amount string, payload string"
-_STATE = "t array<bigint>, id array<string>, amount array<string>"
+#: Rows as an Arrow stream, with the time of the last row that touched their user.
+_STATE = "rows binary"
+_ROW = pa.schema([("user", pa.int64()), ("t", pa.int64()), ("id", pa.string()), ("amount", pa.string()), ("touched", pa.int64())])
 
-Row = tuple[int, str | None, str | None]
 
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """By user and time, then id, null first: the order of the batch operator."""
+    return rows.sort_values(["user", "t", "id"], na_position="first", ignore_index=True)
 
-def _order(row: Row) -> tuple:
-    """By time, then id, null first: the order of the batch operator."""
-    return row[0], row[1] is not None, row[1] or ""
 
+def _last_per_day(ordered: pd.DataFrame) -> pd.DataFrame:
+    """The last six rows of each user's days, in order."""
+    return ordered.groupby([ordered["user"], ordered["t"] // DAY], sort=False).tail(BACK).reset_index(drop=True)
 
-def _last_per_day(rows: Iterable[Row]) -> dict[int, list[Row]]:
-    """The last six rows of each day, in order."""
-    days: dict[int, list[Row]] = {}
-    for row in sorted(rows, key=_order):
-        days.setdefault(row[0] // DAY, []).append(row)
-    return {day: found[-BACK:] for day, found in days.items()}
+
+def _reached(days: pd.DataFrame) -> pd.DataFrame:
+    """(user, day) of all days that frames of rows on ``days`` reach."""
+    back = pd.DataFrame({"back": range(REACH_DAYS + 1)})
+    reached = days[["user", "day"]].drop_duplicates().merge(back, "cross")
+    return reached.assign(day=reached["day"] - reached["back"])[["user", "day"]].drop_duplicates(ignore_index=True)
 
 
 def _wake(slices: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows as messages to the state: each to its day, and once per user and day to what its frames reach."""
     columns = [c.split()[0] for c in _MESSAGE.split(", ")]
+    parts = pd.DataFrame({"slice": range(slices)})
+
+    def calls(rows: pd.DataFrame) -> pd.DataFrame:
+        called = _reached(rows).merge(parts, "cross").assign(part="day", t=0)
+        last = _last_per_day(_in_order(rows)).assign(part="last", day=0, slice=0)
+        return pd.concat([called, last], ignore_index=True).assign(payload=None)[columns]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             yield batch[columns]
-            owned = batch[batch["part"] == "day"]
-            if owned.empty:
-                continue
-            calls, last = [], []
-            for user, rows in owned.groupby("user", sort=False):
-                by_day = _last_per_day(zip(rows["t"].tolist(), rows["id"].tolist(), rows["amount"].tolist(), strict=True))
-                last += [("last", user, 0, 0, *row, None) for found in by_day.values() for row in found]
-                reached = {day - back for day in by_day for back in range(REACH_DAYS + 1)}
-                calls += [("day", user, day, part, -1, None, None, None) for day in reached for part in range(slices)]
-            yield pd.DataFrame(calls + last, columns=columns)
+            held.append(batch.loc[batch["part"] == "day", ["user", "day", "t", "id", "amount"]])
+            size += len(held[-1])
+            if size >= CALL_ROWS:
+                yield calls(pd.concat(held, ignore_index=True))
+                held, size = [], 0
+        if size:
+            yield calls(pd.concat(held, ignore_index=True))
 
     return work
 
 
-def _remember(idle_ms: int) -> Callable:
-    """The state function: hands out new rows, and the old ones that they need."""
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink, table = pa.BufferOutputStream(), pa.Table.from_pandas(rows, _ROW, preserve_index=False)
+    with pa.ipc.new_stream(sink, _ROW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def given(fresh: bool, user: int, rows: list[Row], payloads: list[str] | None = None) -> pd.DataFrame:
-        t, ids, amounts = zip(*rows, strict=True) if rows else ((), (), ())
-        kept = payloads if fresh else [None] * len(rows)
-        return pd.DataFrame({"fresh": fresh, "user": user, "t": list(t), "id": list(ids), "amount": list(amounts), "payload": kept})
 
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        part, user, _, _ = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, payloads = [], []
-        for batch in batches:
-            mine = batch[batch["t"] >= 0] if part == "day" else batch
-            seen += zip(mine["t"].tolist(), mine["id"].tolist(), mine["amount"].tolist(), strict=True)
-            payloads += mine["payload"].tolist()
-        old = list(zip(*state.get, strict=True)) if state.exists else []
-        if part == "day":
-            yield given(False, user, old)
-        if part != "last":
-            yield given(True, user, seen, payloads)
+def _unpacked(state: GroupState) -> pd.DataFrame:
+    if not state.exists:
+        return _ROW.empty_table().to_pandas()
+    return pa.ipc.open_stream(bytes(state.get[0])).read_all().to_pandas()
+
+
+def _remember(idle_ms: int) -> Callable:
+    """The state function: hands out new rows, and the old ones that they need."""
+    columns = [c.split()[0] for c in _GIVEN.split(", ")]
+
+    def work(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        part = key[0]
+        now = 0 if part == "none" else state.getCurrentProcessingTimeMs()
+        given = [] if state.hasTimedOut else list(batches)
+        messages = pd.concat(given, ignore_index=True) if given else pd.DataFrame(columns=[c.split()[0] for c in _MESSAGE.split(", ")])
+        # Calls have no payload; rows for the last six have none either.
+        seen = messages if part == "last" else messages[messages["payload"].notna()]
+        fresh = seen.assign(fresh=True)[columns]
         if part == "none":
+            yield fresh
+            return
+        old = _unpacked(state)
+        served = old["user"].isin(messages["user"].unique())
+        old = old[served | (old["touched"] + idle_ms >= now)].reset_index(drop=True)
+        served = old["user"].isin(messages["user"].unique())
+        old.loc[served, "touched"] = now
+        context = old[served] if part == "day" else _before(old, seen)
+        context = context.assign(fresh=False, payload=None)[columns]
+        if not messages.empty:
+            yield context if part == "last" else pd.concat([context, fresh], ignore_index=True)
+        new = seen[["user", "t", "id", "amount"]].assign(touched=now)
+        kept = pd.concat([old, new], ignore_index=True) if len(new) else old
+        if part == "last" and len(new):
+            kept = _last_per_day(_in_order(kept))
+        if kept.empty:
+            if state.exists:
+                state.remove()
             return
-        if part == "last":
-            yield given(False, user, _before(_last_per_day(old), {t // DAY for t, _, _ in seen}))
-            seen = [row for found in _last_per_day([*old, *seen]).values() for row in found]
-        else:
-            seen = old + seen
-        if seen:
-            state.update(tuple(map(list, zip(*seen, strict=True))))
-            state.setTimeoutDuration(idle_ms)
+        state.update((_packed(kept),))
+        state.setTimeoutDuration(max(1, int(kept["touched"].min()) + idle_ms - now))
 
     return work
 
 
-def _before(days: dict[int, list[Row]], touched: set[int]) -> list[Row]:
-    """The six rows before each touched day, but for those of days that are handed out whole."""
-    whole = {day - back for day in touched for back in range(REACH_DAYS + 1)}
-    found: dict[Row, None] = {}
-    for day in touched:
-        missing = BACK
-        for earlier in sorted((d for d in days if d < day), reverse=True):
-            if missing <= 0:
-                break
-            rows = days[earlier][-missing:]
-            missing -= len(rows)
-            if earlier not in whole:
-                found.update(dict.fromkeys(rows))
-    return list(found)
+def _before(old: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+    """Of ``old``, in order, the six rows before each day with new rows, but for those of days that are handed out whole."""
+    touched = seen[["user"]].assign(day=seen["t"] // DAY).drop_duplicates(ignore_index=True)
+    user, start = (np.concatenate([touched[a].to_numpy(np.int64) * b, old[c].to_numpy(np.int64)]) for a, b, c in (("user", 1, "user"), ("day", DAY, "t")))
+    is_old = np.arange(len(user)) >= len(touched)
+    order = np.lexsort((is_old, start, user))
+    # Rows before the start of each touched day; earlier users' rows are told apart below.
+    ahead = np.cumsum(is_old[order])[~is_old[order]]
+    place = ahead[:, None] - 1 - np.arange(BACK)
+    mine = touched["user"].to_numpy()[order[~is_old[order]]]
+    known = place >= np.searchsorted(old["user"].to_numpy(np.int64), mine)[:, None]
+    found = old.iloc[np.unique(place[known])]
+    whole = pd.MultiIndex.from_frame(_reached(touched))
+    return found[~pd.MultiIndex.from_arrays([found["user"], found["t"] // DAY]).isin(whole)]
 
 
 def with_context(stream: DataFrame, idle_days: float = IDLE_DAYS, slices: int = 1) -> DataFrame:
@@ -156,9 +186,10 @@ def with_context(stream: DataFrame, idle_days: float = IDLE_DAYS, slices: int =
         F.col("amount").cast("string").alias("amount"),
         F.to_json(F.struct(*stream.columns), _JSON).alias("payload"),
     )
-    messages = rows.mapInPandas(_wake(slices), _MESSAGE)
+    buckets = F.when(F.col("part") == "day", DAY_BUCKETS).when(F.col("part") == "last", USER_BUCKETS).otherwise(1)
+    messages = rows.mapInPandas(_wake(slices), _MESSAGE).withColumn("bucket", F.pmod(F.xxhash64("user"), buckets))
     idle = max(1, int(idle_days * 86_400_000))
-    return messages.groupBy("part", "user", "day", "slice").applyInPandasWithState(
+    return messages.groupBy("part", "bucket", "day", "slice").applyInPandasWithState(
         _remember(idle), _GIVEN, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
