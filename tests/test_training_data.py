@@ -196,3 +196,22 @@ def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
     table = spark.createDataFrame([("abc",), ("de",), (None,)], "k string")
     assert skew.fits_broadcast(table, 3) and not skew.fits_broadcast(table, 2)
     assert skew.fits_broadcast(table, 3, 5) and not skew.fits_broadcast(table, 3, 4)
+
+
+def test_boxes_are_small_by_the_distance_itself(spark, monkeypatch):
+    """One wide column and narrow ones: a row visits the boxes beside its own, not all that share narrow values."""
+    for name, value in {"BOX_ROWS": 100, "VISIT_ROWS": 500, "GROUP_BOXES": 8, "WINDOW_ROWS": 6}.items():
+        monkeypatch.setattr(over, name, value)
+    visits, counts = over._visits, []
+
+    def counted(*args):
+        found = visits(*args).persist()
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(over, "_visits", counted)
+    rng, names = np.random.default_rng(3), list("abcde")
+    values = np.column_stack([rng.random(4_000) * 1000, rng.random((4_000, 4)) * 1e-3])
+    rows = spark.createDataFrame([(f"p{i:04d}", *map(float, v)) for i, v in enumerate(values)], f"transaction_id string, {', '.join(n + ' double' for n in names)}")
+    assert nearest_neighbours(rows, names, "transaction_id", 5, exact_rows=0).count() == 20_000
+    assert counts[0] <= 2 * len(values)
