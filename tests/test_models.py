@@ -55,6 +55,15 @@ def test_threshold_of_the_model_or_given(rows, model):
     assert score_native(rows, own, 1.1).where("prediction = 1").isEmpty()
 
 
+def test_fits_read_kept_rows(rows):
+    """No task of a fit carries the steps that made its rows, nor sends their metrics back."""
+    _, prepared = training.prepare(rows, QUICK)
+    plan = prepared._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and not any(step in plan for step in ("Union", "Join", "Exchange"))
+    lineage = prepared._jdf.queryExecution().toRdd().toDebugString()
+    assert "ReliableCheckpointRDD" in lineage and "UnionRDD" not in lineage
+
+
 def test_unknown_merchants_can_be_scored(rows, model):
     odd = rows.withColumn("merchant", F.lit("never seen")).limit(5)
     assert odd.count() == model.transform(odd).where("score is not null").count()
