@@ -172,6 +172,25 @@ def test_repeats_are_dropped_and_late_rows_too(spark, tmp_path, combine):
     assert found == ["a", "b", "c", "d"]
 
 
+def test_a_stream_is_read_once_for_all_its_rows(spark, tmp_path):
+    """Rows with and without an id part after one pass over the messages."""
+    day, place, runs = "2024-03-01T00:00:00", str(tmp_path), []
+    batches = [
+        [("a", 1, 1.0, "x", day), ("a", 1, 1.0, "x", day), (None, 2, 1.0, "x", day), ("t", 1, 1.0, "x", None)],
+        [("b", 1, 1.0, "x", day), ("a", 1, 1.0, "x", day), (None, 2, 1.0, "x", day)],
+    ]
+    for rows in batches:
+        encode(table(spark, rows)).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(files.MESSAGE).parquet(f"{place}/in")
+        writer = files.alert_writer(drop_repeats(decode(stream)), f"{place}/out", f"{place}/check")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        runs.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert runs == [4, 3]
+    found = [r["transaction_id"] for r in spark.read.parquet(f"{place}/out").collect()]
+    assert sorted(map(str, found)) == ["None", "None", "a", "b", "t"]
+
+
 def by_amount(features):
     return features.withColumn("prediction", (F.col("amount") >= 20).cast("int"))
 
